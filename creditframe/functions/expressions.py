@@ -175,10 +175,11 @@ def compact_number(x: ColumnOrName) -> Column:
 
 
 def bin_label(start: ColumnOrName) -> Column:
-    """A22 label: ``12K`` at 1000 and over, else the whole number."""
+    """A22 label: ``12K`` at 1000 and over, else the whole number; halves
+    round to even as Python's ``format(x, '.0f')`` does."""
     s = c(start)
-    return F.when(s >= 1000, F.concat(F.format_string("%.0f", s / 1000.0), F.lit("K"))) \
-        .otherwise(F.format_string("%.0f", s))
+    whole = lambda x: F.bround(x, 0).cast("long").cast("string")
+    return F.when(s >= 1000, F.concat(whole(s / 1000.0), F.lit("K"))).otherwise(whole(s))
 
 
 def format_ts(ts: ColumnOrName, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

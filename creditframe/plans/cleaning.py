@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import round_all
 from ..operators.clean import (cap_percentiles, days_range_report, iqr_outliers, iqr_summary,
                                out_of_range_counts, replace_sentinel)
-from ..sources.tables import cents, installments, orders, table
+from ..sources.tables import cents, events, installments, orders, table
 from .registry import register
 
 LINEITEM_C = ("(SELECT * REPLACE (CAST(round(l_extendedprice * 100) AS BIGINT) AS l_extendedprice) "
@@ -69,17 +69,16 @@ def p5_iqr(spark, sf_dir):
     return round_all(iqr_summary(lineitem_c(spark, sf_dir), IQR_COLS, 1.5), 6)
 
 
-@register("p4_iqr_rows", f"""
-WITH b AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.75) AS q75
-           FROM {LINEITEM_C})
-SELECT l_orderkey, l_linenumber, l_extendedprice,
+@register("p4_iqr_rows", """
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75 FROM @EVENTS)
+SELECT event_id, value,
        round(q25 - 1.5 * (q75 - q25), 4) AS lower_bound, round(q75 + 1.5 * (q75 - q25), 4) AS upper_bound
-FROM {LINEITEM_C}, b
-WHERE l_extendedprice < q25 - 1.5 * (q75 - q25) OR l_extendedprice > q75 + 1.5 * (q75 - q25)
+FROM @EVENTS, b
+WHERE value < q25 - 1.5 * (q75 - q25) OR value > q75 + 1.5 * (q75 - q25)
 """, "P4")
 def p4_iqr_rows(spark, sf_dir):
-    li = lineitem_c(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return round_all(iqr_outliers(li, "l_extendedprice", multiplier=1.5), 4)
+    ev = events(spark, sf_dir).select("event_id", "value")
+    return round_all(iqr_outliers(ev, "value", multiplier=1.5), 4)
 
 
 @register("p18_days_range", """

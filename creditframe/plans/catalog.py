@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import children, cleaning, models, profiling, store  # noqa: F401
+from . import children, cleaning, models, neighbours, profiling, store  # noqa: F401
 from .registry import REGISTRY, Query
 
 

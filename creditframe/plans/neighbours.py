@@ -41,3 +41,23 @@ FROM c JOIN m ON c.x1 = m.qx1 AND c.x2 = m.qx2
 def k1_knn_mean(spark, sf_dir):
     out = knn_target_mean(knn_frame(spark, sf_dir), "c_custkey", ["x1", "x2"], "target", K)
     return round_all(out, 6)
+
+
+RESAMPLE_FEATURES = ["ORD_O_TOTALPRICE_MEAN", "ORD_O_TOTALPRICE_COUNT", "EVT_VALUE_SUM"]
+
+
+@register("k4_smote", None, "K4, J4")
+def k4_smote(spark, sf_dir):
+    from .children import applicant_history
+    from ..operators.resample import smote
+    h = applicant_history(spark, sf_dir).select("c_custkey", "target", *RESAMPLE_FEATURES)
+    return smote(h, "c_custkey", RESAMPLE_FEATURES, "target", k=5, seed=42)
+
+
+@register("p6_iforest", None, "P6, I2, A19")
+def p6_iforest(spark, sf_dir):
+    from .children import applicant_history
+    from ..operators.outliers import isolation_forest
+    h = applicant_history(spark, sf_dir).select("c_custkey", "target", *RESAMPLE_FEATURES)
+    scored = isolation_forest(h, "c_custkey", RESAMPLE_FEATURES, trees=100, contamination=0.05, seed=42)
+    return scored.join(h.select("c_custkey", "target"), "c_custkey")

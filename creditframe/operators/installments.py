@@ -27,13 +27,8 @@ def payment_rows(df: DataFrame, *, due: str, paid: str, days_diff: str | None =
             }))
 
 
-def installment_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
-                          days_diff: str | None = None, due_day: str | None = None,
-                          paid_day: str | None = None, prefix: str = "INST",
-                          with_payment_amounts: bool = False) -> DataFrame:
-    """A5: instalment behaviour per applicant (11 outputs; 14 with the
-    payment amounts of the training build)."""
-    rows = payment_rows(df, due=due, paid=paid, days_diff=days_diff, due_day=due_day, paid_day=paid_day)
+def installment_exprs(*, due: str, paid: str, prefix: str = "INST", with_payment_amounts: bool = False):
+    """A5 aggregate expressions over :func:`payment_rows` output."""
     p = prefix
     exprs = [
         F.avg(due).alias(f"{p}_AMT_INSTALMENT_MEAN"),
@@ -53,7 +48,18 @@ def installment_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
         F.sum("LATE_PAYMENT").cast("long").alias(f"{p}_LATE_PAYMENT_SUM"),
         F.avg(F.col("LATE_PAYMENT").cast("double")).alias(f"{p}_LATE_PAYMENT_MEAN"),
     ]
-    return rows.groupBy(key).agg(*exprs)
+    return exprs
+
+
+def installment_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
+                          days_diff: str | None = None, due_day: str | None = None,
+                          paid_day: str | None = None, prefix: str = "INST",
+                          with_payment_amounts: bool = False) -> DataFrame:
+    """A5: instalment behaviour per applicant (11 outputs; 14 with the
+    payment amounts of the training build)."""
+    rows = payment_rows(df, due=due, paid=paid, days_diff=days_diff, due_day=due_day, paid_day=paid_day)
+    return rows.groupBy(key).agg(*installment_exprs(due=due, paid=paid, prefix=prefix,
+                                                    with_payment_amounts=with_payment_amounts))
 
 
 def past_due_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
@@ -68,6 +74,11 @@ def past_due_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
     ``severity='mean'``: mean days past due.
     """
     rows = payment_rows(df, due=due, paid=paid, days_diff=days_diff, due_day=due_day, paid_day=paid_day)
+    return rows.groupBy(key).agg(*past_due_exprs(due=due, std=std, severity=severity, prefix=prefix))
+
+
+def past_due_exprs(*, due: str, std: str = "samp", severity: str = "per_late", prefix: str = "PAST_DUE"):
+    """A6 aggregate expressions over :func:`payment_rows` output."""
     p = prefix
     if std == "pop":
         ratio_std = F.stddev_pop(F.when(F.col(due) > 0, F.col("PAYMENT_RATIO")))
@@ -78,7 +89,7 @@ def past_due_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
         sev = F.avg("DAYS_PAST_DUE")
     else:
         sev = F.sum("DAYS_PAST_DUE") / (late_sum + 1).cast("double")
-    return rows.groupBy(key).agg(
+    return [
         F.avg("DAYS_PAST_DUE").alias(f"{p}_DAYS_PAST_DUE_MEAN"),
         F.max("DAYS_PAST_DUE").alias(f"{p}_DAYS_PAST_DUE_MAX"),
         F.sum("DAYS_PAST_DUE").alias(f"{p}_DAYS_PAST_DUE_SUM"),
@@ -88,4 +99,15 @@ def past_due_aggregate(df: DataFrame, *, key: str, due: str, paid: str,
         ratio_std.alias(f"{p}_PAYMENT_RATIO_STD"),
         F.min("PAYMENT_RATIO").alias(f"{p}_PAYMENT_RATIO_MIN"),
         sev.alias(f"{p}_SEVERITY"),
-    )
+    ]
+
+
+def payment_behaviour(df: DataFrame, *, key: str, due: str, paid: str, days_diff: str | None = None,
+                      due_day: str | None = None, paid_day: str | None = None, std: str = "samp",
+                      severity: str = "per_late") -> DataFrame:
+    """A5 + A6 from one pass: both families share the payment rows and the
+    shuffle on the applicant key."""
+    rows = payment_rows(df, due=due, paid=paid, days_diff=days_diff, due_day=due_day, paid_day=paid_day)
+    a5 = installment_exprs(due=due, paid=paid)
+    a6 = [e for e in past_due_exprs(due=due, std=std, severity=severity)]
+    return rows.groupBy(key).agg(*a5, *a6)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import children, cleaning, models, neighbours, profiling, store  # noqa: F401
+from . import applicant_matrix, children, cleaning, models, neighbours, profiling, store  # noqa: F401
 from .registry import REGISTRY, Query
 
 
@@ -11,4 +11,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def flagship(spark, sf_dir):
-    return REGISTRY["j1_left_join"].fn(spark, sf_dir)
+    return REGISTRY["f_applicant_matrix"].fn(spark, sf_dir)

@@ -1,8 +1,8 @@
 """Cleaning and range checks.
 
 Population statistics (bounds, shares) are computed by one aggregate and
-joined back as a one-row table on a constant key, which plans as a broadcast
-hash join: no row ever leaves its partition.
+attached to the rows as a scalar subquery: no join, no row leaves its
+partition.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ _K = "__one"
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row statistics frame to every row (broadcast join on a
-    constant key; the statistics row never grows with the data)."""
-    return (df.withColumn(_K, F.lit(1))
-            .join(F.broadcast(scalars.withColumn(_K, F.lit(1))), _K, "inner").drop(_K))
+    """Attach the columns of a one-row statistics frame to every row.
+
+    The row is a scalar subquery (one struct, computed once, inlined as a
+    value): no join at all, so nothing is shuffled or paired with the data.
+    """
+    packed = scalars.select(F.struct(*[F.col(f"`{c}`") for c in scalars.columns])).scalar()
+    return df.withColumn(_K, packed).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col(_K)[c].alias(c) for c in scalars.columns])
 
 
 def replace_sentinel(df: DataFrame, cols: Sequence[str], sentinel: float = 365243) -> DataFrame:

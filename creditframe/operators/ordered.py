@@ -19,14 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_G = "__grp"
-
-
-def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if by:
-        return df, list(by)
-    return df.withColumn(_G, F.lit(0)), [_G]
-
 
 def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
                    by: Sequence[str] = (), buckets: int = 64, descending: bool = False,
@@ -37,31 +29,35 @@ def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
     ``df`` must hold one row per ``(by, order_col)``: pre-aggregate first, so
     a value repeated by a third of all rows is one row here.  ``by`` must be
     low-cardinality (features, labels): one small offsets table per group is
-    broadcast.
+    broadcast.  Without ``by`` the bucket bounds arrive as a scalar subquery.
     """
-    had_by = bool(by)
-    df, keys = _with_group(df, by)
+    from .clean import with_scalars
+    keys = list(by)
     o = F.col(order_col)
     ordered = -o if descending else o
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(ordered, probs, accuracy).alias("__bounds"))
-    b = df.join(F.broadcast(bounds), keys, "inner").withColumn(
-        "__bucket", F.size(F.filter(F.col("__bounds"), lambda x: x < ordered))).drop("__bounds")
+    bounds_agg = F.percentile_approx(ordered, probs, accuracy).alias("__bounds")
+    if keys:
+        bounds = df.groupBy(*keys).agg(bounds_agg)
+        b = df.join(F.broadcast(bounds), keys, "inner")
+    else:
+        b = with_scalars(df, df.agg(bounds_agg))
+    b = b.withColumn("__bucket", F.size(F.filter(F.col("__bounds"), lambda x: x < ordered))).drop("__bounds")
     tot = b.groupBy(*keys, "__bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weights])
-    wb = Window.partitionBy(*keys).orderBy("__bucket")
+    # the bucket table has at most len(groups) * buckets rows: windows over it are tiny
+    part = keys or [F.lit(0)]
+    wb = Window.partitionBy(*part).orderBy("__bucket")
     offs = tot.select(
         *keys, "__bucket",
         *[F.coalesce(F.sum(f"__bt_{w}").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"__off_{w}") for w in weights],
-        *[F.sum(f"__bt_{w}").over(Window.partitionBy(*keys)).alias(f"{w}_total") for w in weights])
+        *[F.sum(f"__bt_{w}").over(Window.partitionBy(*part)).alias(f"{w}_total") for w in weights])
     b = b.join(F.broadcast(offs), keys + ["__bucket"], "inner")
     wi = Window.partitionBy(*keys, "__bucket").orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.select(
+    return b.select(
         *[c for c in b.columns if not c.startswith("__off_")],
         *[(F.col(f"__off_{w}") + F.coalesce(F.sum(w).over(wi), F.lit(0))).alias(f"{w}_before")
           for w in weights]).drop("__bucket")
-    return out if had_by else out.drop(_G)
 
 
 def value_counts_long(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = (),

@@ -145,7 +145,7 @@ def stub_score(values: ColumnOrName) -> Column:
     ``clip(0.5 + 0.5 * clip(mean(v) / (mean(|v|) + 1e-6), -1, 1), 0, 1)``,
     0.5 for an empty input.  Higher-order functions, no Python.
     """
-    arr = c(values)
+    arr = F.filter(c(values), lambda x: x.isNotNull())   # missing entries are skipped
     n = F.size(arr)
     s = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     sa = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import bin_label, corr_direction, corr_strength, feature_category, safe_div
+from ..functions.expressions import bin_label, clip, corr_direction, corr_strength, feature_category, safe_div
 from .clean import with_scalars
 from .ordered import quantiles, running_totals
 from .profile import _long, describe
@@ -144,7 +144,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], *, digits: int = 3,
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     r = F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    r = clip(r, F.lit(-1.0), F.lit(1.0))      # null-safe: an undefined r stays undefined
     if missing_as_zero:
         r = F.coalesce(r, F.lit(0.0))
     name_map = F.array(*[F.lit(c) for c in cols])

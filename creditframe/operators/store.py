@@ -125,7 +125,8 @@ def publish(df: DataFrame, view: FeatureView, table_path: str, *, verify: bool =
     spark = df.sparkSession
     out = project_to_view(df, view)
     live = current_path(spark, table_path)
-    recreated = live is None or spark.read.parquet(live).schema != out.schema
+    shape = lambda sc: [(f.name, f.dataType) for f in sc.fields]  # noqa: E731  (nullability not compared)
+    recreated = live is None or shape(spark.read.parquet(live).schema) != shape(out.schema)
     version = f"version={dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
     target = f"{table_path.rstrip('/')}/{version}"
     out.write.mode("errorifexists").parquet(target)

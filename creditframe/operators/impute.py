@@ -17,6 +17,7 @@ from .clean import with_scalars
 from .ordered import quantiles
 
 BROADCAST_MAX_ROWS = 2_000_000
+INLINE_MAX_ROWS = 20_000     # dictionaries up to this size become map literals in the plan
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -120,17 +121,37 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str], null_token: str | None =
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str],
                       null_token: str | None = "missing", unseen: float | None = -1.0) -> DataFrame:
     """Replace each categorical by its code; an unseen value gets
-    ``unseen`` (null to keep it missing)."""
-    small = sized_broadcast(codes)
+    ``unseen`` (null to keep it missing).
+
+    The dictionary is counted first.  Up to ``INLINE_MAX_ROWS`` entries it is
+    inlined as one map literal per column (a pure projection: no join, no
+    shuffle); a larger one is joined, broadcast only when proven small.
+    """
+    n = codes.count()
+    fallback = F.lit(unseen).cast("double") if unseen is not None else F.lit(None).cast("double")
+
+    def key_of(c):
+        k = F.col(c).cast("string")
+        return F.coalesce(k, F.lit(null_token)) if null_token is not None else k
+
+    if n <= INLINE_MAX_ROWS:
+        entries: dict[str, list] = {}
+        for r in codes.select("feature", "value", "code").collect():
+            entries.setdefault(r["feature"], []).append((r["value"], float(r["code"])))
+        exprs = {}
+        for c in cols:
+            pairs = entries.get(c, [])
+            m = F.create_map(*[x for v, code in pairs for x in (F.lit(v), F.lit(code))]) if pairs else None
+            k = key_of(c)
+            looked = F.coalesce(m[k], fallback) if m is not None else fallback
+            exprs[c] = F.when(k.isNull(), F.lit(None).cast("double")).otherwise(looked)
+        return df.withColumns(exprs)
+    small = F.broadcast(codes) if n <= BROADCAST_MAX_ROWS else codes
     out = df
     for c in cols:
         d = small.where(F.col("feature") == c).select(
             F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
-        key = F.col(c).cast("string")
-        if null_token is not None:
-            key = F.coalesce(key, F.lit(null_token))
-        out = out.withColumn(f"__k_{c}", key).join(d, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
-        fallback = F.lit(unseen).cast("double") if unseen is not None else F.lit(None).cast("double")
+        out = out.withColumn(f"__k_{c}", key_of(c)).join(d, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(f"__k_{c}").isNull(), F.lit(None).cast("double"))
                              .otherwise(F.coalesce(F.col(f"__c_{c}"), fallback)))
         out = out.drop(f"__k_{c}", f"__v_{c}", f"__c_{c}")

@@ -36,6 +36,38 @@ def percentile_of_value(df: DataFrame, col: str, value: float) -> DataFrame:
         (F.lit(100.0) * F.sum((x <= F.lit(value)).cast("long")) / F.count(x)).alias("percentile"))
 
 
+# --- fixed values: default fields of an applicant lookup ------------------
+PROFILE_FIELDS = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED",
+                  "EXT_SOURCE_2", "EXT_SOURCE_3", "CODE_GENDER")
+
+
+def applicant_profile(df: DataFrame, key: str, ids: DataFrame, fields: Sequence[str] | None = None,
+                      label: str | None = "TARGET") -> DataFrame:
+    """Rows of the given applicants with chosen fields, plus whole
+    years of age and of employment (``floor(|days| / 365)``; positive
+    employment days, the not-employed sentinel, give 0).  A semi-join, so
+    any number of ids is one distributed lookup."""
+    fields = list(fields or [f for f in PROFILE_FIELDS if f in df.columns])
+    cols = [key, *fields] + ([label] if label and label in df.columns else [])
+    out = df.join(ids.select(key).distinct(), key, "left_semi").select(*cols)
+    if "DAYS_BIRTH" in fields:
+        out = out.withColumn("age_years", F.floor(F.abs(F.col("DAYS_BIRTH")) / 365))
+    if "DAYS_EMPLOYED" in fields:
+        d = F.col("DAYS_EMPLOYED")
+        out = out.withColumn("employment_years", F.when(d < 0, F.floor(F.abs(d) / 365)).otherwise(F.lit(0)))
+    return out
+
+
+def valid_range(df: DataFrame, col: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Non-null rows within ``[lo, hi]`` (pushed to the scan as filters)."""
+    cond = F.col(col).isNotNull()
+    if lo is not None:
+        cond &= F.col(col) >= lo
+    if hi is not None:
+        cond &= F.col(col) <= hi
+    return df.where(cond)
+
+
 # ------------------------------------------------------------- histograms
 def histogram_iqr(df: DataFrame, cols: Sequence[str], bins: int = 20, *,
                   keep_top_edge: bool = False, method: str = "linear", digits: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import applicant_matrix, children, cleaning, models, neighbours, profiling, store  # noqa: F401
+from . import applicant_matrix, children, cleaning, models, neighbours, profiling, rows, store  # noqa: F401
 from .registry import REGISTRY, Query
 
 

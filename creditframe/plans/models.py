@@ -225,3 +225,13 @@ def b7_human(spark, sf_dir):
         F.lit(0.5).alias("ext_source_3"))
     out = fallback_score(human_scenario(c), "features_map")
     return out.select("c_custkey", F.size("features_map").alias("n_features"), "probability")
+
+
+@register("m11_tree_contrib", None, "M11, M12, M3 (TreeSHAP)")
+def m11_tree_contrib(spark, sf_dir):
+    from ..operators.explain import tree_contributions
+    d = _training_frame(spark, sf_dir)
+    model = ml.boosted_trees(MODEL_FEATURES, "target", rounds=20, depth=4).fit(d.where("split = 0"))
+    contrib = tree_contributions(model, d, MODEL_FEATURES, keep=["c_custkey"])
+    return explanation_text(explain(contrib, MODEL_FEATURES, keep=["c_custkey"], top_n=5)).select(
+        "c_custkey", "base_probability", "probability", "explanation", "top_factor_direction")

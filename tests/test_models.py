@@ -92,3 +92,24 @@ def test_scoring_paths(spark, labelled):
     m = human_scenario(human).first()["features_map"]
     assert m["DAYS_EMPLOYED"] == 365243 and m["DAYS_BIRTH"] == -10950 and "EXT_SOURCE_2" not in m
     assert fallback_score(human_scenario(human), "features_map").first()["probability"] > 0.5
+
+
+def test_tree_shap_additive_for_gbt(spark, labelled):
+    from creditframe.operators.explain import tree_contributions
+    model = ml.boosted_trees(["x1", "x2"], "y", rounds=8, depth=3).fit(labelled)
+    c = tree_contributions(model, labelled, ["x1", "x2"], keep=["id"])
+    p = ml.predictions(model, labelled, "id", "y").select("id", F.col("probability").alias("p2"))
+    got = explain(c, ["x1", "x2"], keep=["id"]).join(p, "id").select("probability", "p2").collect()
+    assert all(abs(a - b) < 1e-9 for a, b in got)
+    # x1 carries most of the signal in this fixture
+    imp = c.select(F.avg(F.abs("contrib__x1")).alias("a"), F.avg(F.abs("contrib__x2")).alias("b")).first()
+    assert imp["a"] > imp["b"]
+
+
+def test_tree_shap_forest_sums_to_probability(spark, labelled):
+    from creditframe.operators.explain import tree_contributions
+    model = ml.random_forest(["x1", "x2"], "y", trees=5, depth=3).fit(labelled)
+    c = tree_contributions(model, labelled, ["x1", "x2"], keep=["id"])
+    p = ml.predictions(model, labelled, "id", "y").select("id", F.col("probability").alias("p2"))
+    got = explain(c, ["x1", "x2"], keep=["id"]).join(p, "id").select("probability", "p2").collect()
+    assert all(abs(a - b) < 1e-6 for a, b in got)

@@ -121,9 +121,10 @@ def forest_arrays(model) -> tuple[list[dict], list[float], str]:
     return tables, weights, kind
 
 
-def _tree_shap(x, t, phi) -> None:
-    """Path-dependent TreeSHAP (Lundberg, Erion and Lee, 2018) for one row
-    and one tree; adds the feature attributions into ``phi``."""
+def _tree_shap(goes_left, t, phi) -> None:
+    """Path-dependent TreeSHAP (Lundberg, Erion and Lee, 2018) for one tree;
+    ``goes_left[j]`` is the row's decision at internal node ``j``.  Adds the
+    feature attributions into ``phi``."""
     feat, thr, left, right, value, cover = (t["feature"], t["threshold"], t["left"], t["right"],
                                             t["value"], t["cover"])
 
@@ -173,7 +174,7 @@ def _tree_shap(x, t, phi) -> None:
                 phi[m[i][0]] += unwound_sum(m, i) * (m[i][2] - m[i][1]) * value[j]
             return
         d = feat[j]
-        hot, cold = (left[j], right[j]) if x[d] <= thr[j] else (right[j], left[j])
+        hot, cold = (left[j], right[j]) if goes_left[j] else (right[j], left[j])
         iz = io = 1.0
         k = next((i for i in range(1, len(m)) if m[i][0] == d), None)
         if k is not None:
@@ -210,13 +211,17 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype="float64")
             out = np.zeros((x.shape[0], len(feats)))
-            for r in range(x.shape[0]):
-                phi = np.zeros(len(feats) + 1)
-                for t, w in zip(tables, weights):
-                    part = np.zeros(len(feats) + 1)
-                    _tree_shap(x[r], t, part)
-                    phi += w * part
-                out[r] = phi[:len(feats)]
+            for t, w in zip(tables, weights):
+                internal = t["left"] >= 0
+                # the attribution depends on a row only through its decisions
+                # at the internal nodes: solve once per distinct decision row
+                dec = np.zeros((x.shape[0], len(t["left"])), dtype=bool)
+                dec[:, internal] = x[:, t["feature"][internal]] <= t["threshold"][internal]
+                patterns, inverse = np.unique(dec, axis=0, return_inverse=True)
+                solved = np.zeros((len(patterns), len(feats) + 1))
+                for u, pattern in enumerate(patterns):
+                    _tree_shap(pattern, t, solved[u])
+                out += w * solved[inverse.reshape(-1), :len(feats)]
             res = pdf[list(keep)].copy() if keep else pd.DataFrame(index=pdf.index)
             for i, f in enumerate(feats):
                 res[f] = pdf[f].astype("float64")

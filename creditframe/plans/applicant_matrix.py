@@ -133,7 +133,7 @@ def _matrix_sql() -> str:
     blocks = ",\n".join(_block_sql(n, cs, k) for n, cs, k in BLOCKS)
     hist_cols = [c for _, cs, _ in BLOCKS for c in cs]
     ev = """ev AS (SELECT user_id AS c_custkey, round(avg(value), 4) AS EVT_VALUE_MEAN, round(max(value), 4) AS EVT_VALUE_MAX,
-             round(sum(value), 4) AS EVT_VALUE_SUM, count(event_id) AS EVT_EVENT_ID_COUNT,
+             CAST(sum(value) AS BIGINT) AS EVT_VALUE_SUM, count(event_id) AS EVT_EVENT_ID_COUNT,
              CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS EVT_PURCHASE_COUNT,
              count(DISTINCT event_type) AS EVT_TYPE_COUNT FROM @EVENTS GROUP BY user_id)"""
     ev_cols = ["EVT_VALUE_MEAN", "EVT_VALUE_MAX", "EVT_VALUE_SUM", "EVT_EVENT_ID_COUNT", "EVT_PURCHASE_COUNT",

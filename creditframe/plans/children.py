@@ -47,7 +47,7 @@ SELECT o_custkey,
        round(avg(o_totalprice), 4) AS ORD_O_TOTALPRICE_MEAN,
        round(min(o_totalprice), 4) AS ORD_O_TOTALPRICE_MIN,
        round(max(o_totalprice), 4) AS ORD_O_TOTALPRICE_MAX,
-       round(sum(o_totalprice), 4) AS ORD_O_TOTALPRICE_SUM,
+       CAST(sum(o_totalprice) AS BIGINT) AS ORD_O_TOTALPRICE_SUM,
        count(o_totalprice) AS ORD_O_TOTALPRICE_COUNT
 FROM @ORDERS GROUP BY o_custkey
 """, "A1")
@@ -84,14 +84,14 @@ def a10_distinct(spark, sf_dir):
 J1_SQL = """
 WITH o AS (
   SELECT o_custkey AS c_custkey,
-         avg(o_totalprice) AS ORD_O_TOTALPRICE_MEAN, sum(o_totalprice) AS ORD_O_TOTALPRICE_SUM,
+         avg(o_totalprice) AS ORD_O_TOTALPRICE_MEAN, CAST(sum(o_totalprice) AS BIGINT) AS ORD_O_TOTALPRICE_SUM,
          count(o_totalprice) AS ORD_O_TOTALPRICE_COUNT,
          CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS ORD_FILLED_COUNT,
          count(DISTINCT o_orderpriority) AS ORD_PRIORITY_COUNT
   FROM @ORDERS GROUP BY o_custkey),
 e AS (
   SELECT user_id AS c_custkey, avg(value) AS EVT_VALUE_MEAN, max(value) AS EVT_VALUE_MAX,
-         sum(value) AS EVT_VALUE_SUM, count(event_id) AS EVT_EVENT_ID_COUNT,
+         CAST(sum(value) AS BIGINT) AS EVT_VALUE_SUM, count(event_id) AS EVT_EVENT_ID_COUNT,
          CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS EVT_PURCHASE_COUNT,
          count(DISTINCT event_type) AS EVT_TYPE_COUNT
   FROM @EVENTS GROUP BY user_id)

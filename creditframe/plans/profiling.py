@@ -366,9 +366,9 @@ def o5_unpivot(spark, sf_dir):
 
 @register("o6_pivot", """
 SELECT o_orderpriority,
-       sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS F,
-       sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS O,
-       sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS P
+       CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS BIGINT) AS F,
+       CAST(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS BIGINT) AS O,
+       CAST(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS BIGINT) AS P
 FROM @ORDERS GROUP BY o_orderpriority
 """, "O6")
 def o6_pivot(spark, sf_dir):

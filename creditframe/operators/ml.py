@@ -180,17 +180,17 @@ def auc_ap(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Dat
     AP = sum over thresholds (high to low) of recall gain * precision.
     """
     sc = score_counts(df, score, label, by)
-    asc = running_totals(sc, score, ["neg"], by=by)
-    auc = asc.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-         / (F.sum("pos") * F.max("neg_total"))).alias("auc"))
-    desc = running_totals(sc, score, ["pos", "neg"], by=by, descending=True)
+    # one pass, high to low: negatives strictly below s = N - above - at s
+    d = running_totals(sc, score, ["pos", "neg"], by=by, descending=True)
+    below = F.col("neg_total") - F.col("neg_before") - F.col("neg")
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
-    ap = desc.groupBy(*by).agg(
+    g = d.groupBy(*by) if by else d.groupBy()
+    out = g.agg(
+        (F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.max("pos_total") * F.max("neg_total"))).alias("auc"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("pos_total") * tp / (tp + fp))
               .otherwise(F.lit(0.0))).alias("average_precision"))
-    return auc.join(ap, list(by), "inner") if by else with_scalars(auc, ap)
+    return out
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -85,8 +85,7 @@ def matrix_columns() -> list[str]:
 # rounding of each column exactly as in the block's own registered query
 DIGITS_4 = {"ORD_O_TOTALPRICE_MEAN", "ORD_O_TOTALPRICE_MIN", "ORD_O_TOTALPRICE_MAX", "ORD_O_TOTALPRICE_SUM",
             "LAST3_O_TOTALPRICE", "LAST5_O_TOTALPRICE", "LAST10_O_TOTALPRICE", "FIRST2_O_TOTALPRICE",
-            "FIRST4_O_TOTALPRICE", "INST_AMT_INSTALMENT_MEAN", "INST_AMT_INSTALMENT_SUM", "INST_AMT_INSTALMENT_MAX",
-            "INST_PAYMENT_DIFF_MEAN", "INST_PAYMENT_DIFF_SUM", "EVT_VALUE_MEAN", "EVT_VALUE_MAX", "EVT_VALUE_SUM"}
+            "FIRST4_O_TOTALPRICE", "EVT_VALUE_MEAN", "EVT_VALUE_MAX", "EVT_VALUE_SUM"}
 
 
 def applicant_matrix(spark, sf_dir):

@@ -162,8 +162,8 @@ def j2_two_hop(spark, sf_dir):
 
 @register("f10_payment_rows", """
 SELECT l.l_orderkey, l.l_linenumber, o.o_custkey,
-       round(l.l_extendedprice * (1 - l.l_discount) - l.l_extendedprice, 6) AS PAYMENT_DIFF,
-       round((l.l_extendedprice * (1 - l.l_discount)) / nullif(l.l_extendedprice, 0), 6) AS PAYMENT_RATIO,
+       @PAID - @DUE AS PAYMENT_DIFF,
+       round(@PAID / nullif(@DUE, 0), 6) AS PAYMENT_RATIO,
        CAST(date_diff('day', o.o_orderdate, l.l_shipdate) AS DOUBLE) AS DAYS_DIFF,
        CASE WHEN date_diff('day', o.o_orderdate, l.l_shipdate) > 0 THEN 1 ELSE 0 END AS LATE_PAYMENT,
        CAST(greatest(date_diff('day', o.o_orderdate, l.l_shipdate), 0) AS DOUBLE) AS DAYS_PAST_DUE
@@ -178,13 +178,13 @@ def f10_payment_rows(spark, sf_dir):
 
 @register("a5_installments", """
 WITH r AS (
-  SELECT o.o_custkey, l.l_extendedprice AS due, l.l_extendedprice * (1 - l.l_discount) AS paid,
+  SELECT o.o_custkey, @DUE AS due, @PAID AS paid,
          CAST(date_diff('day', o.o_orderdate, l.l_shipdate) AS DOUBLE) AS dd
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
 SELECT o_custkey,
-       round(avg(due), 4) AS INST_AMT_INSTALMENT_MEAN, round(sum(due), 4) AS INST_AMT_INSTALMENT_SUM,
-       round(max(due), 4) AS INST_AMT_INSTALMENT_MAX,
-       round(avg(paid - due), 4) AS INST_PAYMENT_DIFF_MEAN, round(sum(paid - due), 4) AS INST_PAYMENT_DIFF_SUM,
+       round(avg(due), 6) AS INST_AMT_INSTALMENT_MEAN, CAST(sum(due) AS BIGINT) AS INST_AMT_INSTALMENT_SUM,
+       max(due) AS INST_AMT_INSTALMENT_MAX,
+       round(avg(paid - due), 6) AS INST_PAYMENT_DIFF_MEAN, CAST(sum(paid - due) AS BIGINT) AS INST_PAYMENT_DIFF_SUM,
        round(avg(paid / nullif(due, 0)), 6) AS INST_PAYMENT_RATIO_MEAN,
        round(min(paid / nullif(due, 0)), 6) AS INST_PAYMENT_RATIO_MIN,
        round(avg(dd), 6) AS INST_DAYS_DIFF_MEAN, max(dd) AS INST_DAYS_DIFF_MAX,
@@ -195,13 +195,12 @@ FROM r GROUP BY o_custkey
 def a5_installments(spark, sf_dir):
     out = installment_aggregate(installments(spark, sf_dir), key="o_custkey", due="amt_instalment",
                                 paid="amt_payment", days_diff="days_diff")
-    money = [c for c in out.columns if "AMT_INSTALMENT" in c or "PAYMENT_DIFF" in c]
-    return round_all(round_all(out, 4, skip=[c for c in out.columns if c not in money]), 6)
+    return round_all(out, 6)
 
 
 @register("a6_past_due", """
 WITH r AS (
-  SELECT o.o_custkey, l.l_extendedprice AS due, l.l_extendedprice * (1 - l.l_discount) AS paid,
+  SELECT o.o_custkey, @DUE AS due, @PAID AS paid,
          CAST(date_diff('day', o.o_orderdate, l.l_shipdate) AS DOUBLE) AS dd
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
 SELECT o_custkey,

@@ -28,8 +28,9 @@ def expand(sql: str | None) -> str | None:
     """Replace binding tokens by their DuckDB twins (money in cents)."""
     if sql is None:
         return None
-    from ..sources.tables import EVENTS_C, ORDERS_C
-    return sql.replace("@ORDERS", ORDERS_C).replace("@EVENTS", EVENTS_C)
+    from ..sources.tables import DUE_C, EVENTS_C, ORDERS_C, PAID_C
+    return (sql.replace("@ORDERS", ORDERS_C).replace("@EVENTS", EVENTS_C)
+            .replace("@DUE", DUE_C).replace("@PAID", PAID_C))
 
 
 def register(name: str, sql: str | None, operators: str = ""):

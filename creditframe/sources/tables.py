@@ -26,6 +26,8 @@ def cents(col: str):
 
 
 # DuckDB twins of the bindings below, for the oracle SQL.
+DUE_C = "CAST(round(l.l_extendedprice * 100) AS BIGINT)"
+PAID_C = "CAST(round(l.l_extendedprice * (1 - l.l_discount) * 100) AS BIGINT)"
 ORDERS_C = "(SELECT * REPLACE (CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalprice) FROM orders)"
 EVENTS_C = "(SELECT * REPLACE (CAST(round(value * 100) AS BIGINT) AS value) FROM events)"
 
@@ -49,8 +51,9 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem joined to its order: one instalment row per line.
 
-    due = extended price, paid = price after discount, days between ship and
-    order date stand for payment minus due day.  The join is on the order key
+    due = extended price, paid = price after discount (both in integer cents,
+    the payment rounded to the cent), days between ship and order date stand
+    for payment minus due day.  The join is on the order key
     on both sides, so it is a plain shuffle join at scale (orders is a fact
     table, never broadcast blindly).
     """
@@ -60,6 +63,6 @@ def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
             .select(
                 F.col("o_custkey"), F.col("l_orderkey"), F.col("l_linenumber"),
-                F.col("l_extendedprice").alias("amt_instalment"),
-                (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amt_payment"),
+                cents("l_extendedprice").alias("amt_instalment"),
+                F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long").alias("amt_payment"),
                 F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).cast("double").alias("days_diff")))

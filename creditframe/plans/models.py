@@ -235,3 +235,17 @@ def m11_tree_contrib(spark, sf_dir):
     contrib = tree_contributions(model, d, MODEL_FEATURES, keep=["c_custkey"])
     return explanation_text(explain(contrib, MODEL_FEATURES, keep=["c_custkey"], top_n=5)).select(
         "c_custkey", "base_probability", "probability", "explanation", "top_factor_direction")
+
+
+@register("b5_band", f"""
+SELECT doc_id, score * 100 AS score_pct,
+       CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.6 THEN 'Medium' ELSE 'High' END AS risk_level,
+       CASE WHEN score * 100 > 1 THEN (CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.6 THEN 'Medium' ELSE 'High' END)
+            ELSE (CASE WHEN score * 100 < 0.3 THEN 'Low' WHEN score * 100 < 0.6 THEN 'Medium' ELSE 'High' END)
+       END AS risk_level_from_pct
+FROM {LABELLED_SQL}
+""", "B5 (0-1 and 0-100 scales)")
+def b5_band(spark, sf_dir):
+    d = labelled(spark, sf_dir).withColumn("score_pct", F.col("score") * 100)
+    return d.select("doc_id", "score_pct", risk_band3("score").alias("risk_level"),
+                    risk_band3("score_pct", percent_scale=True).alias("risk_level_from_pct"))

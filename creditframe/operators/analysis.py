@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expressions import bin_label, clip, corr_direction, corr_strength, feature_category, safe_div
 from .clean import with_scalars
@@ -352,4 +351,4 @@ def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label
     raise ValueError(f"unknown analysis type {analysis_type!r}; one of {ANALYSIS_TYPES}")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("np", "pd", "T")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("np", "pd")]

@@ -40,8 +40,8 @@ def _agg_expr(col: str, func: str) -> Column:
         return F.count_distinct(x)
     if func == "nunique_null":  # null is one more value (Polars n_unique)
         return F.count_distinct(x) + F.max(x.isNull().cast("int"))
-    if func == "median":
-        return F.percentile(x, 0.5)
+    # (no per-group median here: an exact percentile aggregate holds a whole
+    # group in one buffer; use ordered.quantiles(..., by=[key]) instead)
     raise ValueError(f"unknown aggregate {func!r}")
 
 

@@ -3,7 +3,10 @@
 1. Identical points are collapsed to one weighted point ``(coords, cnt,
    ysum)``: a value repeated by a third of all rows is a single row here.
 2. Every dimension is cut into cells at approximate quantiles of the
-   distinct points (equi-depth, so skewed axes still get even cells).
+   distinct points (equi-depth, so skewed axes still get even cells); the
+   grid is refined until no occupied cell holds more than ``4k`` distinct
+   points, which bounds the candidates of a query's first block even where
+   points concentrate jointly (along a diagonal, in a cluster).
 3. Round r: each query looks at the (2r+1)^d block of cells around its own
    cell - an *equi-join* on the cell code, never a cartesian product - keeps
    its nearest candidates (``row_number <= k`` runs map-side before the
@@ -32,15 +35,35 @@ from ..session import cut_lineage
 INF = float("inf")
 
 
+MAX_CELLS_PER_DIM = 1024
+
+
 def _bounds(points: DataFrame, dims: Sequence[str], cells: int) -> list[list[float]]:
     """Inner cell boundaries per dimension (sorted, distinct, at most cells-1)."""
     if cells <= 1:
         return [[] for _ in dims]
     probs = [i / cells for i in range(1, cells)]
-    row = points.agg(*[F.percentile_approx(d, probs, 10000).alias(d) for d in dims]).first()
+    accuracy = max(10000, 20 * cells)
+    row = points.agg(*[F.percentile_approx(d, probs, accuracy).alias(d) for d in dims]).first()
     return [sorted(set(float(v) for v in (row[d] or []))) for d in dims]
 
 
+def _grid(points: DataFrame, dims: Sequence[str], cells: int, cap: int):
+    """Equi-depth cells, refined until no occupied cell holds more than
+    ``cap`` distinct points (so a query's block holds at most 3^d * cap
+    candidates in the first round), or the resolution limit is reached."""
+    d = len(dims)
+    limit = min(MAX_CELLS_PER_DIM, int(2 ** (62 / d)))
+    while True:
+        bounds = _bounds(points, dims, cells)
+        sizes = [len(b) + 1 for b in bounds]
+        code = _code([_cell(F.col(x), b) for x, b in zip(dims, bounds)], sizes)
+        fullest = points.groupBy(code.alias("__code")).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= cap or cells >= limit:
+            return bounds, sizes
+        cells = min(limit, cells * 2)
+
+
 def _cell(x: Column, bounds: list[float]) -> Column:
     """0-based cell index: number of boundaries <= x."""
     if not bounds:
@@ -92,8 +115,10 @@ def knn_candidates(points: DataFrame, dims: Sequence[str], k: int, *, queries: D
     n_points = points.count()
     if cells is None:
         cells = max(1, int((n_points / max(k, 8)) ** (1.0 / d)))
-    bounds = _bounds(points, dims, cells)
-    sizes = [len(b) + 1 for b in bounds]
+        bounds, sizes = _grid(points, dims, cells, cap=max(4 * k, 256))
+    else:
+        bounds = _bounds(points, dims, cells)
+        sizes = [len(b) + 1 for b in bounds]
     cell_cols = [_cell(F.col(x), b) for x, b in zip(dims, bounds)]
     pts = points.withColumn("__code", _code(cell_cols, sizes)).select(*dims, "cnt", "ysum", "__code")
     qcols = [f"q_{x}" for x in dims]

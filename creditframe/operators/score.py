@@ -158,6 +158,19 @@ def human_scenario(df: DataFrame, *, income="income", credit_amount="credit_amou
     return df.withColumn("features_map", F.map_filter(m, lambda k, v: v.isNotNull()))
 
 
+def fallback_score_grouped(df: DataFrame, key: str | Sequence[str], value: str,
+                           out: str = "probability") -> DataFrame:
+    """B8 when the request's values are rows (one per value) rather than a
+    map: the same formula from ``avg(v)`` and ``avg(|v|)``, an aggregate with
+    a map-side partial step, so no group is ever collected into an array."""
+    keys = [key] if isinstance(key, str) else list(key)
+    v = F.col(value).cast("double")
+    g = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.avg(F.abs(v)).alias("__a"), F.count(v).alias("__n"))
+    inner = F.least(F.greatest(F.col("__m") / (F.col("__a") + F.lit(1e-6)), F.lit(-1.0)), F.lit(1.0))
+    prob = F.least(F.greatest(F.lit(0.5) + F.lit(0.5) * inner, F.lit(0.0)), F.lit(1.0))
+    return g.select(*keys, F.when(F.col("__n") > 0, prob).otherwise(F.lit(0.5)).alias(out))
+
+
 def fallback_score(df: DataFrame, col: str, out: str = "probability") -> DataFrame:
     """Model-free score over a request map's values (or an array)."""
     from pyspark.sql import types as T

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import risk_band3, risk_band4, risk_class, round_all
 from ..operators import ml
 from ..operators.explain import explain, explanation_text, linear_contributions
-from ..operators.score import fallback_score, human_scenario, project_features, validate_features, what_if
+from ..operators.score import (fallback_score, fallback_score_grouped, human_scenario, project_features,
+                               validate_features, what_if)
 from ..sources.tables import table
 from .children import applicant_history
 from .registry import register
@@ -95,9 +96,8 @@ SELECT l_orderkey,
 FROM v GROUP BY l_orderkey
 """, "B8")
 def b8_stub(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    req = li.groupBy("l_orderkey").agg(F.collect_list((F.col("l_quantity") - 25).cast("double")).alias("request"))
-    return round_all(fallback_score(req, "request").select("l_orderkey", "probability"), 6)
+    li = table(spark, sf_dir, "lineitem").withColumn("v", (F.col("l_quantity") - 25).cast("double"))
+    return round_all(fallback_score_grouped(li, "l_orderkey", "v"), 6)
 
 
 @register("k5_weights", """

@@ -82,3 +82,13 @@ def test_smote_balances_and_interpolates(spark):
     again = smote(spark.createDataFrame(pdf).repartition(4), "id", ["a", "b"], "y", k=5, seed=7)
     assert sorted(map(tuple, again.where("synthetic").select("id", "a").collect())) == \
         sorted(map(tuple, out.where("synthetic").select("id", "a").collect()))
+
+
+def test_knn_refines_jointly_dense_cells(spark):
+    # points on a diagonal: every marginal is uniform, the joint density is not
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "a": np.arange(n) / 7.0, "b": np.arange(n) / 7.0,
+                        "y": (np.arange(n) % 3 == 0).astype(int)})
+    got = knn_target_mean(spark.createDataFrame(pdf), "id", ["a", "b"], "y", 6, out="m").toPandas()
+    exp = brute_knn_mean(pdf, ["a", "b"], "y", 6, False)
+    assert np.allclose(got.set_index("id")["m"].sort_index().values, exp.sort_index().values)

@@ -438,3 +438,46 @@ def w6_funnel(spark, sf_dir):
     s = e.where(F.col("event_type").isin(list(FUNNEL_STEPS))).groupBy(step.alias("step")).agg(
         F.count_distinct("user_id").alias("users"))
     return round_all(an.funnel(s, "step", "users"), 6)
+
+
+@register("a16_missing_tables", """
+WITH li AS (SELECT count(*) AS n, count(*) - count(nullif(l_discount, 0.0)) AS l_discount,
+                   count(*) - count(nullif(l_tax, 0.0)) AS l_tax, 0 AS l_orderkey FROM lineitem),
+od AS (SELECT count(*) AS n, count(*) - count(nullif(o_orderpriority, '5-LOW')) AS o_orderpriority,
+              0 AS o_orderkey FROM orders),
+long AS (
+  SELECT 'lineitem' AS table_name, feature, missing_count, n
+  FROM (UNPIVOT li ON l_discount, l_tax, l_orderkey INTO NAME feature VALUE missing_count)
+  UNION ALL
+  SELECT 'orders', feature, missing_count, n
+  FROM (UNPIVOT od ON o_orderpriority, o_orderkey INTO NAME feature VALUE missing_count))
+SELECT table_name, feature, CAST(missing_count AS BIGINT) AS missing_count,
+       round(missing_count * 100.0::DOUBLE / n, 6) AS missing_pct
+FROM long WHERE missing_count > 0
+""", "A16")
+def a16_missing_tables(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"), F.nullif("l_tax", F.lit(0.0)).alias("l_tax"))
+    od = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"))
+    return round_all(pr.missing_by_table({"lineitem": li, "orders": od}), 6)
+
+
+@register("a27_vs_population", """
+WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT)::DOUBLE AS c_acctbal,
+                  c_nationkey::DOUBLE AS c_nationkey FROM customer),
+long AS (UNPIVOT c ON c_acctbal, c_nationkey INTO NAME feature VALUE value),
+m AS (SELECT feature, avg(value) AS pop_mean FROM long GROUP BY feature)
+SELECT c_custkey, long.feature, value, round(pop_mean, 6) AS pop_mean,
+       round(round(value / nullif(pop_mean, 0) * 100, 1), 6) + 0.0 AS pct_of_avg,  -- -0.0 -> 0.0
+       CASE WHEN round(value / nullif(pop_mean, 0) * 100, 1) > 100 THEN 'above'
+            WHEN round(value / nullif(pop_mean, 0) * 100, 1) IS NOT NULL THEN 'below' END AS position
+FROM long JOIN m ON long.feature = m.feature
+""", "A27, J5")
+def a27_vs_population(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", cents("c_acctbal").cast("double").alias("c_acctbal"),
+        F.col("c_nationkey").cast("double").alias("c_nationkey"))
+    ids = c.select("c_custkey")          # every applicant: the whole population report
+    out = an.report_vs_population(c, "c_custkey", ids, ["c_acctbal", "c_nationkey"])
+    return out.withColumn("pop_mean", F.round("pop_mean", 6)).withColumn("pct_of_avg", F.round("pct_of_avg", 6))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_token_output")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to files and read back."""
+    path = scratch_path(spark, "token-files")
+    token_output.write(documents(spark, sf_dir), path)
+    return token_output.read(spark, path, with_ids=False)

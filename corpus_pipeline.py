@@ -1,24 +1,61 @@
-"""The corpus pipeline: quality rules first; further stages follow."""
+"""The corpus pipeline: documents to token files, one operator a stage.
+
+Every stage works on all rows that the one before it kept; its result is
+written below the shared checkpoint folder and read again, so a lost executor
+costs at most the stage that runs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditframe.llm import quality
+from creditframe.llm import decontaminate, mixing, quality, simhash, token_output
 from creditframe.llm.common import written
+from creditframe.session import scratch_path
 from creditframe.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the threshold table."""
     return quality.keep(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of linked fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark windows."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix uses them; none is lost."""
+    return mixing.mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix; what they hold per document use."""
+    path = scratch_path(spark, "token-files")
+    token_output.write(docs, path)
+    return token_output.read(spark, path, with_ids=False)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+    ("token_output", token_stage),
+]
+
+#: SimHash and the tokenizer are not SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and reread by the next."""
+    """All stages over ``documents``, each written and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -150,4 +150,8 @@ def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "tex
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all of their columns unchanged."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return judge(packed, ("row",), "text", rules).filter("kept").select("row.*")
+    # a filter on the verdict would be pushed below the projections and carry
+    # a copy of every metric along; a generator reads the verdict once
+    verdict = judge(packed, ("row",), "text", rules)
+    return verdict.select(F.explode(F.when(F.col("kept"), F.array("row")).otherwise(
+        F.array().cast(verdict.select(F.array("row").alias("r")).schema["r"].dataType))).alias("row")).select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, quality, simhash, token_output
+from . import decontaminate, mixing, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_output.write(documents(spark, sf_dir), path)
     return token_output.read(spark, path, with_ids=False)
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document in the mix."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return mixing.realise(docs, mixing.plan(docs)).select("doc_id", "source", "block", "place")

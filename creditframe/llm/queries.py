@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, mixing, quality, simhash, token_output
+from . import decontaminate, lm, mixing, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of every document in the mix."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     return mixing.realise(docs, mixing.plan(docs)).select("doc_id", "source", "block", "place")
+
+
+@query("op7_lm_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every document, learnt from six sevenths."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm.score(documents(spark, sf_dir), held)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, lm, mixing, quality, simhash, token_output
+from . import decontaminate, lm, mixing, pii, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and model scores of every document, learnt from six sevenths."""
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return lm.score(documents(spark, sf_dir), held)
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every document."""
+    found = pii.find(documents(spark, sf_dir))
+
+    def listed(spans):
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"])))
+        name = F.array(*[F.lit(k) for k in pii.KINDS])
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(
+            ":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(i: int):
+        return F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long").alias(f"n_{pii.KINDS[i]}")
+
+    counts = [count(i) for i in range(len(pii.KINDS))]
+    return found.select("row.doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))

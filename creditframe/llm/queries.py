@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, lm, mixing, pii, quality, simhash, token_output
+from . import decontaminate, licences, lm, mixing, pii, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(i) for i in range(len(pii.KINDS))]
     return found.select("row.doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op5_licence_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that may be licence notices, and the family that stands."""
+    docs = documents(spark, sf_dir)
+    found = licences.scan(docs, licences.train(docs))
+    return found.select("row.doc_id", "line", "predicted", F.round("p", 4).alias("p"),
+                        F.round("similarity", 4).alias("similarity"), "family")

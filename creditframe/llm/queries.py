@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, licences, lm, mixing, pii, quality, simhash, token_output
+from . import decontaminate, licences, line_templates, lm, mixing, pii, quality, simhash, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(docs, licences.train(docs))
     return found.select("row.doc_id", "line", "predicted", F.round("p", 4).alias("p"),
                         F.round("similarity", 4).alias("similarity"), "family")
+
+
+@query("op4_line_templates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that a recurring template stands for."""
+    found = line_templates.dedupe(documents(spark, sf_dir))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, licences, line_templates, lm, mixing, pii, quality, simhash, token_output
+from . import decontaminate, licences, line_templates, lm, mixing, pii, quality, simhash, substring_dedup, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that a recurring template stands for."""
     found = line_templates.dedupe(documents(spark, sf_dir))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 100-byte strings."""
+    return substring_dedup.dedupe(documents(spark, sf_dir), with_text=False)

@@ -1,0 +1,303 @@
+"""SimHash, substrings, language model, personal data, token files, pipeline."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from creditframe.llm import components, elias_fano, huffman, lm, pii, simhash, substring_dedup, suffix_groups, token_output
+from creditframe.llm.common import tokenizer_file
+from creditframe.llm.pretokens import Encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(s):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), s or "")
+
+
+def print_of(t):
+    w = WORD.findall(lower(t))
+    s = [" ".join(w[i:i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    votes = [0] * 64
+    for x in s:
+        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        for b in range(64):
+            votes[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(s))
+
+
+def roots(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in nodes}
+
+
+def test_simhash_classes(docs, texts):
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    f = [print_of(t) for t in texts]
+    n = range(len(texts))
+    want = roots(n, [(i, j) for i in n for j in n if i < j and (f[i] ^ f[j]).bit_count() <= 4])
+    assert {i: (got[i].fingerprint, got[i].component_id) for i in n} == {i: (f"{f[i]:016x}", want[i]) for i in n}
+
+
+@pytest.mark.parametrize("cut", [8, 1024])
+def test_pigeonhole_links_connect_all_near_prints(spark, monkeypatch, cut):
+    monkeypatch.setattr(simhash, "CUT", cut)
+    rng = random.Random(1)
+    prints = set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 30])):
+            x = base
+            for _ in range(rng.randint(0, 5)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+    got = {r.fp: r.root for r in simhash.classes(spark.createDataFrame(signed, "fp long")).collect()}
+    want = roots(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
+    parts = lambda m: sorted(sorted(k for k in m if m[k] == r) for r in set(m.values()))
+    assert parts({k % (1 << 64): v for k, v in got.items()}) == parts(want)
+
+
+def test_tables_cover_every_choice():
+    for n in (10, 10**5, 10**9, 10**12):
+        for t in simhash.tables(n):
+            assert 0 < t < 1 << 64
+        assert len(simhash.tables(n)) == math.comb({5: 5, 15: 6, 35: 7, 70: 8, 126: 9}[len(simhash.tables(n))], 4)
+
+
+def test_simhash_edges(docs, odd):
+    assert simhash.near_duplicates(odd).count() == odd.count()
+    kept = simhash.one_of_each(odd)
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "a b c d e f g h i j k l m n", "other text", "same text"]
+    assert simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_components_of_paths_stars_and_nothing(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 200)]
+    edges += [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(60)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == roots(nodes, [e for e in edges if e[0] != e[1]])
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_suffix_arrays_against_sorting():
+    rng = random.Random(3)
+    strings = []
+    for _ in range(800):
+        k, n = rng.choice([1, 2, 3, 26]), rng.randint(0, 50)
+        s = [rng.randint(1, k) for _ in range(n)]
+        strings.append(((s[:max(1, n // 6)] * 8)[:n] if rng.random() < .3 else s) + [0])
+    size = np.array([len(s) for s in strings])
+    first = np.cumsum(size) - size
+    order = suffix_groups.suffix_arrays(np.concatenate([np.array(s) for s in strings]), first, size)
+    for s, f, n in zip(strings, first, size):
+        assert list(order[f:f + n] - f) == sorted(range(n), key=lambda i: s[i:])
+
+
+def substrings_brute(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p:p + 100] in seen:
+                cover[p:p + 100] = b"\1" * 100
+            seen.add(b[p:p + 100])
+        kept = bytes(x for x, c in zip(b, cover) if not c)
+        runs = sum(c and not (k and cover[k - 1]) for k, c in enumerate(cover))
+        out[i] = (len(b), sum(cover), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"STRING": 600, "STRETCH": 1000}, {"STRING": 600, "STRETCH": 1000, "PACK": 2000}])
+def test_substrings(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(substring_dedup, k, v)
+    rng = random.Random(5)
+    blocks = ["".join(rng.choices("abcde ", k=rng.randint(20, 400))) for _ in range(20)]
+    blocks += ["ab" * 150, "x" * 250, "For " * 100, "é" * 120]
+    rows = [(i, "".join(rng.choices(blocks, k=rng.randint(0, 7)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:5] for r in substring_dedup.dedupe(df, with_text=False, shards=3).collect()}
+    assert got == substrings_brute(rows)
+
+
+def test_substring_spans_and_edges(spark, docs, odd):
+    df = spark.createDataFrame([(None, "a" * 300), (None, None), (1, "a" * 300), (2, ""), (1, "a" * 300)],
+                               "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedupe(df).collect())
+    assert got == [(0, 0, 0, b""), (0, 300, 299, b"a"), (1, 300, 300, b""), (1, 300, 300, b""), (2, 0, 0, b"")]
+    assert substring_dedup.dedupe(odd).count() == odd.count()
+    assert substring_dedup.dedupe(docs.limit(0)).count() == 0
+
+
+def test_elias_fano_and_trie():
+    rng = np.random.default_rng(4)
+    for n, u in ((1, 5), (300, 1000), (300, 1 << 45), (50, 3)):
+        v = np.sort(rng.integers(0, u, n)).astype(np.uint64)
+        ef = elias_fano.EliasFano(n, *elias_fano.EliasFano.parts(v, u))
+        assert (ef.get(np.arange(n)) == v).all()
+        q = np.r_[v, rng.integers(0, u, 50).astype(np.uint64)]
+        assert (ef.successor(q) == np.searchsorted(v, q)).all()
+    pairs = np.unique(rng.integers(0, 60, (500, 2)), axis=0)
+    p = -rng.random(len(pairs)) * 5
+    trie = elias_fano.Trie(elias_fano.Trie.build(pairs[:, 0], pairs[:, 1], p, lambda c: -0.01 * c, 61))
+    known, weight, hit, found = trie.look_up(pairs[:, 0], pairs[:, 1])
+    assert known.all() and hit.all() and np.abs(found - p).max() < 1e-3
+    assert np.abs(weight + 0.01 * pairs[:, 0]).max() < 1e-3
+    there = set(map(tuple, pairs.tolist()))
+    q = rng.integers(0, 61, (400, 2))
+    assert trie.look_up(q[:, 0], q[:, 1])[2].tolist() == [tuple(x) in there for x in q.tolist()]
+    assert not elias_fano.Trie(elias_fano.Trie.build(*[np.zeros(0, np.int64)] * 3, lambda c: c, 5)).look_up(
+        np.array([1]), np.array([1]))[2].any()
+
+
+@pytest.mark.parametrize("shards", [None, 40])
+def test_language_model(docs, texts, shards):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = {r.doc_id: r for r in lm.score(docs, held, shards=shards).collect()}
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tokens = [[*WORD.findall(lower(t)), None] for t in texts]
+    c = Counter(w for t, h in zip(tokens, out) if not h for w in t)
+    pairs, first = Counter(), Counter()
+    for t, h in zip(tokens, out):
+        if not h:
+            pairs.update(zip(["<s>", *t], t))
+            first.update(["<s>", *t[:-1]])
+    n, v = sum(c.values()), len(c)
+    base, gain = 0.0, 0.0
+    for i, t in enumerate(tokens):
+        r = got[i]
+        p = [(c[w] + 1) / (n + v + 1) for w in t]
+        s = sum(math.log10((pairs[a, w] + lm.MU * q) / (first[a] + lm.MU)) for a, w, q in zip(["<s>", *t], t, p))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(map(math.log10, p)), rel=1e-9)
+        assert abs(r.score - s) < 1e-3 * len(t)
+    tries = lm.tries(docs, held, shards=3).collect()
+    assert sum(elias_fano.Trie(bytes(r.trie)).successors.size for r in tries if r.trie) == len(pairs)
+
+
+def test_language_model_edges(docs, odd):
+    rows = lm.score(odd, F.lit(None).cast("boolean")).collect()
+    assert len(rows) == odd.count() and {r.train_tokens for r in rows} == {27}
+    none = lm.score(odd, F.lit(True)).collect()
+    assert {r.train_tokens for r in none} == {0} and all(r.base_score == 0 and r.n_known == 0 for r in none)
+    assert lm.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_brute(t):
+    out = []
+    for k, p in enumerate(BASE.values()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == 1 and any(int(x) > 255 for x in m[0].split(".")) or k == 2 and not (13 <= len(d) <= 19 and pii.luhn(d)) \
+                    or k == 3 and not 9 <= len(d) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return out
+
+
+def test_personal_data_base_spans():
+    rng = random.Random(2)
+    for _ in range(20000):
+        t = "".join(rng.choices("aZ0123.@ -_%+()19\né", k=rng.randint(0, 40)))
+        assert pii.base_spans(t) == base_brute(t), t
+
+
+def test_personal_data_adds_and_keeps(spark):
+    rows = [(i, f"x mail{i}@host.example.com é call +1 (555) 123-{1000 + i} now. ip 10.0.{i}.7") for i in range(30)]
+    rows += [(100 + i, f"phone 555 123 {1000 + i} ok") for i in range(30)] + [(200, None), (201, ""), (202, "id 1234")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.row.doc_id: r.spans for r in pii.find(df).collect()}
+    for i, t in rows:
+        assert sorted((s.kind, s.start, s.end) for s in got[i] if s.base) == base_brute(t or "")
+        spans = sorted((s.start, s.end) for s in got[i])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(any(not s.base and s.kind == 3 for s in got[100 + i]) for i in range(30)) >= 25
+    assert got[202] == []
+    assert all(r.spans == [] for r in pii.find(df.filter("doc_id > 199")).collect())
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_reliabilities_follow_the_votes():
+    q = pii.reliabilities([(2, (1, 1, 1, 1, 1), 100), (2, (1, -1, -1, 0, 1), 80), (2, (1, -1, 1, 0, 1), 20)])
+    assert q[2, (1, 1, 1, 1, 1)] > 0.95 and q[2, (1, -1, -1, 0, 1)] < 0.05 and q[2, (1, -1, 1, 0, 1)] < 0.5
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+
+
+def test_encoder_equals_the_library(tokenizer, texts):
+    rng = random.Random(1)
+    hard = ["", "  ", "a \n b", "don't'sam I'll've 're's!'s '\ns", "x\n", "½²a1b２Ⅷ", "日本語 テスト", "<|endoftext|> hi", "᠎ x", "ꟲ new"]
+    hard += ["".join(rng.choices(" \n\t'sremlvtdA1.!é ½", k=rng.randint(0, 30))) for _ in range(4000)]
+    hard += [t or "" for t in texts]
+    got = Encoder(tokenizer_file("byte_bpe_50k.json"), 2).encode(hard)
+    for t, g, e in zip(hard, got, tokenizer.encode_batch(hard, add_special_tokens=False), strict=True):
+        assert g.tolist() == [*e.ids, 2], t
+
+
+@pytest.mark.parametrize("counts", [[], [5], [1, 1], [0, 3, 0, 1], [2 ** min(i, 40) for i in range(60)], list(range(1000))])
+def test_huffman_round_trip(counts):
+    counts = np.array(counts, np.int64)
+    length = huffman.lengths(counts)
+    used = length[counts > 0].astype(float)
+    assert (length <= huffman.LIMIT).all() and ((length > 0) == (counts > 0)).all() and (2.0 ** -used).sum() <= 1
+    symbols = np.flatnonzero(counts)
+    ids = np.random.default_rng(0).choice(symbols, 3000).astype(np.uint32) if len(symbols) else np.zeros(0, np.uint32)
+    stream, offsets = huffman.pack(ids, length, huffman.codes(length))
+    table = huffman.decode_table(length)
+    assert (huffman.unpack(stream, len(ids), offsets, table) == ids).all()
+    # a checkpoint alone decodes its stretch
+    if len(ids):
+        tail = ids[2 * huffman.STEP:]
+        assert (huffman.unpack(stream, len(tail), offsets[2:], table) == tail).all()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 50])
+def test_token_files(spark, docs, texts, tokenizer, tmp_path, block):
+    path = f"{tmp_path}/files"
+    token_output.write(docs, path, block=block)
+    got = {r.doc_id: r for r in token_output.read(spark, path).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        r = got[i]
+        assert (r.start, r.n_tokens, r.ids, r.ids_crc32) == (at, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_token_files_edges(spark, odd, tmp_path):
+    token_output.write(odd, f"{tmp_path}/odd")
+    rows = sorted((r.start, r.n_tokens, r.doc_id) for r in token_output.read(spark, f"{tmp_path}/odd").collect())
+    assert [r[2] for r in rows] == [None, None, 1, 1, 1, 2, 2]
+    assert all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:]))
+    token_output.write(odd.limit(0), f"{tmp_path}/none")
+    assert token_output.read(spark, f"{tmp_path}/none").count() == 0

@@ -1,3 +1,5 @@
+"""Fixtures shared by these tests (imported by name: a second conftest would shadow the first)."""
+
 import random
 
 import pytest

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from corpus_fixtures import docs, odd, texts  # noqa: F401
 from creditframe.llm import components, elias_fano, huffman, lm, pii, simhash, substring_dedup, suffix_groups, token_output
 from creditframe.llm.common import tokenizer_file
 from creditframe.llm.pretokens import Encoder

@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline
+from corpus_fixtures import docs, odd, texts  # noqa: F401
 from creditframe.llm import decontaminate, mixing, quality, queries, simhash
 from test_models_and_dedup import print_of, roots
 from test_rules_and_search import search_brute

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import docs, odd, texts  # noqa: F401
 from creditframe.llm import decontaminate, licences, line_templates, mixing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -102,7 +102,7 @@ def _binned(long: DataFrame, st: DataFrame, bins: int, keep_top_edge: bool, digi
     x, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     raw = F.when(hi > lo, F.floor((x - lo) / (hi - lo) * F.lit(bins)) + 1).otherwise(F.lit(1))
     bucket = F.least(raw, F.lit(bins)) if keep_top_edge else raw
-    counted = (long.join(F.broadcast(st), "feature")
+    counted = (long.join(st, "feature")
                .where(x.isNotNull() & (x >= lo) & (x <= hi))
                .select("feature", bucket.cast("int").alias("bin"))
                .where(F.col("bin").between(1, bins))
@@ -216,7 +216,7 @@ def report_vs_population(df: DataFrame, key: str, ids: DataFrame, cols: Sequence
     vals = df.join(ids.select(key).distinct(), key, "inner").select(
         key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([key], list(cols), "feature", "value")
     pct = F.round(safe_div(F.col("value"), F.col("pop_mean")) * 100, 1)
-    return vals.join(F.broadcast(means), "feature").select(
+    return vals.join(means, "feature").select(
         key, "feature", "value", "pop_mean", pct.alias("pct_of_avg"),
         F.when(pct > 100, "above").when(pct.isNotNull(), "below").alias("position"))
 
@@ -296,11 +296,9 @@ def cumulative_share(df: DataFrame, value: str, *, order_desc: bool = True,
     """Running ``cumsum / sum`` in value order (largest first by default).
 
     Uses the bucketed running total, so it stays distributed on any size.
-    Rows with equal values are ordered by the remaining columns' hash only
-    through the value; ``df`` should be unique on ``value`` order for a
-    strict sequence (feature importances are).
+    Rows with equal values follow their other columns, so ties have one order.
     """
-    rt = running_totals(df, value, [value], descending=order_desc)
+    rt = running_totals(df, value, [value], descending=order_desc, tiebreak=[c for c in df.columns if c != value])
     return rt.withColumn(out, (F.col(f"{value}_before") + F.col(value)) / F.col(f"{value}_total")) \
         .drop(f"{value}_before", f"{value}_total")
 
@@ -325,16 +323,28 @@ def correlation_insight(r: Column) -> Column:
     return F.format_string("%.3f (%s %s)", r, corr_strength(r), corr_direction(r))
 
 
+# --- fixed values: analysis types and the chart each is drawn as -----------
 ANALYSIS_TYPES = ("distribution", "comparison", "correlation", "trend", "composition",
                   "risk_breakdown", "population_comparison")
-MAX_FEATURES = 15
+CHART_TYPES = {"distribution": "histogram", "comparison": "bar", "correlation": "heatmap", "trend": "line",
+               "composition": "pie", "risk_breakdown": "bar", "population_comparison": "bar"}
+
+
+def per_feature(parts: dict[str, DataFrame]) -> DataFrame:
+    """One frame of several features' chart rows, with a ``feature`` column."""
+    out = None
+    for name, df in parts.items():
+        df = df.select(F.lit(name).alias("feature"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label: str = "TARGET",
             compare_groups: str | None = None, ts: str | None = None) -> dict[str, DataFrame]:
     """Analysis dispatch: a type picks the statistics (all features in one
-    aggregate) and the chart data.  At most 15 features, as the source."""
-    feats = list(features)[:MAX_FEATURES]
+    aggregate) and the chart data.  Every requested feature is analysed; the
+    chart of a type is ``CHART_TYPES[type]``."""
+    feats = list(features)
     if analysis_type == "distribution":
         stats = group_stats(df, feats, compare_groups) if compare_groups else describe(df, feats)
         return {"statistics": stats, "chart_data": histogram_iqr(df, feats)}
@@ -343,9 +353,11 @@ def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label
     if analysis_type == "correlation":
         return {"statistics": correlation_matrix(df, feats)}
     if analysis_type == "trend":
-        return {"chart_data": trend(df, ts, feats[0], series=compare_groups)}
+        return {"chart_data": per_feature({f: trend(df, ts, f, series=compare_groups).withColumnRenamed(f, "value")
+                                           for f in feats})}
     if analysis_type == "composition":
-        return {"chart_data": composition(df, feats[0])}
+        return {"chart_data": per_feature({f: composition(df.withColumn(f, F.col(f).cast("string")), f)
+                                           .withColumnRenamed(f, "category") for f in feats})}
     if analysis_type in ("risk_breakdown", "population_comparison"):
         return {"statistics": correlation_with_label(df, feats, label)}
     raise ValueError(f"unknown analysis type {analysis_type!r}; one of {ANALYSIS_TYPES}")

@@ -87,8 +87,7 @@ def iqr_summary(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5,
     bounds = iqr_bounds(df, cols, multiplier, method)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value")
-    counted = long.join(F.broadcast(bounds.select("feature", "lower_bound", "upper_bound")),
-                        "feature").groupBy("feature").agg(
+    counted = long.join(bounds.select("feature", "lower_bound", "upper_bound"), "feature").groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
               .cast("int")).cast("long").alias("n_outliers"))
@@ -135,13 +134,14 @@ def drop_missing_columns(df: DataFrame, threshold: float = 0.5,
 
 def drop_constant_columns(df: DataFrame, protect: Sequence[str] = ("SK_ID_CURR", "TARGET")
                           ) -> tuple[DataFrame, list[str]]:
-    """P10: drop numeric columns with zero variance (all values equal)."""
+    """P10: drop numeric columns with zero variance (all values equal); a
+    column without any value has no variance and stays."""
     num = [f.name for f in df.schema.fields
            if isinstance(f.dataType, T.NumericType) and f.name not in protect]
     if not num:
         return df, []
     row = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in num]).first().asDict()
-    dropped = [c for c in num if row[c] is True or row[c] is None]
+    dropped = [c for c in num if row[c] is True]
     return df.drop(*dropped), dropped
 
 

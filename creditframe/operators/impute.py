@@ -2,29 +2,19 @@
 
 Fitted statistics (medians, modes, code dictionaries) are small tables whose
 size is bounded by the schema (one row per column, one row per category), not
-by the data.  Dictionaries are still counted before they are broadcast.
+by the data; nothing is broadcast by hint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clean import with_scalars
-from .ordered import quantiles
-
-BROADCAST_MAX_ROWS = 2_000_000
-INLINE_MAX_ROWS = 20_000     # dictionaries up to this size become map literals in the plan
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small (one count job);
-    otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
+from .ordered import quantiles, running_totals
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -42,8 +32,10 @@ def fill_median(df: DataFrame, cols: Sequence[str], method: str = "linear") -> D
     med = median_table(df, cols, method).groupBy().pivot("feature", list(cols)).agg(F.first("median"))
     med = med.select(*[F.col(c).alias(f"{c}__med") for c in cols])
     out = with_scalars(df, med)
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__med").cast(df.schema[c].dataType))
-                           for c in cols})
+    # the median of integers may lie between them: such columns become double
+    kind = {c: T.DoubleType() if isinstance(df.schema[c].dataType, T.IntegralType) else df.schema[c].dataType
+            for c in cols}
+    out = out.withColumns({c: F.coalesce(F.col(c).cast(kind[c]), F.col(f"{c}__med").cast(kind[c])) for c in cols})
     return out.drop(*[f"{c}__med" for c in cols])
 
 
@@ -114,8 +106,12 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str], null_token: str | None =
         exprs.append(F.coalesce(v, F.lit(null_token)).alias(c) if null_token is not None else v.alias(c))
     long = df.select(*exprs).unpivot([], list(cols), "feature", "value")
     distinct = long.where(F.col("value").isNotNull()).groupBy("feature", "value").count().drop("count")
-    w = Window.partitionBy("feature").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("double"))
+    # sorted by value: the leading bytes as a number deal values to buckets in
+    # order, the value itself decides within
+    lead = F.rpad(F.hex(F.substring(F.col("value").cast("binary"), 1, 6)), 12, "0")
+    dealt = distinct.withColumns({"__lead": F.conv(lead, 16, 10).cast("long"), "__one": F.lit(1)})
+    placed = running_totals(dealt, "__lead", ["__one"], by=["feature"], tiebreak=["value"])
+    return placed.select("feature", "value", F.col("__one_before").cast("double").alias("code"))
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str],
@@ -123,35 +119,19 @@ def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str],
     """Replace each categorical by its code; an unseen value gets
     ``unseen`` (null to keep it missing).
 
-    The dictionary is counted first.  Up to ``INLINE_MAX_ROWS`` entries it is
-    inlined as one map literal per column (a pure projection: no join, no
-    shuffle); a larger one is joined, broadcast only when proven small.
+    One left join per column on the value; whether the dictionary is
+    broadcast is decided by its size.  A dictionary that lists a value twice
+    gives its lowest code.
     """
-    n = codes.count()
     fallback = F.lit(unseen).cast("double") if unseen is not None else F.lit(None).cast("double")
-
-    def key_of(c):
-        k = F.col(c).cast("string")
-        return F.coalesce(k, F.lit(null_token)) if null_token is not None else k
-
-    if n <= INLINE_MAX_ROWS:
-        entries: dict[str, list] = {}
-        for r in codes.select("feature", "value", "code").collect():
-            entries.setdefault(r["feature"], []).append((r["value"], float(r["code"])))
-        exprs = {}
-        for c in cols:
-            pairs = entries.get(c, [])
-            m = F.create_map(*[x for v, code in pairs for x in (F.lit(v), F.lit(code))]) if pairs else None
-            k = key_of(c)
-            looked = F.coalesce(m[k], fallback) if m is not None else fallback
-            exprs[c] = F.when(k.isNull(), F.lit(None).cast("double")).otherwise(looked)
-        return df.withColumns(exprs)
-    small = F.broadcast(codes) if n <= BROADCAST_MAX_ROWS else codes
     out = df
     for c in cols:
-        d = small.where(F.col("feature") == c).select(
-            F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
-        out = out.withColumn(f"__k_{c}", key_of(c)).join(d, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
+        key = F.col(c).cast("string")
+        if null_token is not None:
+            key = F.coalesce(key, F.lit(null_token))
+        d = codes.where(F.col("feature") == c).groupBy(F.col("value").alias(f"__v_{c}")).agg(
+            F.min("code").cast("double").alias(f"__c_{c}"))
+        out = out.withColumn(f"__k_{c}", key).join(d, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(f"__k_{c}").isNull(), F.lit(None).cast("double"))
                              .otherwise(F.coalesce(F.col(f"__c_{c}"), fallback)))
         out = out.drop(f"__k_{c}", f"__v_{c}", f"__c_{c}")

@@ -64,10 +64,9 @@ def stratified_split(df: DataFrame, key: str, label: str, fractions: Sequence[fl
 
 def _hash_rank(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     """0-based rank of each row by seeded hash within its label, and the
-    label's row count (distributed; ties on the 64-bit hash are broken by
-    the running-sum order)."""
+    label's row count (distributed; rows of one hash follow their key)."""
     h = df.withColumn("__h", F.xxhash64(F.col(key).cast("string"), F.lit(seed))).withColumn("__one", F.lit(1))
-    rt = running_totals(h, "__h", ["__one"], by=[label])
+    rt = running_totals(h, "__h", ["__one"], by=[label], tiebreak=[key])
     return rt.withColumnRenamed("__one_before", "__rank").withColumnRenamed("__one_total", "__n").drop("__one")
 
 
@@ -186,8 +185,10 @@ def auc_ap(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Dat
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
     g = d.groupBy(*by) if by else d.groupBy()
+    # a group with one class only has no AUC (null)
     out = g.agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.max("pos_total") * F.max("neg_total"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                     F.max("pos_total") * F.max("neg_total")).alias("auc"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("pos_total") * tp / (tp + fp))
               .otherwise(F.lit(0.0))).alias("average_precision"))
     return out
@@ -198,8 +199,8 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     sc = score_counts(df, score, label)
     d = running_totals(sc, score, ["pos", "neg"], descending=True)
     return d.select(F.col(score).alias("threshold"),
-                    ((F.col("neg_before") + F.col("neg")) / F.col("neg_total")).alias("fpr"),
-                    ((F.col("pos_before") + F.col("pos")) / F.col("pos_total")).alias("tpr"))
+                    F.try_divide(F.col("neg_before") + F.col("neg"), F.col("neg_total")).alias("fpr"),
+                    F.try_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total")).alias("tpr"))
 
 
 def confusion_metrics(df: DataFrame, prob: str, label: str, *, threshold: float = 0.5,

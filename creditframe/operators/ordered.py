@@ -20,29 +20,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null meets null; key columns come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def _n_below(bounds: Column, x: Column, n: int) -> Column:
+    """How many of the ``n`` sorted ``bounds`` lie below ``x``, in two steps of
+    about sqrt(n) comparisons."""
+    step = max(1, int(n ** 0.5))
+    coarse = F.filter(bounds, lambda b, i: (i % step == step - 1) & (b < x))
+    skip = F.size(coarse) * step
+    fine = F.filter(F.slice(bounds, skip + 1, F.lit(step)), lambda b: b < x)
+    return skip + F.size(fine)
+
+
 def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
-                   by: Sequence[str] = (), buckets: int = 64, descending: bool = False,
-                   accuracy: int = 10000) -> DataFrame:
+                   by: Sequence[str] = (), buckets: int | None = None, descending: bool = False,
+                   accuracy: int = 10000, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``{w}_before`` (sum over rows strictly before in order) and
     ``{w}_total`` (sum over the group) for every weight column.
 
-    ``df`` must hold one row per ``(by, order_col)``: pre-aggregate first, so
-    a value repeated by a third of all rows is one row here.  ``by`` must be
-    low-cardinality (features, labels): one small offsets table per group is
-    broadcast.  Without ``by`` the bucket bounds arrive as a scalar subquery.
+    ``df`` should hold one row per ``(by, order_col)``: pre-aggregate first,
+    so a value repeated by a third of all rows is one row here; rows that
+    still share a place are ordered by ``tiebreak``.  Null is a group of its
+    own.  There are as many buckets as shuffle partitions (64 at least), so
+    parallelism follows the cluster's setting.  Bounds and offsets are small
+    tables (groups x buckets); whether they are broadcast is left to their
+    size.  Without ``by`` the bucket bounds arrive as a scalar subquery.
     """
     from .clean import with_scalars
     keys = list(by)
+    if buckets is None:
+        buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     o = F.col(order_col)
     ordered = -o if descending else o
     probs = [i / buckets for i in range(1, buckets)]
-    bounds_agg = F.percentile_approx(ordered, probs, accuracy).alias("__bounds")
+    bounds_agg = F.percentile_approx(ordered, probs, max(accuracy, 20 * buckets)).alias("__bounds")
     if keys:
-        bounds = df.groupBy(*keys).agg(bounds_agg)
-        b = df.join(F.broadcast(bounds), keys, "inner")
+        b = join_null_safe(df, df.groupBy(*keys).agg(bounds_agg), keys)
     else:
         b = with_scalars(df, df.agg(bounds_agg))
-    b = b.withColumn("__bucket", F.size(F.filter(F.col("__bounds"), lambda x: x < ordered))).drop("__bounds")
+    place = F.coalesce(_n_below(F.col("__bounds"), ordered, buckets), F.lit(0))
+    b = b.withColumn("__bucket", place).drop("__bounds")
     tot = b.groupBy(*keys, "__bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weights])
     # the bucket table has at most len(groups) * buckets rows: windows over it are tiny
     part = keys or [F.lit(0)]
@@ -52,8 +74,8 @@ def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
         *[F.coalesce(F.sum(f"__bt_{w}").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"__off_{w}") for w in weights],
         *[F.sum(f"__bt_{w}").over(Window.partitionBy(*part)).alias(f"{w}_total") for w in weights])
-    b = b.join(F.broadcast(offs), keys + ["__bucket"], "inner")
-    wi = Window.partitionBy(*keys, "__bucket").orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)
+    b = join_null_safe(b, offs, keys + ["__bucket"])
+    wi = Window.partitionBy(*keys, "__bucket").orderBy(ordered, *tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     return b.select(
         *[c for c in b.columns if not c.startswith("__off_")],
         *[(F.col(f"__off_{w}") + F.coalesce(F.sum(w).over(wi), F.lit(0))).alias(f"{w}_before")
@@ -75,7 +97,7 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] =
 
 def quantiles_from_counts(vc: DataFrame, qs: Sequence[float], *, by: Sequence[str] = (),
                           value: str = "value", method: str = "linear",
-                          names: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+                          names: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact quantiles per ``by`` group from ``(by, value, cnt)`` rows.
 
     ``linear`` = ``PERCENTILE_CONT`` / pandas default; ``nearest`` = value at
@@ -129,4 +151,4 @@ def percent_rank_le(df: DataFrame, col: str, *, by: Sequence[str] = (), out: str
     rt = running_totals(vc, col, ["cnt"], by=by)
     ranks = rt.select(*by, col, (F.lit(100.0) * (F.col("cnt_before") + F.col("cnt"))
                                  / F.col("cnt_total")).alias(out))
-    return df.join(ranks, [*by, col], "left")
+    return join_null_safe(df, ranks, [*by, col], "left")

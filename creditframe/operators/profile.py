@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clean import with_scalars
-from .ordered import quantiles
+from .ordered import join_null_safe, quantiles
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -31,12 +31,14 @@ def label_rate(df: DataFrame, label: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str, *, top_n: int | None = None,
-                 normalize: bool = True) -> DataFrame:
+                 normalize: bool = True, dropna: bool = True) -> DataFrame:
     """Count (and share) per value, most frequent first.
 
-    The total is a one-row aggregate joined back, not a window over all
-    groups.  ``top_n`` keeps the n most frequent (ties by value).
+    Nulls are left out of both, as ``pandas.value_counts`` does, unless
+    ``dropna`` is off.  The total is a one-row aggregate joined back, not a
+    window over all groups.  ``top_n`` keeps the n most frequent (ties by value).
     """
+    df = df.where(F.col(col).isNotNull()) if dropna else df
     vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
         total = df.agg(F.count(F.lit(1)).alias("__total"))
@@ -63,7 +65,7 @@ def describe(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = (),
         F.max("value").alias("max"))
     q = quantiles(df, cols, [0.25, 0.5, 0.75], by=by, method=method).withColumnRenamed(
         "q50", "median")
-    out = moments.join(q, [*by, "feature"], "left")
+    out = join_null_safe(moments, q, [*by, "feature"], "left")
     return out.select(*by, "feature", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 

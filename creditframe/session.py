@@ -50,18 +50,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One JVM on one machine (``local``, ``local[n]``)?"""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset.
 
     On a cluster the setting names a shared folder (HDFS / object store) that
     survives executor loss.  A machine-local temporary folder is used only
-    when nothing was configured, which is the case in local tests.
+    when nothing was configured and the master is a single local JVM, as in
+    tests; elsewhere executors would write to disks of their own, so a
+    missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not is_local(sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
     if not configured:
         configured = tempfile.mkdtemp(prefix="creditframe-ckpt-")
     sc.setCheckpointDir(configured)

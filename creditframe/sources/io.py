@@ -102,8 +102,8 @@ def schema_catalogue(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, tables: Mapping[str, DataFrame], query: str,
-            limit: int | None = 1000) -> DataFrame:
-    """Ad-hoc SQL over named frames, row limited as the source advised."""
+            limit: int | None = None) -> DataFrame:
+    """Ad-hoc SQL over named frames; every row unless ``limit`` is asked for."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     out = spark.sql(query)

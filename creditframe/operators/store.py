@@ -4,11 +4,12 @@ A feature view is a key, an event-time column and a typed feature schema.
 The *offline* table holds every published row; the *online snapshot* holds
 the newest row per key, kept current by incremental materialization.
 
-Newest-per-key is ``groupBy(key).agg(max_by(struct(...), (ts, tiebreak)))``:
-an aggregate with a map-side partial step, so a key with a third of all rows
-crosses the shuffle as one row per map task, and an older late row can never
-replace a newer one.  Publishing writes a new version folder and flips a
-pointer file afterwards, so readers never see a half-written table.
+Newest-per-key is ``row_number() = 1`` over the key, newest first: the limit
+runs before the shuffle, so a key with a third of all rows crosses it as one
+row per map task, and an older late row can never replace a newer one.
+Publishing writes a new version folder and commits it by adding a numbered
+pointer file; pointers are never replaced, so readers never see a half-written
+table and a crash never loses the live one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,10 +78,25 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _read_pointer(spark: SparkSession, table_path: str) -> str | None:
-    fs, p = _fs(spark, f"{table_path.rstrip('/')}/_CURRENT")
-    if not fs.exists(p):
+def _pointers(spark: SparkSession, table_path: str) -> list[str] | None:
+    """Names of the committed pointer files in order; None if there never was
+    one.  A pointer folder without pointers means that they were lost."""
+    fs, folder = _fs(spark, f"{table_path.rstrip('/')}/_pointers")
+    if not fs.exists(folder):
         return None
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+    names = [n for n in names if not n.startswith((".", "_"))]
+    if not names:
+        raise RuntimeError(f"{table_path} has versions but its pointers are gone")
+    return names
+
+
+def _read_pointer(spark: SparkSession, table_path: str, name: str | None = None) -> str | None:
+    """Version named by the newest pointer (or by the pointer ``name``)."""
+    names = [name] if name else _pointers(spark, table_path)
+    if names is None:
+        return None
+    fs, p = _fs(spark, f"{table_path.rstrip('/')}/_pointers/{names[-1]}")
     stream = fs.open(p)
     try:
         reader = spark.sparkContext._jvm.java.io.BufferedReader(
@@ -91,15 +107,31 @@ def _read_pointer(spark: SparkSession, table_path: str) -> str | None:
 
 
 def _write_pointer(spark: SparkSession, table_path: str, version_dir: str) -> None:
-    fs, p = _fs(spark, f"{table_path.rstrip('/')}/_CURRENT")
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/_CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
+    """Commit a version: a pointer file of the next number is written aside
+    and renamed into place.  No earlier pointer is touched, so a crash at any
+    point leaves the last committed version live."""
+    names = _pointers(spark, table_path) or []
+    number = int(names[-1].split("-")[0]) + 1 if names else 0
+    name = f"{number:012d}-{uuid.uuid4().hex}"
+    fs, final = _fs(spark, f"{table_path.rstrip('/')}/_pointers/{name}")
+    _, aside = _fs(spark, f"{table_path.rstrip('/')}/_aside/{name}")
+    out = fs.create(aside, False)
     try:
         out.write(bytearray(version_dir.encode("utf-8")))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    fs.mkdirs(final.getParent())
+    if not fs.rename(aside, final):
+        raise RuntimeError(f"could not commit {version_dir} at {table_path}")
+
+
+def drop_old_versions(spark: SparkSession, table_path: str, keep: int) -> None:
+    """Remove the folders and pointers of all but the ``keep`` newest versions."""
+    for name in (_pointers(spark, table_path) or [])[:-keep]:
+        version = _read_pointer(spark, table_path, name)
+        for part in (version, f"_pointers/{name}"):
+            fs, p = _fs(spark, f"{table_path.rstrip('/')}/{part}")
+            fs.delete(p, True)
 
 
 def current_path(spark: SparkSession, table_path: str) -> str | None:
@@ -115,12 +147,15 @@ def read_published(spark: SparkSession, table_path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, view: FeatureView, table_path: str, *, verify: bool = True) -> dict:
+def publish(df: DataFrame, view: FeatureView, table_path: str, *, verify: bool = True,
+            allow_empty: bool = False) -> dict:
     """Project to the view, compare with the live schema, write a new
-    version, flip the pointer, verify the row count.
+    version, verify it, then commit its pointer.
 
     ``recreated`` tells whether the schema changed (the source dropped and
-    recreated its table then); rows are always fully replaced.
+    recreated its table then); rows are always fully replaced.  The rows that
+    went into the write are counted on the way; a version that reads back
+    another number, or none, is not committed.
     """
     spark = df.sparkSession
     out = project_to_view(df, view)
@@ -129,10 +164,13 @@ def publish(df: DataFrame, view: FeatureView, table_path: str, *, verify: bool =
     recreated = live is None or shape(spark.read.parquet(live).schema) != shape(out.schema)
     version = f"version={dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
     target = f"{table_path.rstrip('/')}/{version}"
-    out.write.mode("errorifexists").parquet(target)
+    sent = Observation()
+    out.observe(sent, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(target)
     result = {"recreated": recreated, "path": target}
     if verify:
         result["rows"] = spark.read.parquet(target).count()
+        if result["rows"] != sent.get["rows"] or not (result["rows"] or allow_empty):
+            raise RuntimeError(f"{target} holds {result['rows']} rows of {sent.get['rows']}; not committed")
     _write_pointer(spark, table_path, version)
     return result
 
@@ -148,10 +186,8 @@ def ts_literal(value: dt.datetime, dtype: T.DataType):
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest row per key; equal timestamps resolved by the largest ``tiebreak``."""
-    others = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("__row"))
-    return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others])
+    newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tiebreak])
+    return df.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn")
 
 
 def materialize(source: DataFrame, view: FeatureView, *, start: dt.datetime | None, end: dt.datetime,

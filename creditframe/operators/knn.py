@@ -1,22 +1,21 @@
-"""Exact k-nearest neighbours without a cross join (J4, K1, K4 support).
+"""Exact k-nearest neighbours by a pruned join of cells (J4, K1, K4 support).
 
 1. Identical points are collapsed to one weighted point ``(coords, cnt,
    ysum)``: a value repeated by a third of all rows is a single row here.
-2. Every dimension is cut into cells at approximate quantiles of the
-   distinct points (equi-depth, so skewed axes still get even cells); the
-   grid is refined until no occupied cell holds more than ``4k`` distinct
-   points, which bounds the candidates of a query's first block even where
-   points concentrate jointly (along a diagonal, in a cluster).
-3. Round r: each query looks at the (2r+1)^d block of cells around its own
-   cell - an *equi-join* on the cell code, never a cartesian product - keeps
-   its nearest candidates (``row_number <= k`` runs map-side before the
-   shuffle), and takes points in (distance, coordinates) order until k
-   individuals are covered.
-4. The answer is exact when the k-th distance is strictly smaller than the
-   distance from the query to the outside of its block; other queries go to
-   a next round with twice the radius.  Once the block spans the whole grid
-   the answer is exact by construction, so every query ends exact.  The
-   unresolved set is checkpointed between rounds to keep lineage short.
+2. Points are laid along a Z-order curve over their coordinates' ranks (so
+   skewed and median-filled axes still spread) and cut into cells of ``CELL``
+   neighbours on the curve; ``FAN`` cells make a parent, and so on.  Only
+   occupied cells exist, each with its bounding box and number of individuals.
+3. Pairs of (query node, point node) are followed from the top down.  At every
+   level a query node knows a distance within which k individuals must lie
+   (from boxes and counts); point nodes that begin beyond it are dropped, the
+   others and the query node are replaced by their children.
+4. The surviving pairs of leaf cells bring each query cell its candidate
+   points - an equi-join on the cell number - and each cell is searched as one
+   block of arrays.  Every query is final after this one pass.
+
+No query ever meets all points unless k asks for them: the number of candidate
+cells depends on k, the cell size and the dimensions, not on the table size.
 
 Ties: points are taken in (squared distance, coordinates) order; when the
 k-th individual falls inside a group of identical points, that group counts
@@ -27,78 +26,157 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-
-INF = float("inf")
-
-
-MAX_CELLS_PER_DIM = 1024
-
-
-def _bounds(points: DataFrame, dims: Sequence[str], cells: int) -> list[list[float]]:
-    """Inner cell boundaries per dimension (sorted, distinct, at most cells-1)."""
-    if cells <= 1:
-        return [[] for _ in dims]
-    probs = [i / cells for i in range(1, cells)]
-    accuracy = max(10000, 20 * cells)
-    row = points.agg(*[F.percentile_approx(d, probs, accuracy).alias(d) for d in dims]).first()
-    return [sorted(set(float(v) for v in (row[d] or []))) for d in dims]
-
-
-def _grid(points: DataFrame, dims: Sequence[str], cells: int, cap: int):
-    """Equi-depth cells, refined until no occupied cell holds more than
-    ``cap`` distinct points (so a query's block holds at most 3^d * cap
-    candidates in the first round), or the resolution limit is reached."""
-    d = len(dims)
-    limit = min(MAX_CELLS_PER_DIM, int(2 ** (62 / d)))
+from .clean import with_scalars
+from .ordered import _n_below, running_totals
+
+CELL = 64
+FAN = 8
+#: Nodes at the top of a tree, whose pairs are the first to be looked at.
+TOP = 64
+
+
+def _curve(points: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``points`` with ``__z``: their place on a Z-order curve over ranks."""
+    bits = max(1, min(10, 40 // len(dims)))
+    cuts = (1 << bits) - 1
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    out = with_scalars(points, points.agg(*[F.percentile_approx(d, probs, 20 * (cuts + 1)).alias(f"__b{i}")
+                                            for i, d in enumerate(dims)]))
+    out = out.withColumns({f"__r{i}": F.coalesce(_n_below(F.col(f"__b{i}"), F.col(d), cuts), F.lit(0)).cast("long")
+                           for i, d in enumerate(dims)})
+    z = F.lit(0).cast("long")
+    for b in range(bits):
+        for i in range(len(dims)):
+            bit = F.shiftright(F.col(f"__r{i}"), b).bitwiseAND(F.lit(1).cast("long"))
+            z = z + F.shiftleft(bit, b * len(dims) + i)
+    return out.withColumn("__z", z).drop(*[f"__{c}{i}" for c in "br" for i in range(len(dims))])
+
+
+def _tree(points: DataFrame, dims: Sequence[str], tiebreak: Sequence[str], weight: Column, size: int
+          ) -> tuple[DataFrame, list[DataFrame]]:
+    """Points with their ``cell``, and the levels of nodes from the top down:
+    (node, parent, lo.., hi.., n)."""
+    placed = running_totals(_curve(points, dims).withColumn("__w", F.lit(1)), "__z", ["__w"],
+                            tiebreak=[*dims, *tiebreak])
+    placed = cut_lineage(placed.withColumn("cell", F.floor(F.col("__w_before") / size))
+                         .drop("__z", "__w", "__w_before", "__w_total"))
+    boxes = [F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)] + [F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]
+    nodes = cut_lineage(placed.groupBy(F.col("cell").alias("node")).agg(*boxes, F.sum(weight).alias("n")))
+    up = [F.min(f"lo{i}").alias(f"lo{i}") for i in range(len(dims))] + [F.max(f"hi{i}").alias(f"hi{i}") for i in range(len(dims))]
+    levels = []
     while True:
-        bounds = _bounds(points, dims, cells)
-        sizes = [len(b) + 1 for b in bounds]
-        code = _code([_cell(F.col(x), b) for x, b in zip(dims, bounds)], sizes)
-        fullest = points.groupBy(code.alias("__code")).count().agg(F.max("count")).first()[0] or 0
-        if fullest <= cap or cells >= limit:
-            return bounds, sizes
-        cells = min(limit, cells * 2)
-
-
-def _cell(x: Column, bounds: list[float]) -> Column:
-    """0-based cell index: number of boundaries <= x."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= x))
-
-
-def _code(cells: Sequence[Column], sizes: Sequence[int]) -> Column:
-    code = F.lit(0).cast("long")
-    mult = 1
-    for c, s in zip(cells, sizes):
-        code = code + c.cast("long") * F.lit(mult)
-        mult *= s
-    return code
-
-
-def _margin(q: Sequence[Column], cells: Sequence[Column], bounds: list[list[float]], r: int) -> Column:
-    """Distance from the query to the outside of its (2r+1)^d block."""
-    parts = []
-    for x, c, b in zip(q, cells, bounds):
-        arr = F.array(*[F.lit(v) for v in b]) if b else None
-        lo_idx = c - r          # block's lowest cell; its lower edge is b[lo_idx - 1]
-        hi_idx = c + r          # block's highest cell; its upper edge is b[hi_idx]
-        if arr is None:
-            parts.append(F.lit(INF))
-            continue
-        lower = F.when(lo_idx >= 1, F.element_at(arr, lo_idx.cast("int")))
-        upper = F.when(hi_idx + 1 <= len(b), F.element_at(arr, (hi_idx + 1).cast("int")))
-        parts.append(F.least(F.coalesce(x - lower, F.lit(INF)), F.coalesce(upper - x, F.lit(INF))))
-    return F.least(*parts) if len(parts) > 1 else parts[0]
+        levels.append(nodes.withColumn("parent", F.floor(F.col("node") / FAN)))
+        if nodes.count() <= TOP:
+            return placed, levels[::-1]
+        nodes = cut_lineage(levels[-1].groupBy(F.col("parent").alias("node")).agg(*up, F.sum("n").alias("n")))
+
+
+def _leaf_pairs(queries: list[DataFrame], points: list[DataFrame], d: int, need: int) -> DataFrame:
+    """(q, p): leaf cells of points that may hold one of the ``need`` nearest
+    individuals of a query in leaf cell q."""
+    def side(nodes: DataFrame, s: str) -> DataFrame:
+        return nodes.withColumnsRenamed({"node": s, "parent": f"{s}_parent", "n": f"{s}_n",
+                                         **{f"{e}{i}": f"{s}_{e}{i}" for e in ("lo", "hi") for i in range(d)}})
+
+    near, far = F.lit(0.0), F.lit(0.0)
+    for i in range(d):
+        ql, qh, pl, ph = (F.col(f"{s}_{e}{i}") for s in ("q", "p") for e in ("lo", "hi"))
+        gap = F.greatest(pl - qh, ql - ph, F.lit(0.0))
+        reach = F.greatest(ph - ql, qh - pl)
+        near, far = near + gap * gap, far + reach * reach
+    depth = max(len(queries), len(points))
+    pairs = None
+    for step in range(depth):
+        qi, pi = step - (depth - len(queries)), step - (depth - len(points))
+        q, p = side(queries[max(qi, 0)], "q"), side(points[max(pi, 0)], "p")
+        if pairs is None:
+            # at most TOP point nodes: every query node lists them
+            tops = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in p.collect()])
+            met = q.select("*", F.inline(tops))
+        else:
+            qkey = "q_parent" if qi > 0 else "q"
+            pkey = "p_parent" if pi > 0 else "p"
+            met = pairs.withColumnsRenamed({"q": "__q", "p": "__p"}).join(q, F.col("__q") == F.col(qkey)).join(
+                p, F.col("__p") == F.col(pkey))
+        met = met.select("q", "p", "p_n", near.alias("near"), far.alias("far"))
+        # k individuals lie within the farthest reach of the nodes that first hold them
+        order = Window.partitionBy("q").orderBy("far", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = met.withColumn("held", F.sum("p_n").over(order))
+        within = F.min(F.when(F.col("held") >= need, F.col("far"))).over(Window.partitionBy("q"))
+        pairs = cut_lineage(met.withColumn("within", within)
+                            .where(F.col("within").isNull() | (F.col("near") <= F.col("within"))).select("q", "p"))
+    return pairs
+
+
+def _search(points: DataFrame, dims: Sequence[str], k: int, queries: DataFrame | None, query_extra: Sequence[str],
+            exclude_self: bool, means: str | None, size: int | None) -> DataFrame:
+    """Candidates of every query cell, searched as one block of arrays; either
+    the taken points of every query or, with ``means``, their mean label."""
+    dims, extra = list(dims), list(query_extra)
+    points = points.select(*[F.col(x).cast("double").alias(x) for x in dims], F.col("cnt").cast("long").alias("cnt"),
+                           F.col("ysum").cast("double").alias("ysum"))
+    size = size or CELL
+    placed, levels = _tree(points, dims, [], F.col("cnt"), size)
+    if queries is None and not extra:
+        asked, q_levels = placed.select(*dims, "cell"), levels
+    else:
+        queries = (points if queries is None else queries).select(
+            *[F.col(x).cast("double").alias(x) for x in dims], *extra).distinct()
+        asked, q_levels = _tree(queries, dims, extra, F.lit(1), size)
+    pairs = _leaf_pairs(q_levels, levels, len(dims), k + int(exclude_self))
+    q_dims = [f"q_{x}" for x in dims]
+    asked = asked.select(F.col("cell").alias("q_cell"), *[F.col(x).alias(f"q_{x}") for x in dims], *extra)
+    candidates = pairs.join(placed, F.col("p") == F.col("cell")).select(F.col("q").alias("cell"), *dims, "cnt", "ysum")
+    d = len(dims)
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=names)
+        # in order of coordinates, so that a stable sort by distance settles ties
+        right = right.sort_values(dims, kind="stable")
+        p = right[dims].to_numpy(float)
+        cnt, ysum = right["cnt"].to_numpy(float), right["ysum"].to_numpy(float)
+        out = []
+        for i, row in enumerate(left[q_dims].to_numpy(float)):
+            d2 = np.zeros(len(p))
+            for j in range(d):
+                t = p[:, j] - row[j]
+                d2 = d2 + t * t
+            c, y = cnt, ysum
+            if exclude_self:
+                own = (p == row).all(axis=1)
+                c = cnt - own
+                y = ysum - own * float(left["qy"].iloc[i])
+            some = np.flatnonzero(c > 0)
+            if len(some) > k:
+                # k points hold k individuals at least; ties with the last may come first by coordinates
+                some = some[d2[some] <= np.partition(d2[some], k - 1)[k - 1]]
+            some = some[np.argsort(d2[some], kind="stable")]
+            before = np.cumsum(c[some]) - c[some]
+            take = np.minimum(c[some], k - before)
+            some, take = some[take > 0], take[take > 0]
+            key = [*row, *left[extra].iloc[i]]
+            if means:
+                out.append([*key, float((take * y[some] / c[some]).sum() / take.sum()) if len(some) else None])
+            else:
+                out += [[*key, *p[s], int(t), int(c[s]), y[s], d2[s]] for s, t in zip(some, take)]
+        return pd.DataFrame(out, columns=names)
+
+    kinds = {x: asked.schema[x].dataType.simpleString() for x in extra}
+    names = q_dims + extra + ([means] if means else [*dims, "take", "cnt", "ysum", "d2"])
+    shape = [f"`q_{x}` double" for x in dims] + [f"`{x}` {t}" for x, t in kinds.items()]
+    shape += [f"`{means}` double"] if means else [f"`{x}` double" for x in dims] + ["take long", "cnt long", "ysum double", "d2 double"]
+    return asked.groupBy("q_cell").cogroup(candidates.groupBy("cell")).applyInPandas(nearest, ", ".join(shape))
 
 
 def knn_candidates(points: DataFrame, dims: Sequence[str], k: int, *, queries: DataFrame | None = None,
-                   query_extra: Sequence[str] = (), exclude_self: bool = False, cells: int | None = None,
-                   max_rounds: int = 8) -> DataFrame:
+                   query_extra: Sequence[str] = (), exclude_self: bool = False, cells: int | None = None) -> DataFrame:
     """Exact k nearest individuals for every query point.
 
     ``points``: one row per distinct point with ``dims``, ``cnt`` (how many
@@ -108,79 +186,10 @@ def knn_candidates(points: DataFrame, dims: Sequence[str], k: int, *, queries: D
     removed from the query's own point.
 
     Returns rows ``(q_<dims>, q_extra.., <dims>, take, cnt, ysum, d2)``: the
-    neighbour points with how many of their individuals are taken.
+    neighbour points with how many of their individuals are taken.  ``cells``:
+    points per leaf cell.
     """
-    dims = list(dims)
-    d = len(dims)
-    n_points = points.count()
-    if cells is None:
-        cells = max(1, int((n_points / max(k, 8)) ** (1.0 / d)))
-        bounds, sizes = _grid(points, dims, cells, cap=max(4 * k, 256))
-    else:
-        bounds = _bounds(points, dims, cells)
-        sizes = [len(b) + 1 for b in bounds]
-    cell_cols = [_cell(F.col(x), b) for x, b in zip(dims, bounds)]
-    pts = points.withColumn("__code", _code(cell_cols, sizes)).select(*dims, "cnt", "ysum", "__code")
-    qcols = [f"q_{x}" for x in dims]
-    queries = (points if queries is None else queries).select(
-        *[F.col(x).cast("double").alias(f"q_{x}") for x in dims], *query_extra).distinct()
-    queries = queries.withColumns({f"q_c{i}": _cell(F.col(qc), b) for i, (qc, b) in enumerate(zip(qcols, bounds))})
-    qkeys = qcols + list(query_extra)
-    qcells = [f"q_c{i}" for i in range(d)]
-    done = []
-    pending = queries
-    widest = max(sizes) - 1
-    r = 1
-    for _ in range(max_rounds + 64):
-        whole = r >= widest
-        # the block around the query's cell, clipped to the grid: one
-        # explode per dimension over in-range cell indices only
-        nb = pending
-        for i in range(d):
-            lo = F.greatest(F.col(qcells[i]) - r, F.lit(0))
-            hi = F.least(F.col(qcells[i]) + r, F.lit(sizes[i] - 1))
-            nb = nb.withColumn(f"__n{i}", F.explode(F.sequence(lo, hi)))
-        nb = nb.withColumn("__code", _code([F.col(f"__n{i}") for i in range(d)], sizes)) \
-            .drop(*[f"__n{i}" for i in range(d)])
-        cand = nb.join(pts, "__code", "inner")
-        own = F.lit(True)
-        for x in dims:
-            own = own & (F.col(x) == F.col(f"q_{x}"))
-        cnt, ysum = F.col("cnt"), F.col("ysum")
-        if exclude_self:
-            cnt = F.when(own, cnt - 1).otherwise(cnt)
-            ysum = F.when(own, ysum - F.col("qy")).otherwise(ysum)
-        d2 = None
-        for x in dims:
-            t = (F.col(x) - F.col(f"q_{x}")) * (F.col(x) - F.col(f"q_{x}"))
-            d2 = t if d2 is None else d2 + t
-        cand = cand.select(*qkeys, *qcells, *dims, cnt.alias("cnt"), ysum.alias("ysum"),
-                           d2.alias("d2")).where(F.col("cnt") > 0)
-        # nearest k distinct points per query; row_number <= k is applied
-        # map-side before the shuffle (WindowGroupLimit)
-        w = Window.partitionBy(*qkeys).orderBy("d2", *dims)
-        top = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-        wc = Window.partitionBy(*qkeys).orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)
-        top = top.withColumn("__before", F.coalesce(F.sum("cnt").over(wc), F.lit(0)))
-        taken = top.where(F.col("__before") < k).withColumn(
-            "take", F.least(F.col("cnt"), F.lit(k) - F.col("__before"))).drop("__rn", "__before")
-        if whole:
-            done.append(taken.drop(*qcells))
-            break
-        # at most k rows per query: materialize once, reuse for the check
-        taken = cut_lineage(taken)
-        stat = taken.groupBy(*qkeys, *qcells).agg(F.sum("take").alias("__got"), F.max("d2").alias("__kd2"))
-        margin = _margin([F.col(q) for q in qcols], [F.col(c) for c in qcells], bounds, r)
-        stat = cut_lineage(stat.withColumn("__ok", (F.col("__got") >= k) & (F.col("__kd2") < margin * margin)))
-        done.append(taken.join(stat.where("__ok").select(*qkeys), qkeys, "left_semi").drop(*qcells))
-        pending = cut_lineage(pending.join(stat.where(~F.col("__ok")).select(*qkeys), qkeys, "left_semi"))
-        if pending.isEmpty():
-            break
-        r *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return _search(points, dims, k, queries, query_extra, exclude_self, None, cells)
 
 
 def collapse(df: DataFrame, dims: Sequence[str], label: str | None) -> DataFrame:
@@ -191,8 +200,7 @@ def collapse(df: DataFrame, dims: Sequence[str], label: str | None) -> DataFrame
 
 
 def knn_target_mean(df: DataFrame, key: str, dims: Sequence[str], label: str, k: int = 500, *,
-                    exclude_self: bool = False, out: str = "KNN_TARGET_MEAN", cells: int | None = None,
-                    max_rounds: int = 8) -> DataFrame:
+                    exclude_self: bool = False, out: str = "KNN_TARGET_MEAN", cells: int | None = None) -> DataFrame:
     """K1: mean label of the k nearest rows (Euclidean over ``dims``; rows
     must have no nulls in ``dims`` - median-fill first, as the source did).
 
@@ -205,26 +213,22 @@ def knn_target_mean(df: DataFrame, key: str, dims: Sequence[str], label: str, k:
     if exclude_self:
         qy = df.select(*[F.col(x).cast("double").alias(x) for x in dims],
                        F.col(label).cast("double").alias("qy")).distinct()
-        cand = knn_candidates(pts, dims, k, queries=qy, query_extra=["qy"], exclude_self=True, cells=cells,
-                              max_rounds=max_rounds)
+        means = _search(pts, dims, k, qy, ["qy"], True, out, cells)
         qkeys = [f"q_{x}" for x in dims] + ["qy"]
     else:
-        cand = knn_candidates(pts, dims, k, cells=cells, max_rounds=max_rounds)
+        means = _search(pts, dims, k, None, [], False, out, cells)
         qkeys = [f"q_{x}" for x in dims]
-    means = cand.groupBy(*qkeys).agg(
-        (F.sum(F.col("take") * F.col("ysum") / F.col("cnt")) / F.sum("take")).alias(out))
     rows = df.select(key, *[F.col(x).cast("double").alias(f"q_{x}") for x in dims],
                      *([F.col(label).cast("double").alias("qy")] if exclude_self else []))
     return rows.join(means, qkeys, "left").select(key, out)
 
 
-def knn_neighbours(df: DataFrame, key: str, dims: Sequence[str], k: int = 5, *,
-                   cells: int | None = None, max_rounds: int = 8) -> DataFrame:
+def knn_neighbours(df: DataFrame, key: str, dims: Sequence[str], k: int = 5) -> DataFrame:
     """J4 for resampling: per row, the coordinates of its k nearest *other*
     distinct points, nearest first, as an array of structs ``(d2, x...)``."""
     dims = list(dims)
     pts = collapse(df, dims, None).withColumn("cnt", F.lit(1).cast("long"))
-    cand = knn_candidates(pts, dims, k + 1, cells=cells, max_rounds=max_rounds)
+    cand = knn_candidates(pts, dims, k + 1)
     own = F.lit(True)
     for x in dims:
         own = own & (F.col(x) == F.col(f"q_{x}"))

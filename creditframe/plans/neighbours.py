@@ -43,6 +43,33 @@ def k1_knn_mean(spark, sf_dir):
     return round_all(out, 6)
 
 
+# --- four dimensions, two of them mostly filled with one value -------------
+X3 = "CASE WHEN c_custkey % 9 < 5 THEN 3 ELSE c_custkey % 101 END"
+X4 = "CASE WHEN c_custkey % 5 = 0 THEN 50 ELSE (c_custkey * 37) % 97 END"
+K4 = 50
+
+
+@register("k1_knn_mean_4d", f"""
+WITH c AS (SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS target, c_nationkey::DOUBLE AS x1,
+                  floor(c_acctbal / 500)::DOUBLE AS x2, ({X3})::DOUBLE AS x3, ({X4})::DOUBLE AS x4 FROM customer),
+pairs AS (SELECT q.c_custkey, p.target, p.x1, p.x2, p.x3, p.x4,
+                 (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2)
+                 + (p.x3 - q.x3) * (p.x3 - q.x3) + (p.x4 - q.x4) * (p.x4 - q.x4) AS d2
+          FROM c q, c p),
+ranked AS (SELECT *, rank() OVER (PARTITION BY c_custkey ORDER BY d2, x1, x2, x3, x4) - 1 AS before,
+                  count(*) OVER (PARTITION BY c_custkey, d2, x1, x2, x3, x4) AS same
+           FROM pairs)
+SELECT c_custkey, round(sum(target * least(1.0, ({K4} - before)::DOUBLE / same)) / {K4}, 6) AS KNN_TARGET_MEAN
+FROM ranked WHERE before < {K4} GROUP BY c_custkey
+""", "J4, K1 (row by row against every row)")
+def k1_knn_mean_4d(spark, sf_dir):
+    c = applicants(spark, sf_dir).select(
+        "c_custkey", "target", F.col("c_nationkey").cast("double").alias("x1"),
+        F.floor(F.col("c_acctbal") / 500).cast("double").alias("x2"),
+        F.expr(X3).cast("double").alias("x3"), F.expr(X4).cast("double").alias("x4"))
+    return round_all(knn_target_mean(c, "c_custkey", ["x1", "x2", "x3", "x4"], "target", K4), 6)
+
+
 RESAMPLE_FEATURES = ["ORD_O_TOTALPRICE_MEAN", "ORD_O_TOTALPRICE_COUNT", "EVT_VALUE_SUM"]
 
 

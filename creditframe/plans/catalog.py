@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import applicant_matrix, children, cleaning, models, neighbours, profiling, rows, store  # noqa: F401
+from . import (  # noqa: F401
+    applicant_matrix, children, cleaning, loading, models, neighbours, presets, profiling, rows, store)
 from .registry import REGISTRY, Query
 
 

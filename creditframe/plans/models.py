@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import risk_band3, risk_band4, risk_class, round_all
 from ..operators import ml
+from ..operators.impute import fit_medians
 from ..operators.explain import explain, explanation_text, linear_contributions
 from ..operators.score import (fallback_score, fallback_score_grouped, human_scenario, project_features,
                                validate_features, what_if)
@@ -174,7 +175,7 @@ def m14_adversarial(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"),
         F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("double").alias("day_no"))
-    res = ml.adversarial_validation(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"),
+    res = ml.adversarial_validation(o.where("o_orderstatus <> 'O'"), o.where("o_orderstatus = 'O'"),
                                     ["price", "day_no"], key="o_orderkey", trees=20)
     return res["auc"]
 
@@ -198,7 +199,15 @@ def _requests(spark, sf_dir):
     return h.select("c_custkey", F.map_from_entries(arr).alias("features_map"))
 
 
-@register("p15_validate", None, "P15")
+N_EVENT_FEATURES = sum(c.startswith("EVT_") for c in MODEL_FEATURES)
+
+
+@register("p15_validate", f"""
+SELECT c.c_custkey, false AS valid,
+       CASE WHEN e.user_id IS NULL THEN {N_EVENT_FEATURES} + 1 ELSE 1 END AS n_missing,
+       CASE WHEN e.user_id IS NULL THEN 1 ELSE 0 END AS n_missing_important
+FROM customer c LEFT JOIN (SELECT DISTINCT user_id FROM events) e ON c.c_custkey = e.user_id
+""", "P15")
 def p15_validate(spark, sf_dir):
     v = validate_features(_requests(spark, sf_dir), "features_map", MODEL_FEATURES + ["UNUSED"],
                           important=["EVT_VALUE_SUM"])
@@ -212,7 +221,7 @@ def b6_what_if(spark, sf_dir):
     model = ml.logistic(MODEL_FEATURES, "target", weight="weight", max_iter=200).fit(d.where("split = 0"))
     req = _requests(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("name"), "features_map",
                                           (F.pmod("c_custkey", F.lit(2)) == 0).alias("fill_missing_with_median"))
-    return what_if(model, req, MODEL_FEATURES, medians={c: 0.0 for c in MODEL_FEATURES})
+    return what_if(model, req, MODEL_FEATURES, medians=fit_medians(d, MODEL_FEATURES))
 
 
 @register("b7_human", None, "B7, B8")

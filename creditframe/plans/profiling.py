@@ -340,13 +340,13 @@ def a26_corr_label(spark, sf_dir):
 
 # ------------------------------------------------------------ shaping
 @register("o4_union_flag", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 1 AS is_train FROM orders WHERE o_orderstatus = 'F'
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 1 AS is_train FROM orders WHERE o_orderstatus <> 'O'
 UNION ALL
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 0 AS is_train FROM orders WHERE o_orderstatus = 'O'
 """, "O4")
 def o4_union_flag(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    a = o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    a = o.where(F.col("o_orderstatus") != "O").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     b = o.where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_custkey", "o_orderstatus",
                                                       "o_totalprice", "o_orderdate")
     return an.union_with_flag(a, b, "is_train")

@@ -5,13 +5,17 @@ row is ``coef_i * (x_i - mean_i)``; with the base ``intercept + sum coef_i
 mean_i`` they add up exactly to the row's margin (what TreeSHAP gives for a
 linear model with independent features).  Contributions are columns, the
 top-n by absolute probability impact is an array sort per row: all JVM-side,
-no Python per row.
+no Python per row.  Tree models use exact path-dependent TreeSHAP, one array
+step per leaf and batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial, log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +92,6 @@ def forest_arrays(model) -> tuple[list[dict], list[float], str]:
     GBT (log-odds = 2 * weighted sum of trees) or ``'probability'`` for a
     forest (mean of the trees' class-1 leaf frequencies).
     """
-    import numpy as np
     clf = model.stages[-1] if hasattr(model, "stages") else model
     kind = "logodds" if hasattr(clf, "getLossType") or type(clf).__name__.startswith("GBT") else "probability"
     tables = []
@@ -121,69 +124,43 @@ def forest_arrays(model) -> tuple[list[dict], list[float], str]:
     return tables, weights, kind
 
 
-def _tree_shap(goes_left, t, phi) -> None:
-    """Path-dependent TreeSHAP (Lundberg, Erion and Lee, 2018) for one tree;
-    ``goes_left[j]`` is the row's decision at internal node ``j``.  Adds the
-    feature attributions into ``phi``."""
-    feat, thr, left, right, value, cover = (t["feature"], t["threshold"], t["left"], t["right"],
-                                            t["value"], t["cover"])
-
-    def extend(m, pz, po, pi):
-        m = [e[:] for e in m]
-        n = len(m)
-        m.append([pi, pz, po, 1.0 if n == 0 else 0.0])
-        for i in range(n - 1, -1, -1):
-            m[i + 1][3] += po * m[i][3] * (i + 1) / (n + 1)
-            m[i][3] = pz * m[i][3] * (n - i) / (n + 1)
-        return m
-
-    def unwind(m, i):
-        m = [e[:] for e in m]
-        n = len(m) - 1
-        nxt = m[n][3]
-        z, o = m[i][1], m[i][2]
-        for j in range(n - 1, -1, -1):
-            if o != 0:
-                tmp = m[j][3]
-                m[j][3] = nxt * (n + 1) / ((j + 1) * o)
-                nxt = tmp - m[j][3] * z * (n - j) / (n + 1)
-            else:
-                m[j][3] = m[j][3] * (n + 1) / (z * (n - j))
-        for j in range(i, n):
-            m[j][0], m[j][1], m[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-        return m[:n]
-
-    def unwound_sum(m, i):
-        n = len(m) - 1
-        z, o = m[i][1], m[i][2]
-        nxt = m[n][3]
-        total = 0.0
-        for j in range(n - 1, -1, -1):
-            if o != 0:
-                tmp = nxt * (n + 1) / ((j + 1) * o)
-                total += tmp
-                nxt = m[j][3] - tmp * z * (n - j) / (n + 1)
-            else:
-                total += m[j][3] * (n + 1) / (z * (n - j))
-        return total
-
-    def recurse(j, m, pz, po, pi):
-        m = extend(m, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(m)):
-                phi[m[i][0]] += unwound_sum(m, i) * (m[i][2] - m[i][1]) * value[j]
+def _leaf_paths(t: dict) -> list[tuple]:
+    """For every leaf: its value, the distinct features of its path, and per
+    feature the interval ``(low, high]`` the path asks for and the share of
+    cover that the path keeps at its splits."""
+    out = []
+
+    def walk(j: int, asked: dict):
+        if t["left"][j] < 0:
+            out.append((t["value"][j], list(asked), np.array([asked[f] for f in asked]).reshape(-1, 3)))
             return
-        d = feat[j]
-        hot, cold = (left[j], right[j]) if goes_left[j] else (right[j], left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(m)) if m[i][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = unwind(m, k)
-        recurse(hot, m, iz * cover[hot] / cover[j], io, d)
-        recurse(cold, m, iz * cover[cold] / cover[j], 0.0, d)
+        f, cut = int(t["feature"][j]), t["threshold"][j]
+        low, high, share = asked.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((t["left"][j], (low, min(high, cut))), (t["right"][j], (max(low, cut), high))):
+            walk(child, asked | {f: (*bounds, share * t["cover"][child] / t["cover"][j])})
 
-    recurse(0, [], 1.0, 1.0, -1)
+    walk(0, {})
+    return out
+
+
+def _path_shap(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Path-dependent TreeSHAP (Lundberg, Erion and Lee, 2018) of one leaf of
+    value 1: ``inside`` (patterns x features) tells which intervals hold a
+    row.  A feature's attribution sums over the sets of the other features,
+    which a polynomial in the set size collects."""
+    n, m = inside.shape
+    weight = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+    out = np.empty((n, m))
+    for f in range(m):
+        sums = np.zeros((n, m))
+        sums[:, 0] = 1.0
+        for g in range(m):
+            if g != f:
+                grown = sums * share[g]
+                grown[:, 1:] += sums[:, :-1] * inside[:, g:g + 1]
+                sums = grown
+        out[:, f] = (inside[:, f] - share[f]) * (sums @ weight)
+    return out
 
 
 def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: Sequence[str] = ()) -> DataFrame:
@@ -193,16 +170,12 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
 
     GBT attributions are in log-odds (exact: base + sum = the model's
     log-odds).  Forest attributions are in probability; they are mapped to
-    log-odds space around the base for ranking and text.  The forest is
-    shipped with the function (bounded by the model); rows stream through
-    ``mapInPandas`` in Arrow batches.
+    log-odds space around the base for ranking and text.  The leaves' paths
+    are shipped with the function (bounded by the model); rows stream through
+    ``mapInPandas`` in Arrow batches, all rows of a batch per leaf at once.
     """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
     tables, weights, kind = forest_arrays(model)
+    leaves = [(w * v, f, b) for t, w in zip(tables, weights) for v, f, b in _leaf_paths(t) if f]
     feats = list(features)
     scale = 2.0 if kind == "logodds" else 1.0
     base = sum(w * float((t["value"] * t["cover"])[t["left"] < 0].sum() / t["cover"][0]) for t, w in zip(tables, weights))
@@ -211,17 +184,14 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype="float64")
             out = np.zeros((x.shape[0], len(feats)))
-            for t, w in zip(tables, weights):
-                internal = t["left"] >= 0
-                # the attribution depends on a row only through its decisions
-                # at the internal nodes: solve once per distinct decision row
-                dec = np.zeros((x.shape[0], len(t["left"])), dtype=bool)
-                dec[:, internal] = x[:, t["feature"][internal]] <= t["threshold"][internal]
-                patterns, inverse = np.unique(dec, axis=0, return_inverse=True)
-                solved = np.zeros((len(patterns), len(feats) + 1))
-                for u, pattern in enumerate(patterns):
-                    _tree_shap(pattern, t, solved[u])
-                out += w * solved[inverse.reshape(-1), :len(feats)]
+            for value, features_of, asked in leaves:
+                low, high, share = asked.T
+                at = x[:, features_of]
+                # a missing value goes right at every split
+                inside = ~(at <= low) & ((at <= high) | np.isinf(high))
+                patterns, inverse = np.unique(inside, axis=0, return_inverse=True)
+                solved = value * _path_shap(patterns.astype(float), share)
+                out[:, features_of] += solved[inverse.reshape(-1)]
             res = pdf[list(keep)].copy() if keep else pd.DataFrame(index=pdf.index)
             for i, f in enumerate(feats):
                 res[f] = pdf[f].astype("float64")
@@ -244,5 +214,5 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
     for f in feats:
         total = total + F.col(f"contrib__{f}")
     p = F.least(F.greatest(total, F.lit(1e-12)), F.lit(1 - 1e-12))
-    out = out.withColumn("base_logodds", F.lit(math.log(p0 / (1 - p0)))).withColumn("margin", F.log(p / (1 - p)))
+    out = out.withColumn("base_logodds", F.lit(log(p0 / (1 - p0)))).withColumn("margin", F.log(p / (1 - p)))
     return out

@@ -13,7 +13,7 @@ from ..functions.expressions import risk_band3, risk_band4, risk_class, round_al
 from ..operators import ml
 from ..operators.impute import fit_medians
 from ..operators.explain import explain, explanation_text, linear_contributions
-from ..operators.score import (fallback_score, fallback_score_grouped, human_scenario, project_features,
+from ..operators.score import (fallback_score, fallback_score_grouped, human_scenario, positive_probability, project_features,
                                validate_features, what_if)
 from ..sources.tables import table
 from .children import applicant_history
@@ -258,3 +258,41 @@ def b5_band(spark, sf_dir):
     d = labelled(spark, sf_dir).withColumn("score_pct", F.col("score") * 100)
     return d.select("doc_id", "score_pct", risk_band3("score").alias("risk_level"),
                     risk_band3("score_pct", percent_scale=True).alias("risk_level_from_pct"))
+
+
+@register("m11_sums_to_margin", "SELECT c_custkey, true AS linear_adds_up, true AS trees_add_up FROM customer",
+          "M11 (base and contributions add up to each model's own log-odds)")
+def m11_sums_to_margin(spark, sf_dir):
+    from ..operators.explain import tree_contributions
+    d = _training_frame(spark, sf_dir)
+    linear = ml.logistic(MODEL_FEATURES, "target", weight="weight", max_iter=200).fit(d.where("split = 0"))
+    trees = ml.boosted_trees(MODEL_FEATURES, "target", rounds=10, depth=3).fit(d.where("split = 0"))
+
+    def adds_up(contrib, model, name):
+        odds = model.transform(d).select("c_custkey", positive_probability().alias("p"))
+        total = F.col("base_logodds")
+        for f in MODEL_FEATURES:
+            total = total + F.col(f"contrib__{f}")
+        return contrib.join(odds, "c_custkey").select(
+            "c_custkey", (F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-total)) - F.col("p")) < 1e-6).alias(name))
+
+    a = adds_up(linear_contributions(linear, d, MODEL_FEATURES, keep=["c_custkey"]), linear, "linear_adds_up")
+    b = adds_up(tree_contributions(trees, d, MODEL_FEATURES, keep=["c_custkey"]), trees, "trees_add_up")
+    return a.join(b, "c_custkey")
+
+
+@register("m10_overfit", f"""
+WITH t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split, score, quality FROM {LABELLED_SQL}),
+s AS (SELECT split, score, sum(quality) AS pos, sum(1 - quality) AS neg FROM t GROUP BY split, score),
+b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+a AS (SELECT split, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY split),
+g AS (SELECT max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'validation') AS gap FROM a)
+SELECT round(gap, 6) AS auc_gap, gap > 0.05 AS overfit, (SELECT split FROM a ORDER BY auc DESC, split LIMIT 1) AS best FROM g
+""", "M10, M7 by group")
+def m10_overfit(spark, sf_dir):
+    t = labelled(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train"))
+    auc = ml.auc_ap(t, "score", "quality", by=["split"]).select("split", "auc")
+    check = ml.overfit_check(auc)
+    best = ml.best_model(auc, model="split")
+    return check.select(F.round("auc_gap", 6).alias("auc_gap"), "overfit",
+                        best.select("split").scalar().alias("best"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,11 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 def pyre(pattern: str) -> re.Pattern:
     return re.compile(pattern)
+
+
+def per_worker(key: tuple, make):
+    """``make()``, once per Python worker process; later tasks reuse it."""
+    kept = vars(sys.modules.setdefault("creditframe_llm_worker", types.ModuleType("creditframe_llm_worker")))
+    if key not in kept.setdefault("objects", {}):
+        kept["objects"][key] = make()
+    return kept["objects"][key]

@@ -92,7 +92,7 @@ def unpack(stream: bytes, n: int, offsets: np.ndarray, table: tuple[np.ndarray,
     raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     last = 8 * len(stream)
-    at = np.asarray(offsets, np.int64).copy()
+    at = np.asarray(offsets).astype(np.int32 if last < 1 << 31 else np.int64)
     out = np.empty((STEP, len(at)), np.uint32)
     for i in range(STEP):
         prefix = (window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - LIMIT)

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding of many texts through the ``tokenizers`` library.
 
 A byte-level BPE merges only inside pre-tokens, so every distinct pre-token
-is encoded once per worker and its ids are reused.  Pre-tokens are cut for a
+is encoded once per worker (by the library's model) and its ids are reused.  Pre-tokens are cut for a
 whole batch at a time with array operations.  A text goes through the library
 as it stands when it holds a code point whose letter/number class is newer
 than Unicode 3.2, or the string of a special token.
@@ -10,6 +10,7 @@ than Unicode 3.2, or the string of a special token.
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 _SHORT, _LONG = "stmd", ("re", "ve", "ll")
 
 CACHE = 1 << 20
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 4 << 20
 
 
 def code_point_classes() -> np.ndarray:
@@ -72,6 +73,14 @@ def cut(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself
+    where it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Encodes lists of texts; keeps the ids of the pre-tokens it has seen."""
 
@@ -79,6 +88,8 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end_id = end_id
         self.classes = code_point_classes()
         self._forget()
@@ -86,20 +97,33 @@ class Encoder:
     def _forget(self):
         self.seen: dict[bytes, int] = {chr(_CUT).encode("utf-8", "surrogatepass"): 0}
         self.ids = np.array([self.end_id], np.uint32)
-        self.first = np.array([0, 1], np.int64)
-
-    def _learn(self, tokens: list[bytes]) -> None:
-        if len(self.seen) + len(tokens) > CACHE:
+        self.first = np.array([0], np.int32)
+        self.size = np.array([1], np.int32)
+
+    def _slots(self, tokens: list[bytes]) -> np.ndarray:
+        """Where the ids of each token stand; unknown tokens are encoded."""
+        slots = np.fromiter(map(self.seen.get, tokens, repeat(-1)), np.int32, len(tokens))
+        unknown = np.flatnonzero(slots < 0)
+        if not len(unknown):
+            return slots
+        if len(self.seen) + len(unknown) > CACHE:
             self._forget()
-        new = [t for t in tokens if t not in self.seen]
-        if not new:
-            return
-        got = self.tokenizer.encode([t.decode() for t in new], is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-        base = len(self.first) - 1
-        self.seen.update((t, base + i) for i, t in enumerate(new))
-        self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+            slots = np.fromiter(map(self.seen.get, tokens, repeat(-1)), np.int32, len(tokens))
+            unknown = np.flatnonzero(slots < 0)
+        return self._learn(tokens, slots, unknown)
+
+    def _learn(self, tokens: list[bytes], slots: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        new = [tokens[i] for i in unknown.tolist()]
+        letters, tokenize = self.letters, self.model.tokenize
+        got = [[x.id for x in tokenize(t.decode("latin-1").translate(letters))] for t in new]
+        counts = np.fromiter(map(len, got), np.int32, len(got))
+        base = len(self.size)
+        self.seen.update(zip(new, range(base, base + len(new))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts, dtype=np.int32) - counts])
+        self.size = np.concatenate([self.size, counts])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
+        slots[unknown] = np.arange(base, base + len(new), dtype=np.int32)
+        return slots
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         joined = chr(_CUT).join([*texts, ""])
@@ -107,20 +131,19 @@ class Encoder:
         data = joined.encode("utf-8", "surrogatepass")
         starts = cut(points, self.classes)
         if len(data) == len(points):
-            at = starts
+            offsets = np.append(starts, len(data)).astype(np.int32)
         else:
-            width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
-            at = (np.cumsum(width, dtype=np.int64) - width)[starts]
-        offsets = np.append(at, len(data)).astype(np.int32)
-        tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            width = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000) + np.uint8(1)
+            offsets = np.zeros(len(starts) + 1, np.int32)
+            np.cumsum(np.add.reduceat(width, starts, dtype=np.int32), out=offsets[1:])
+        tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         found = tokens.dictionary_encode()
-        distinct = found.dictionary.to_pylist()
-        self._learn(distinct)
-        slot = np.array([self.seen[t] for t in distinct], np.int64)[found.indices.to_numpy()]
-        size = (self.first[1:] - self.first[:-1])[slot]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[slot] - (ends - size), size) + np.arange(ends[-1])]
-        return np.split(flat, ends[np.flatnonzero(points[starts] == _CUT)])[:-1]
+        slot = self._slots(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        size = self.size[slot]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.first[slot] - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.split(self.ids[at], ends[np.flatnonzero(points[starts] == _CUT)])[:-1]
 
     def _whole(self, text: str) -> np.ndarray:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import huffman
-from .common import tokenizer_file
+from .common import per_worker, tokenizer_file
 from .pretokens import Encoder
 
 END_ID = 2
@@ -41,30 +41,36 @@ _BLOCKS = ("part int, block int, first long, n_ids long, doc_ids array<{id}>, si
            "offsets binary, stream binary")
 
 
+def id_type(vocabulary: str, end_id: int) -> str:
+    """Little-endian unsigned integers that hold every id."""
+    from tokenizers import Tokenizer
+    most = max(Tokenizer.from_file(tokenizer_file(vocabulary)).get_vocab_size() - 1, end_id)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
-             end_id: int = END_ID) -> DataFrame:
-    """(id, ids) per row; ids as little-endian unsigned 32-bit integers."""
+             end_id: int = END_ID, kind: str = "<u4") -> DataFrame:
+    """(id, ids) per row; ids as integers of ``kind``."""
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     file = tokenizer_file(vocabulary)
 
     def run(batches):
-        encoder = Encoder(file, end_id)
+        encoder = per_worker((file, end_id), lambda: Encoder(file, end_id))
         for b in batches:
-            ids = [x.astype("<u4").tobytes() for x in encoder.encode(b.column(1).to_pylist())]
+            ids = [x.astype(kind).tobytes() for x in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
     """(id, n) over all ``tokens``."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=len(total))
+            n[:len(total)] += total
+            total = n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used.astype(np.int64), "n": total[used]})
 
@@ -76,10 +82,11 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", vo
     """Encode ``docs`` into files below ``path``."""
     spark = docs.sparkSession
     at = scratch_path(spark, "tokens")
-    tokens = tokenize(docs, id, text, vocabulary, end_id)
+    kind = id_type(vocabulary, end_id)
+    tokens = tokenize(docs, id, text, vocabulary, end_id, kind)
     tokens.write.option("compression", "zstd").parquet(at)
     tokens = spark.read.schema(tokens.schema).parquet(at)
-    counts = {r.id: r.n for r in id_counts(tokens).collect()}  # at most the vocabulary
+    counts = {r.id: r.n for r in id_counts(tokens, kind).collect()}  # at most the vocabulary
     n = np.zeros(max(counts, default=-1) + 1, np.int64)
     n[list(counts)] = list(counts.values())
     length = huffman.lengths(n)
@@ -107,7 +114,7 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", vo
                                 ("n_ids", pa.int64()), ("doc_ids", pa.list_(b.schema.field(0).type)),
                                 ("sizes", pa.list_(pa.int32())), ("offsets", pa.binary()), ("stream", pa.binary())])
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.frombuffer(ids, "<u4")
+                ids = np.frombuffer(ids, kind)
                 if held and size + len(ids) > block:
                     yield flush()
                 held.append((doc, ids))
@@ -117,8 +124,8 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", vo
 
     dealt = (tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("id", "tie")
              .sortWithinPartitions("id", "tie", "ids").drop("tie"))
-    kind = tokens.schema["id"].dataType.simpleString()
-    dealt.mapInArrow(encode, _BLOCKS.format(id=kind)).write.option("compression", "none").parquet(f"{path}/blocks")
+    shape = _BLOCKS.format(id=tokens.schema["id"].dataType.simpleString())
+    dealt.mapInArrow(encode, shape).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = True) -> DataFrame:

@@ -7,6 +7,9 @@ approximate quantile boundaries, bucket totals (a tiny table) are turned into
 offsets, and each bucket computes its own running sum.  The result is exact:
 approximation only decides *where* the buckets split, not what is summed.
 
+Quantiles need no ranks of all rows: a sketch brackets them, everything else
+is counted in a few rows, and only the brackets are ordered.
+
 On top of it: exact quantiles (linear / nearest, as ``PERCENTILE_CONT`` and
 the Polars default), percentile ranks, and the rank statistics used by AUC
 and ROC.
@@ -105,6 +108,13 @@ def quantiles_from_counts(vc: DataFrame, qs: Sequence[float], *, by: Sequence[st
     """
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in qs])
     rt = running_totals(vc, value, ["cnt"], by=by, buckets=buckets)
+    keys = list(by)
+    exprs = _at_ranks(qs, names, method, value)
+    return rt.groupBy(*keys).agg(*exprs) if keys else rt.agg(*exprs)
+
+
+def _at_ranks(qs: Sequence[float], names: Sequence[str], method: str, value: str) -> list[Column]:
+    """Aggregates that pick the quantiles from ``(value, cnt, cnt_before, cnt_total)``."""
     start, cnt, n = F.col("cnt_before"), F.col("cnt"), F.col("cnt_total")
 
     def at_rank(r: Column) -> Column:
@@ -119,8 +129,7 @@ def quantiles_from_counts(vc: DataFrame, qs: Sequence[float], *, by: Sequence[st
             lo, hi = at_rank(F.floor(pos)), at_rank(F.ceil(pos))
             frac = F.max(pos - F.floor(pos))
             exprs.append((lo + frac * (hi - lo)).alias(nm))
-    keys = list(by)
-    return rt.groupBy(*keys).agg(*exprs) if keys else rt.agg(*exprs)
+    return exprs
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *, by: Sequence[str] = (),
@@ -137,8 +146,44 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *, by: Se
         agg = long.groupBy(*by, "feature").agg(
             F.percentile_approx("value", list(qs), accuracy).alias("__q"))
         return agg.select(*by, "feature", *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
-    vc = value_counts_long(df, cols, by=by)
-    return quantiles_from_counts(vc, qs, by=[*by, "feature"], method=method, names=names)
+    vc = _bracketed_counts(df, cols, qs, by, accuracy)
+    keys = [*by, "feature"]
+    order = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first(), "gap")
+    ranked = vc.withColumn("cnt_before", F.coalesce(
+        F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "cnt_total", F.sum("cnt").over(Window.partitionBy(*keys))).where("not gap")
+    return ranked.groupBy(*keys).agg(*_at_ranks(qs, names, method, "value"))
+
+
+def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str],
+                      accuracy: int) -> DataFrame:
+    """``(by, feature, value, gap, cnt)`` with the exact count of every value
+    near a wanted quantile; what lies between is one row per stretch (gap).
+
+    A sketch gives, on either side of each quantile, a value that is off by
+    at most ``1 / accuracy`` of the rows, so the wanted ranks lie between.
+    Groups of at most ``accuracy`` rows keep all their values.  All other
+    values meet in a few gap rows before the shuffle.
+    """
+    from .clean import with_scalars
+    margin = 2.0 / accuracy
+    lows, highs = [max(0.0, q - margin) for q in qs], [min(1.0, q + margin) for q in qs]
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    stats = [s for i, c in enumerate(cols) for s in (
+        F.count(x[c]).alias(f"__n{i}"), F.percentile_approx(x[c], lows, accuracy).alias(f"__l{i}"),
+        F.percentile_approx(x[c], highs, accuracy).alias(f"__h{i}"))]
+    if by:
+        near = join_null_safe(df.select(*by, *[x[c].alias(c) for c in cols if c not in by]), df.groupBy(*by).agg(*stats), by)
+    else:
+        near = with_scalars(df.select(*[x[c].alias(c) for c in cols]), df.agg(*stats))
+    long = near.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), x[c].alias("x"), F.col(f"__n{i}").alias("n"), F.col(f"__l{i}").alias("lo"),
+                 F.col(f"__h{i}").alias("hi")) for i, c in enumerate(cols)]))).where("x is not null")
+    within = (F.col("n") <= accuracy) | F.exists(
+        F.arrays_zip("lo", "hi"), lambda z: (F.col("x") >= z["lo"]) & (F.col("x") <= z["hi"]))
+    below = F.array_max(F.filter("hi", lambda h: h < F.col("x")))
+    return long.groupBy(*by, "feature", F.when(within, F.col("x")).otherwise(below).alias("value"),
+                        (~within).alias("gap")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def percent_rank_le(df: DataFrame, col: str, *, by: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:

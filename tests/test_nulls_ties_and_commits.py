@@ -168,3 +168,27 @@ def test_stream_applies_the_time_to_live(spark):
     df.write.mode("append").parquet(offline)
     run_available_now(spark, VIEW, offline, snap, schema=df.schema, checkpoint=ck, now=dt.datetime(2024, 1, 2))
     assert [r.k for r in store.read_published(spark, snap).collect()] == [1]
+
+
+@pytest.mark.parametrize("accuracy", [20, 10000])
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_bracketed_quantiles_are_exact(spark, accuracy, method):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = 5000
+    x, y = rng.normal(size=n).round(2), np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 30, n))
+    g = np.where(rng.random(n) < 0.9, 1, 2)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), g.tolist())), "x double, y double, g int")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    names = ["q00", "q01", "q25", "q50", "q99", "q100"]
+
+    def want(v):
+        v = np.sort(v)
+        if method == "linear":
+            return np.quantile(v, qs)
+        return v[[int((len(v) - 1) * q + 0.5) for q in qs]]
+
+    for r in ordered.quantiles(df, ["x", "y"], qs, method=method, accuracy=accuracy).collect():
+        assert np.allclose([r[k] for k in names], want({"x": x, "y": y}[r.feature]))
+    for r in ordered.quantiles(df, ["x", "y"], qs, by=["g"], method=method, accuracy=accuracy).collect():
+        assert np.allclose([r[k] for k in names], want({"x": x, "y": y}[r.feature][g == r.g]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
@@ -104,10 +106,10 @@ def past_due_exprs(*, due: str, std: str = "samp", severity: str = "per_late", p
 
 def payment_behaviour(df: DataFrame, *, key: str, due: str, paid: str, days_diff: str | None = None,
                       due_day: str | None = None, paid_day: str | None = None, std: str = "samp",
-                      severity: str = "per_late") -> DataFrame:
+                      severity: str = "per_late", also: Sequence[Column] = ()) -> DataFrame:
     """A5 + A6 from one pass: both families share the payment rows and the
-    shuffle on the applicant key."""
+    shuffle on the applicant key; ``also`` adds aggregates of the same rows."""
     rows = payment_rows(df, due=due, paid=paid, days_diff=days_diff, due_day=due_day, paid_day=paid_day)
     a5 = installment_exprs(due=due, paid=paid)
     a6 = [e for e in past_due_exprs(due=due, std=std, severity=severity)]
-    return rows.groupBy(key).agg(*a5, *a6)
+    return rows.groupBy(key).agg(*a5, *a6, *also)

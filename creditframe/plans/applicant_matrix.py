@@ -89,13 +89,13 @@ DIGITS_4 = {"ORD_O_TOTALPRICE_MEAN", "ORD_O_TOTALPRICE_MIN", "ORD_O_TOTALPRICE_M
 
 
 def applicant_matrix(spark, sf_dir):
-    """One scan + one shuffle per source family: orders statistics in one
-    aggregate, all first/last-N means from one window pass, instalment and
-    past-due behaviour from one join and one aggregate."""
-    from ..operators.aggregate import child_aggregate, two_hop_aggregate
+    """Orders statistics in one aggregate, all first/last-N means from one
+    window pass, and instalments, past-due behaviour and line quantities from
+    one join of lineitem with orders and one aggregate."""
+    from ..operators.aggregate import child_aggregate, count_if_equal
     from ..operators.installments import payment_behaviour
     from ..operators.sequence import first_last_means
-    from ..sources.tables import events, installments, orders, table
+    from ..sources.tables import events, installments, orders
     from .children import EVENTS_SPEC, ORDERS_SPEC, _orders_seq
 
     key = "c_custkey"
@@ -107,15 +107,13 @@ def applicant_matrix(spark, sf_dir):
                            last={3: ["o_totalprice", "day_no", "filled"], 5: ["o_totalprice", "filled"],
                                  10: ["o_totalprice", "filled"]},
                            first={2: ["o_totalprice", "day_no"], 4: ["o_totalprice"]})
-    pay = payment_behaviour(installments(spark, sf_dir).withColumnRenamed("o_custkey", key), key=key,
-                            due="amt_instalment", paid="amt_payment", days_diff="days_diff")
-    two = two_hop_aggregate(table(spark, sf_dir, "lineitem"), orders(spark, sf_dir).withColumnRenamed("o_custkey", key),
-                            grandchild_key="l_orderkey", child_key="o_orderkey", parent_key=key,
-                            measures={"l_quantity": ["mean", "max"]},
-                            counts_if={"LI_RETURNED_COUNT": ("l_returnflag", "R")}, prefix="LI")
+    lines = installments(spark, sf_dir, "l_quantity", "l_returnflag").withColumnRenamed("o_custkey", key)
+    pay = payment_behaviour(lines, key=key, due="amt_instalment", paid="amt_payment", days_diff="days_diff", also=[
+        F.avg("l_quantity").alias("LI_L_QUANTITY_MEAN"), F.max("l_quantity").alias("LI_L_QUANTITY_MAX"),
+        count_if_equal("l_returnflag", "R").alias("LI_RETURNED_COUNT")])
     ev = child_aggregate(events(spark, sf_dir).withColumnRenamed("user_id", key), key, EVENTS_SPEC)
     out = base
-    for block in (o, seq, pay, two, ev):
+    for block in (o, seq, pay, ev):
         out = out.join(block, key, "left")
     wanted = matrix_columns()[: -len(_derived())]
     out = out.select(key, "target", "c_nationkey", "ACCTBAL_CENTS", *wanted)
@@ -156,7 +154,7 @@ FROM m
 
 
 register("f_applicant_matrix", _matrix_sql(),
-         "S6, F1, F4, F6, F7, F11, J1, J2, A1-A10, W1-W3, I1, X8 (flagship)")(applicant_matrix)
+         "F1, F6, F7, F11, J1, J2, A1, A5, A6, A9, A10, W1-W3, I1, X8 (flagship)")(applicant_matrix)
 
 APPLICANT = Entity("applicant", ("c_custkey",))
 

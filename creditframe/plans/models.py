@@ -141,7 +141,7 @@ def m1_logistic(spark, sf_dir):
     return ml.predictions(model, d, "c_custkey", "target")
 
 
-@register("m3_gbt", None, "M3, M6, M7, M10")
+@register("m3_gbt", None, "M3, M6, M7")
 def m3_gbt(spark, sf_dir):
     d = _training_frame(spark, sf_dir).withColumn("is_val", F.col("split") == 1)
     model = ml.boosted_trees(MODEL_FEATURES, "target", rounds=30, depth=4, validation="is_val").fit(d)
@@ -151,7 +151,7 @@ def m3_gbt(spark, sf_dir):
     return metrics
 
 
-@register("m13_importance", None, "M2, M13, A28, X12, W4")
+@register("m13_importance", None, "M2, M13, X12, W4")
 def m13_importance(spark, sf_dir):
     from ..functions.expressions import feature_category
     from ..operators.analysis import cumulative_share

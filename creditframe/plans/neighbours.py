@@ -81,7 +81,7 @@ def k4_smote(spark, sf_dir):
     return smote(h, "c_custkey", RESAMPLE_FEATURES, "target", k=5, seed=42)
 
 
-@register("p6_iforest", None, "P6, I2, A19")
+@register("p6_iforest", None, "P6")
 def p6_iforest(spark, sf_dir):
     from .children import applicant_history
     from ..operators.outliers import isolation_forest

@@ -202,7 +202,7 @@ def _orders_by_label(spark, sf_dir):
 WITH long AS (UNPIVOT ({ORDERS_BY_LABEL}) ON o_totalprice, day_no INTO NAME feature VALUE value)
 SELECT target, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS count
 FROM long GROUP BY target, feature
-""", "A18, O9")
+""", "A18")
 def a18_group_stats(spark, sf_dir):
     return round_all(an.group_stats(_orders_by_label(spark, sf_dir), ["o_totalprice", "day_no"], "target"), 6)
 

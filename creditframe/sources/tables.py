@@ -48,21 +48,21 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target", (F.col("c_acctbal") < 0).cast("int"))
 
 
-def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def installments(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """lineitem joined to its order: one instalment row per line.
 
     due = extended price, paid = price after discount (both in integer cents,
     the payment rounded to the cent), days between ship and order date stand
     for payment minus due day.  The join is on the order key
     on both sides, so it is a plain shuffle join at scale (orders is a fact
-    table, never broadcast blindly).
+    table, never broadcast blindly).  ``extra`` lineitem columns come along.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate")
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate", *extra)
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
             .select(
-                F.col("o_custkey"), F.col("l_orderkey"), F.col("l_linenumber"),
+                F.col("o_custkey"), F.col("l_orderkey"), F.col("l_linenumber"), *extra,
                 cents("l_extendedprice").alias("amt_instalment"),
                 F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long").alias("amt_payment"),
                 F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).cast("double").alias("days_diff")))

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bin_label, clip, corr_direction, corr_strength, feature_category, safe_div
+from ..functions.expressions import (bin_label, clip, corr_direction, corr_strength, feature_category, safe_div,
+                                     skew_label)
 from .clean import with_scalars
 from .ordered import quantiles, running_totals
 from .profile import _long, describe
@@ -346,12 +347,15 @@ def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label
     chart of a type is ``CHART_TYPES[type]``."""
     feats = list(features)
     if analysis_type == "distribution":
-        stats = group_stats(df, feats, compare_groups) if compare_groups else describe(df, feats)
+        if compare_groups:
+            stats = group_stats(df, feats, compare_groups)
+        else:
+            stats = describe(df, feats).withColumn("insight", skew_label("mean", "median"))
         return {"statistics": stats, "chart_data": histogram_iqr(df, feats)}
     if analysis_type == "comparison":
         return {"statistics": group_stats(df, feats, compare_groups or label)}
     if analysis_type == "correlation":
-        return {"statistics": correlation_matrix(df, feats)}
+        return {"statistics": correlation_matrix(df, feats).withColumn("insight", correlation_insight(F.col("corr")))}
     if analysis_type == "trend":
         return {"chart_data": per_feature({f: trend(df, ts, f, series=compare_groups).withColumnRenamed(f, "value")
                                            for f in feats})}

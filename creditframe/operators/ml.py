@@ -22,6 +22,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .clean import with_scalars
 from .ordered import running_totals
 from .score import positive_probability
@@ -238,15 +239,18 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
                            key: str, seed: int = 42, trees: int = 100, top: int = 10) -> dict:
     """Can a model tell train rows from test rows?
 
-    O4 (union with an origin flag) -> I4 (-999 fill) -> K2 (80/20 split) ->
-    random forest -> M7 AUC and M13 top drifting features.  AUC above 0.8 is
-    a strong shift, above 0.6 a moderate one.
+    O4 (union with an origin flag) -> E1 (codes of text columns, null as a
+    category) -> I4 (-999 fill) -> K2 (70/30 split) -> random forest -> M7 AUC
+    and M13 top drifting features.  AUC above 0.8 is a strong shift, above 0.6
+    a moderate one.
     """
     from .analysis import union_with_flag
-    from .impute import fill_constant
+    from .impute import fill_constant, label_encode
     both = union_with_flag(train.select(key, *features), test.select(key, *features), "is_train")
+    text = [f for f in features if both.schema[f].dataType.simpleString() == "string"]
+    both = label_encode(both, text, null_token="nan") if text else both
     both = fill_constant(both, -999.0, list(features))
-    both = stratified_split(both, key, "is_train", (0.8, 0.2), seed=seed)
+    both = cut_lineage(stratified_split(both, key, "is_train", (0.7, 0.3), seed=seed))
     model = random_forest(features, "is_train", trees=trees, depth=6, seed=seed).fit(both.where("split = 0"))
     held = model.transform(both.where("split = 1")).withColumn("p", positive_probability())
     auc = auc_ap(held, "p", "is_train").select("auc")

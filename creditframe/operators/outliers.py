@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .clean import with_scalars
 from .ordered import quantiles
 
@@ -146,8 +147,9 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], *, trees:
             yield pd.DataFrame({key: pdf[key], score_col: score(x)})
 
     key_type = df.schema[key].dataType.simpleString()
-    scored = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(
-        apply, f"{key} {key_type}, {score_col} double")
+    # the scores are read for the cut and for the result: computed once
+    scored = cut_lineage(df.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(
+        apply, f"{key} {key_type}, {score_col} double"))
     offset = quantiles(scored, [score_col], [contamination])
     qname = [c for c in offset.columns if c != "feature"][0]
     out = with_scalars(scored, offset.select(F.col(qname).alias("__offset")))

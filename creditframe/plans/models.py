@@ -170,14 +170,23 @@ def m11_contrib(spark, sf_dir):
         "c_custkey", "base_probability", "probability", "explanation", "top_factor_direction")
 
 
-@register("m14_adversarial", None, "M14, O4, I4, K2")
-def m14_adversarial(spark, sf_dir):
+def _drift(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"),
-        F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("double").alias("day_no"))
-    res = ml.adversarial_validation(o.where("o_orderstatus <> 'O'"), o.where("o_orderstatus = 'O'"),
-                                    ["price", "day_no"], key="o_orderkey", trees=20)
-    return res["auc"]
+        F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("double").alias("day_no"),
+        F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"))
+    return ml.adversarial_validation(o.where("o_orderstatus <> 'O'"), o.where("o_orderstatus = 'O'"),
+                                     ["price", "day_no", "priority"], key="o_orderkey", trees=20)
+
+
+@register("m14_adversarial", None, "M14, O4, E1, I4, K2")
+def m14_adversarial(spark, sf_dir):
+    return _drift(spark, sf_dir)["auc"]
+
+
+@register("m14_drift", None, "M14 (the features that differ most)")
+def m14_drift(spark, sf_dir):
+    return _drift(spark, sf_dir)["top_features"]
 
 
 @register("p14_project", """
@@ -224,7 +233,21 @@ def b6_what_if(spark, sf_dir):
     return what_if(model, req, MODEL_FEATURES, medians=fit_medians(d, MODEL_FEATURES))
 
 
-@register("b7_human", None, "B7, B8")
+@register("b7_human", """
+WITH t AS (SELECT c_custkey, abs(c_acctbal) AS inc, c_nationkey * 1000.0::DOUBLE AS cred,
+                  -(20 + c_custkey % 50) * 365.0::DOUBLE AS birth,
+                  CASE WHEN c_custkey % 7 > 0 THEN -(c_custkey % 7) * 365.0::DOUBLE ELSE 365243.0::DOUBLE END AS work,
+                  (c_custkey % 3)::DOUBLE AS kids, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS car
+           FROM customer),
+r AS (SELECT *, CASE WHEN cred > 0 THEN (CASE WHEN inc > 0 THEN cred / inc ELSE 10.0::DOUBLE END) END AS ratio FROM t),
+s AS (SELECT c_custkey, CASE WHEN ratio IS NULL THEN 8 ELSE 9 END AS n,
+             inc + cred + birth + work + kids + car + 1.0::DOUBLE + 0.5::DOUBLE + coalesce(ratio, 0.0::DOUBLE) AS total,
+             inc + cred - birth + abs(work) + kids + car + 1.0::DOUBLE + 0.5::DOUBLE + coalesce(ratio, 0.0::DOUBLE) AS size
+      FROM r)
+SELECT c_custkey, n AS n_features,
+       round(least(greatest(0.5::DOUBLE + 0.5::DOUBLE * least(greatest((total / n) / (size / n + 1e-6::DOUBLE), -1.0::DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE), 6) AS probability
+FROM s
+""", "B7, B8")
 def b7_human(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", F.abs("c_acctbal").alias("income"), (F.col("c_nationkey") * 1000.0).alias("credit_amount"),
@@ -233,7 +256,7 @@ def b7_human(spark, sf_dir):
         F.pmod("c_custkey", F.lit(3)).alias("children_count"), F.lit(None).cast("double").alias("ext_source_2"),
         F.lit(0.5).alias("ext_source_3"))
     out = fallback_score(human_scenario(c), "features_map")
-    return out.select("c_custkey", F.size("features_map").alias("n_features"), "probability")
+    return out.select("c_custkey", F.size("features_map").alias("n_features"), F.round("probability", 6).alias("probability"))
 
 
 @register("m11_tree_contrib", None, "M11, M12, M3 (TreeSHAP)")

@@ -196,4 +196,5 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     least = prints.groupBy("fp").agg(first)
     by_root = classes(prints, max_bits).join(least, "fp")
     kept = written(by_root.groupBy("root").agg(F.min("first").alias("first")).select("first.n"), "kept")
-    return rows.join(kept, "n", "left_semi").select("row.*")
+    # what stays grows with the corpus, so it is joined by key at every size
+    return rows.join(kept.hint("merge"), "n", "left_semi").select("row.*")

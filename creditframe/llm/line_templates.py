@@ -13,8 +13,8 @@ The outcome depends on the set of documents only, not on their order.
 
 Scale: all counts are partial aggregates over hashes, one row per document
 and leaf, token place or template, so a line that a third of all documents
-share crosses a shuffle once per document.  Only lines of leaves that enough
-documents reach are taken apart into tokens.  A leaf is never gathered in one
+share crosses a shuffle once per document, as a 64-bit hash.  Only lines of
+leaves that enough documents reach are taken apart, each text once.  A leaf is never gathered in one
 task: its tokens are counted by place and token.
 
 Edge cases: lines without a token are kept; null text has no lines; rows
@@ -51,51 +51,81 @@ def _key(id: str, text: str) -> Column:
     return F.struct(F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"))
 
 
-def _leaf(tokens: Column) -> Column:
+def _leaf(line: Column) -> Column:
     """Hash of the tree path; null for a line without tokens."""
-    lead = F.transform(F.slice(tokens, 1, DEPTH), _masked)
-    return F.when(F.size(tokens) > 0, F.xxhash64(F.size(tokens), lead))
+    def path(n: Column, lead: Column) -> Column:
+        return F.xxhash64(n, F.transform(lead, _masked))
+
+    # most lines have single blanks only: counting them needs no array
+    plain = (line != "") & ~line.startswith(" ") & ~line.endswith(" ")
+    for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        plain = plain & ~F.contains(line, F.lit(blank))
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    lead = F.slice(F.split(line, " ", DEPTH + 1), 1, DEPTH)
+    tokens = _tokens(line)
+    return F.when(plain, path(n, lead)).when(
+        line.rlike(r"[^\x20\x09-\x0D]"), path(F.size(tokens), F.slice(tokens, 1, DEPTH)))
 
 
 def lines_of_busy_leaves(docs: DataFrame, id: str, text: str, min_docs: int) -> DataFrame:
-    """(key, line, leaf, tokens) of the lines whose leaf enough documents reach."""
+    """(key, line, h, leaf) of the lines whose leaf enough documents reach; h
+    stands for the line's text."""
     lines = docs.select(_key(id, text).alias("key"), F.posexplode(_lines(F.col(f"`{text}`"))).alias("line", "t"))
-    shaped = lines.select("key", "line", _tokens(F.col("t")).alias("tokens")).withColumn("leaf", _leaf(F.col("tokens")))
-    leaves = docs.select(_key(id, text).alias("key"), F.explode(F.array_distinct(F.transform(
-        _lines(F.col(f"`{text}`")), lambda t: _leaf(_tokens(t))))).alias("leaf")).filter("leaf is not null").distinct()
-    reached = leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    busy = written(reached.select("leaf"), "template-leaves")
-    return written(shaped.join(busy, "leaf").select("key", "line", "leaf", "tokens"), "template-lines")
+    # the filter comes after the table is written: pushed below, it would
+    # compute every path a second time
+    shaped = written(lines.select("key", "line", F.xxhash64("t").alias("h"), _leaf(F.col("t")).alias("leaf")),
+                     "template-shapes").filter("leaf is not null")
+    reached = (shaped.select("key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
+               .filter(F.col("n") >= min_docs))
+    return written(shaped.join(written(reached.select("leaf"), "template-leaves"), "leaf")
+                   .select("key", "line", "h", "leaf"), "template-lines")
+
+
+def _constants(lines: DataFrame, tokens: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, place, token) that at least ``min_docs`` documents have; ``lines``
+    is (key, h, leaf) without repeats, ``tokens`` (h, place, token)."""
+    in_leaf = lines.groupBy("key", "leaf").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    # a document with one line in the leaf counts wherever that line does
+    alone = in_leaf.filter("n = 1").groupBy("leaf", "h").agg(F.count("*").alias("n"))
+    once = alone.join(tokens, "h").groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    # with several, it counts once for a place and token
+    several = lines.join(in_leaf.filter("n > 1").select("key", "leaf"), ["key", "leaf"], "left_semi")
+    shared = (several.join(tokens, "h").select("key", "leaf", "place", "token").distinct()
+              .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")))
+    return (once.unionByName(shared).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant")))
 
 
 def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
               similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(key, line, template) of candidate lines, and (template, documents) of
-    the templates that recur."""
+    """(key, line, t) of candidate lines, t standing for their template, and
+    (t, template, documents) of the templates that recur."""
     lines = lines_of_busy_leaves(docs, id, text, min_docs)
-    placed = lines.select("key", "line", "leaf", F.posexplode("tokens").alias("place", "token"))
-    # equal rows are one document, so a document counts once for a place and token
-    per_doc = placed.filter(~F.col("token").rlike("[0-9]")).select("key", "leaf", "place", "token").distinct()
-    constant = written(per_doc.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-                       .filter(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant")),
-                       "template-constants")
-    joined = placed.join(constant, ["leaf", "place", "token"], "left")
-    formed = joined.groupBy("key", "line", "leaf").agg(
-        F.array_sort(F.collect_set(F.struct("place", F.coalesce("constant", F.lit(False)).alias("c"), "token"))).alias("t"))
-    share = F.size(F.filter("t", lambda x: x["c"])) / F.size("t")
-    whole = F.concat_ws(" ", F.transform("t", lambda x: x["token"]))
-    general = F.concat_ws(" ", F.transform("t", lambda x: F.when(x["c"], x["token"]).otherwise(FIELD)))
-    of = written(formed.select("key", "line", F.when(share >= similar, general).otherwise(whole).alias("template")),
-                 "template-of-line")
-    per_template = of.select("key", "template").distinct()
-    recurring = per_template.groupBy("template").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_docs)
-    return of, written(recurring, "templates")
+    distinct = written(lines.select("key", "h", "leaf").distinct(), "template-distinct")
+    wanted = written(distinct.select("h", "leaf").distinct(), "template-texts-wanted")
+    texts = docs.select(F.explode(_lines(F.col(f"`{text}`"))).alias("t")).select(F.xxhash64("t").alias("h"), "t")
+    # what is wanted grows with the corpus, so it is joined by key at every size
+    found = texts.join(wanted.hint("merge"), "h").groupBy("h", "leaf").agg(F.first("t").alias("t"))
+    tokens = written(found.select("h", "leaf", F.posexplode(_tokens(F.col("t"))).alias("place", "token")), "template-tokens")
+    fixed = tokens.filter(~F.col("token").rlike("[0-9]")).select("h", "place", "token")
+    constant = written(_constants(distinct, fixed, min_docs), "template-constants")
+    formed = tokens.join(constant, ["leaf", "place", "token"], "left").groupBy("h").agg(
+        F.array_sort(F.collect_list(F.struct("place", F.coalesce("constant", F.lit(False)).alias("c"), "token"))).alias("x"))
+    share = F.size(F.filter("x", lambda x: x["c"])) / F.size("x")
+    whole = F.concat_ws(" ", F.transform("x", lambda x: x["token"]))
+    general = F.concat_ws(" ", F.transform("x", lambda x: F.when(x["c"], x["token"]).otherwise(FIELD)))
+    of_text = written(formed.select("h", F.when(share >= similar, general).otherwise(whole).alias("template"))
+                      .withColumn("t", F.xxhash64("template")), "template-of-text")
+    documents = (distinct.select("key", "h").join(of_text.select("h", "t"), "h").select("key", "t").distinct()
+                 .groupBy("t").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_docs))
+    recurring = written(of_text.groupBy("t").agg(F.first("template").alias("template")).join(documents, "t"), "templates")
+    return lines.select("key", "line", "h").join(of_text.select("h", "t"), "h").drop("h"), recurring
 
 
 def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, lines): line numbers to drop, per document that has any."""
     of, recurring = templates(docs, id, text, **options)
-    gone = of.join(recurring, "template", "left_semi")
+    gone = of.join(recurring.select("t"), "t", "left_semi")
     return written(gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines")), "template-dropped")
 
 
@@ -106,7 +136,7 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id, text).alias("key"))
     # text null and text "" hash alike only by accident; both have no lines to drop
     same = F.col("key.id").eqNullSafe(F.col("gid")) & (F.col("key.h") == F.col("gh"))
-    both = rows.join(gone, same, "left").withColumn("all", _lines(F.col(f"row.`{text}`")))
+    both = rows.join(gone.hint("merge"), same, "left").withColumn("all", _lines(F.col(f"row.`{text}`")))
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("lines", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(places, lambda i: F.get("all", i)), "\n")
     filled = F.size(F.filter("all", lambda t: t.rlike(r"[^\x20\x09-\x0D]"))).cast("long")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expressions import clip, finite_or_null, sentinel_to_null
 from .ordered import quantiles
 
-_K = "__one"
+_K = "__scalars"
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:

@@ -63,11 +63,11 @@ def stratified_split(df: DataFrame, key: str, label: str, fractions: Sequence[fl
     return ranked.withColumn(out, expr.cast("int")).drop("__rank", "__n", "__h")
 
 
-def _hash_rank(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+def _hash_rank(df: DataFrame, key: str, label: str | None, seed: int) -> DataFrame:
     """0-based rank of each row by seeded hash within its label, and the
     label's row count (distributed; rows of one hash follow their key)."""
     h = df.withColumn("__h", F.xxhash64(F.col(key).cast("string"), F.lit(seed))).withColumn("__one", F.lit(1))
-    rt = running_totals(h, "__h", ["__one"], by=[label], tiebreak=[key])
+    rt = running_totals(h, "__h", ["__one"], by=[label] if label else [], tiebreak=[key])
     return rt.withColumnRenamed("__one_before", "__rank").withColumnRenamed("__one_total", "__n").drop("__one")
 
 

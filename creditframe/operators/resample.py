@@ -37,7 +37,7 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str, *, k: in
     per, extra = divmod(need, n_min)
     mino = base.where(F.col(label) == minority)
     nbrs = knn_neighbours(mino, key, feats, k)
-    ranked = _hash_rank(mino.withColumn("__lbl", F.lit(0)), key, "__lbl", seed).drop("__lbl")
+    ranked = _hash_rank(mino, key, None, seed)
     gen = ranked.join(nbrs, key, "left").withColumn(
         "__m", F.lit(per) + (F.col("__rank") < F.lit(extra)).cast("int"))
     gen = gen.where(F.col("__m") > 0).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, licences, line_templates, lm, mixing, pii, quality, simhash, substring_dedup, token_output
+from . import decontaminate, licences, line_templates, lm, mixing, oracles, pii, quality, simhash, substring_dedup, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", oracles.QUALITY)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judge(documents(spark, sf_dir)).select(
@@ -33,7 +33,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", "broken").alias("broken"))
 
 
-@query("op1_decontaminate")
+@query("op1_decontaminate", oracles.DECONTAMINATE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of 13-word benchmark windows in every document."""
     found = decontaminate.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -100,7 +100,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("similarity", 4).alias("similarity"), "family")
 
 
-@query("op4_line_templates")
+@query("op4_line_templates", oracles.LINE_TEMPLATES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that a recurring template stands for."""
     found = line_templates.dedupe(documents(spark, sf_dir))

@@ -103,9 +103,11 @@ def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs:
     lines = lines_of_busy_leaves(docs, id, text, min_docs)
     distinct = written(lines.select("key", "h", "leaf").distinct(), "template-distinct")
     wanted = written(distinct.select("h", "leaf").distinct(), "template-texts-wanted")
-    texts = docs.select(F.explode(_lines(F.col(f"`{text}`"))).alias("t")).select(F.xxhash64("t").alias("h"), "t")
+    lines_of = docs.select(F.explode(_lines(F.col(f"`{text}`"))).alias("t")).select(F.xxhash64("t").alias("h"), "t")
+    # a line that many documents share leaves each task once
+    texts = lines_of.groupBy("h").agg(F.first("t").alias("t"))
     # what is wanted grows with the corpus, so it is joined by key at every size
-    found = texts.join(wanted.hint("merge"), "h").groupBy("h", "leaf").agg(F.first("t").alias("t"))
+    found = texts.join(wanted.hint("merge"), "h")
     tokens = written(found.select("h", "leaf", F.posexplode(_tokens(F.col("t"))).alias("place", "token")), "template-tokens")
     fixed = tokens.filter(~F.col("token").rlike("[0-9]")).select("h", "place", "token")
     constant = written(_constants(distinct, fixed, min_docs), "template-constants")

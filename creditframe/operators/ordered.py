@@ -165,25 +165,38 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], b
     Groups of at most ``accuracy`` rows keep all their values.  All other
     values meet in a few gap rows before the shuffle.
     """
-    from .clean import with_scalars
     margin = 2.0 / accuracy
-    lows, highs = [max(0.0, q - margin) for q in qs], [min(1.0, q + margin) for q in qs]
+    probs = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     stats = [s for i, c in enumerate(cols) for s in (
-        F.count(x[c]).alias(f"__n{i}"), F.percentile_approx(x[c], lows, accuracy).alias(f"__l{i}"),
-        F.percentile_approx(x[c], highs, accuracy).alias(f"__h{i}"))]
-    if by:
-        near = join_null_safe(df.select(*by, *[x[c].alias(c) for c in cols if c not in by]), df.groupBy(*by).agg(*stats), by)
-    else:
-        near = with_scalars(df.select(*[x[c].alias(c) for c in cols]), df.agg(*stats))
-    long = near.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), x[c].alias("x"), F.col(f"__n{i}").alias("n"), F.col(f"__l{i}").alias("lo"),
-                 F.col(f"__h{i}").alias("hi")) for i, c in enumerate(cols)]))).where("x is not null")
-    within = (F.col("n") <= accuracy) | F.exists(
-        F.arrays_zip("lo", "hi"), lambda z: (F.col("x") >= z["lo"]) & (F.col("x") <= z["hi"]))
-    below = F.array_max(F.filter("hi", lambda h: h < F.col("x")))
-    return long.groupBy(*by, "feature", F.when(within, F.col("x")).otherwise(below).alias("value"),
-                        (~within).alias("gap")).agg(F.count(F.lit(1)).alias("cnt"))
+        F.count(x[c]).alias(f"__n{i}"), F.percentile_approx(x[c], probs, accuracy).alias(f"__p{i}"))]
+    wide = df.select(*by, *[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
+    # without groups the brackets are one row, read once and used as constants
+    row = None if by else df.agg(*stats).first()
+    near = join_null_safe(wide, df.groupBy(*by).agg(*stats), by) if by else wide
+
+    def placed(i: int) -> Column:
+        v = F.col(f"__x{i}")
+        if row is None:
+            edges = [F.get(f"__p{i}", F.lit(j)) for j in range(2 * len(qs))]
+            within = F.col(f"__n{i}") <= accuracy
+        else:
+            edges = [F.lit(e) for e in row[f"__p{i}"] or [0.0] * (2 * len(qs))]
+            within = F.lit(row[f"__n{i}"] <= accuracy)
+        lo, hi = edges[:len(qs)], edges[len(qs):]
+        for a, b in zip(lo, hi):
+            within = within | ((v >= a) & (v <= b))
+        passed = [F.when(b < v, b) for b in hi]
+        below = F.greatest(*passed) if len(passed) > 1 else passed[0]
+        return F.when(v.isNotNull(), F.struct(F.when(within, v).otherwise(below).alias("value"), (~within).alias("gap")))
+
+    long = near.select(*by, *[placed(i).alias(c if c not in by else f"__c{i}") for i, c in enumerate(cols)]).unpivot(
+        list(by), [c if c not in by else f"__c{i}" for i, c in enumerate(cols)], "feature", "s")
+    for i, c in enumerate(cols):
+        if c in by:
+            long = long.withColumn("feature", F.when(F.col("feature") == f"__c{i}", c).otherwise(F.col("feature")))
+    return long.where("s is not null").groupBy(*by, "feature", F.col("s.value").alias("value"), F.col("s.gap").alias("gap")).agg(
+        F.count(F.lit(1)).alias("cnt"))
 
 
 def percent_rank_le(df: DataFrame, col: str, *, by: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, written
 
 DEPTH = 2
-MIN_DOCS = 5
+MIN_DOCS = 2
 SIMILAR = 0.5
 FIELD = "<*>"
 
@@ -81,19 +81,24 @@ def lines_of_busy_leaves(docs: DataFrame, id: str, text: str, min_docs: int) ->
                    .select("key", "line", "h", "leaf"), "template-lines")
 
 
-def _constants(lines: DataFrame, tokens: DataFrame, min_docs: int) -> DataFrame:
-    """(leaf, place, token) that at least ``min_docs`` documents have; ``lines``
-    is (key, h, leaf) without repeats, ``tokens`` (h, place, token)."""
-    in_leaf = lines.groupBy("key", "leaf").agg(F.count("*").alias("n"), F.min("h").alias("h"))
-    # a document with one line in the leaf counts wherever that line does
-    alone = in_leaf.filter("n = 1").groupBy("leaf", "h").agg(F.count("*").alias("n"))
-    once = alone.join(tokens, "h").groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    # with several, it counts once for a place and token
-    several = lines.join(in_leaf.filter("n > 1").select("key", "leaf"), ["key", "leaf"], "left_semi")
-    shared = (several.join(tokens, "h").select("key", "leaf", "place", "token").distinct()
-              .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")))
-    return (once.unionByName(shared).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant")))
+def _places(texts: DataFrame, *cols: str) -> DataFrame:
+    """(``cols``, place, c) per token of ``texts`` without a digit; c stands for
+    leaf, place and token."""
+    tokens = texts.select(*cols, "leaf", F.posexplode(_tokens(F.col("t"))).alias("place", "token"))
+    return tokens.filter(~F.col("token").rlike("[0-9]")).select(*cols, "place", F.xxhash64("leaf", "place", "token").alias("c"))
+
+
+def _constants(lines: DataFrame, in_leaf: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
+    """c of what at least ``min_docs`` documents have; ``lines`` is (key, h,
+    leaf) without repeats, ``found`` (h, leaf, t, n), n the documents with no
+    other line in the leaf."""
+    once = _places(found.filter("n > 0"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    # a document with several lines in the leaf counts once for a place and token
+    several = lines.join(in_leaf.filter("n > 1").select("key", "leaf"), ["key", "leaf"], "left_semi").select("key", "h")
+    shared = (_places(several.join(found.hint("merge"), "h"), "key").select("key", "c").distinct()
+              .groupBy("c").agg(F.count("*").alias("n")))
+    return (once.unionByName(shared).groupBy("c").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= min_docs).select("c"))
 
 
 def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
@@ -102,20 +107,28 @@ def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs:
     (t, template, documents) of the templates that recur."""
     lines = lines_of_busy_leaves(docs, id, text, min_docs)
     distinct = written(lines.select("key", "h", "leaf").distinct(), "template-distinct")
-    wanted = written(distinct.select("h", "leaf").distinct(), "template-texts-wanted")
+    in_leaf = distinct.groupBy("key", "leaf").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    # a document with one line in the leaf counts wherever that line does
+    alone = in_leaf.filter("n = 1").groupBy("h").agg(F.count("*").alias("n"))
+    wanted = written(distinct.select("h", "leaf").distinct().join(alone.hint("merge"), "h", "left")
+                     .select("h", "leaf", F.coalesce("n", F.lit(0)).alias("n")), "template-texts-wanted")
     lines_of = docs.select(F.explode(_lines(F.col(f"`{text}`"))).alias("t")).select(F.xxhash64("t").alias("h"), "t")
     # a line that many documents share leaves each task once
     texts = lines_of.groupBy("h").agg(F.first("t").alias("t"))
     # what is wanted grows with the corpus, so it is joined by key at every size
-    found = texts.join(wanted.hint("merge"), "h")
-    tokens = written(found.select("h", "leaf", F.posexplode(_tokens(F.col("t"))).alias("place", "token")), "template-tokens")
-    fixed = tokens.filter(~F.col("token").rlike("[0-9]")).select("h", "place", "token")
-    constant = written(_constants(distinct, fixed, min_docs), "template-constants")
-    formed = tokens.join(constant, ["leaf", "place", "token"], "left").groupBy("h").agg(
-        F.array_sort(F.collect_list(F.struct("place", F.coalesce("constant", F.lit(False)).alias("c"), "token"))).alias("x"))
-    share = F.size(F.filter("x", lambda x: x["c"])) / F.size("x")
-    whole = F.concat_ws(" ", F.transform("x", lambda x: x["token"]))
-    general = F.concat_ws(" ", F.transform("x", lambda x: F.when(x["c"], x["token"]).otherwise(FIELD)))
+    found = written(texts.join(wanted.hint("merge"), "h").select("h", "leaf", "t", "n"), "template-texts")
+    constant = written(_constants(distinct, in_leaf, found, min_docs), "template-constants")
+    # only the places found constant go back to their text
+    fixed = _places(found, "h").join(constant.hint("merge"), "c").groupBy("h").agg(F.collect_list("place").alias("fixed"))
+    formed = found.select("h", "t").join(fixed.hint("merge"), "h", "left").select(
+        "h", _tokens(F.col("t")).alias("x"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
+    share = F.size("fixed") / F.size("x")
+    whole = F.concat_ws(" ", "x")
+    free = F.array_except(F.sequence(F.lit(0), F.size("x") - 1), F.col("fixed"))
+    filled = F.array_sort(F.concat(
+        F.transform("fixed", lambda i: F.struct(i.alias("place"), F.get("x", i).alias("token"))),
+        F.transform(free, lambda i: F.struct(i.alias("place"), F.lit(FIELD).alias("token")))))
+    general = F.concat_ws(" ", F.transform(filled, lambda x: x["token"]))
     of_text = written(formed.select("h", F.when(share >= similar, general).otherwise(whole).alias("template"))
                       .withColumn("t", F.xxhash64("template")), "template-of-text")
     documents = (distinct.select("key", "h").join(of_text.select("h", "t"), "h").select("key", "t").distinct()

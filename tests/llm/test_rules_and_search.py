@@ -183,6 +183,13 @@ def test_line_templates_edges(docs, odd):
     assert line_templates.dedupe(docs.limit(0)).count() == 0
 
 
+def test_line_templates_recur_from_two_documents(spark):
+    rows = [(1, "shared by two only\nalpha own line"), (2, "beta gamma\nshared by two only"), (3, "one more text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: (r.kept, r.n_dropped) for r in line_templates.dedupe(df).collect()}
+    assert got == {1: ("alpha own line", 1), 2: ("beta gamma", 1), 3: ("one more text here", 0)}
+
+
 @pytest.fixture(scope="module")
 def licence_model(docs):
     return licences.train(docs)

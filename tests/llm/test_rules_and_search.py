@@ -222,3 +222,21 @@ def test_licences_edges_and_native_plan(spark, odd, docs, licence_model):
     assert not re.search("Python|Pandas|Arrow", plan)
     wrapped = spark.createDataFrame([(1, "x\nAll rights reserved.\n\nALL RIGHTS RESERVED.")], "doc_id int, text string")
     assert [(r.line, r.family) for r in licences.scan(wrapped, licence_model).collect()] == [(1, "Proprietary"), (3, "Proprietary")]
+
+
+def test_licences_of_wrapped_notices_and_titles(spark, licence_model):
+    rows = [
+        ("MIT", "MIT License"), ("BSD", "BSD 3-Clause License"), ("GPL", "GNU GENERAL PUBLIC LICENSE"),
+        ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MIT", "# SPDX-License-Identifier: MIT"),
+        ("MIT", "Some prose\n\nPermission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and "
+                "associated documentation files, to deal\nin the Software without restriction"),
+        ("GPL", "Some prose\n\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU "
+                "General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * later."),
+        ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance"),
+        (licences.UNKNOWN, "The council read about\nthe licence of the town hall."), (licences.UNKNOWN, "My MIT License plate is blue."),
+    ]
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id int, text string, want string")
+    got = licences.scan(df, licence_model, ("doc_id", "want")).collect()
+    assert {r.row.doc_id for r in got} == set(range(len(rows)))
+    assert [] == [(r.notice, r.predicted, r.p, r.similarity) for r in got if r.family != r.row.want]

@@ -94,3 +94,32 @@ o AS (SELECT l.doc_id, count(g.line) AS n_dropped, coalesce(string_agg(l.t, chr(
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(kept) AS kept_sha256
 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """
+
+#: CRC-32 of the characters of a decimal number, bit by bit
+_CRC = ("xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), "
+        "lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+        "ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)")
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, base, h, least(h, count(t.pos)) AS taken FROM c LEFT JOIN t ON t.conv_id = c.base GROUP BY c.conv_id, base, h),
+r AS (SELECT b.conv_id, t.pos, role, text FROM b JOIN t ON t.conv_id = base WHERE t.pos < taken
+      UNION ALL SELECT b.conv_id, t.pos - h + taken, role, text FROM b JOIN t ON t.conv_id = b.conv_id WHERE t.pos >= h),
+q AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS seq, list(length(text) ORDER BY pos) AS sizes
+      FROM r GROUP BY conv_id),
+s AS (SELECT b.conv_id, coalesce(seq, []) AS seq, coalesce(sizes, []) AS sizes FROM b LEFT JOIN q ON b.conv_id = q.conv_id),
+p AS (SELECT conv_id, d, seq[1:d] AS node, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(seq) AS ended
+      FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM s)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '') AS ends FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.node),
+u AS (SELECT node[1:i] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved
+      FROM (SELECT *, unnest(range(d + 1)) AS i FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN u ON m.node = u.node LEFT JOIN n a ON m.d > 0 AND a.node = m.node[1:m.d - 1] AND a.d = m.d - 1
+"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import decontaminate, licences, line_templates, lm, mixing, oracles, pii, quality, simhash, substring_dedup, token_output
+from . import (decontaminate, licences, line_templates, lm, mixing, oracles, pii, prefix_trie, quality, simhash, substring_dedup,
+               token_output)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated 100-byte strings."""
     return substring_dedup.dedupe(documents(spark, sf_dir), with_text=False)
+
+
+@query("op11_prefix_trie", oracles.PREFIX_TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over the rebuilt conversations."""
+    turns = prefix_trie.encode(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(*prefix_trie.with_shared_heads(turns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import (decontaminate, licences, line_templates, lm, mixing, oracles, pii, prefix_trie, quality, simhash, substring_dedup,
+from . import (decontaminate, licences, line_templates, lm, mixing, oracles, passages, pii, prefix_trie, quality, simhash, substring_dedup,
                token_output)
 from .common import documents
 
@@ -119,3 +119,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie over the rebuilt conversations."""
     turns = prefix_trie.encode(table(spark, sf_dir, "conversations"))
     return prefix_trie.nodes(*prefix_trie.with_shared_heads(turns))
+
+
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from four fifths of the labels."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs = documents(spark, sf_dir)
+    model = passages.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), remainder != 0)
+    found = passages.score(docs, model)
+    return found.select("row.doc_id", "score", "n_passages", "focus").select(
+        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "focus")

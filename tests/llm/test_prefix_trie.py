@@ -73,7 +73,7 @@ def test_rebuilt_conversations(spark, rows):
     assert got(found) == sorted(plain(rebuilt(in_order(rows))), key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize("segment,shards", [(256, 1), (256, 7), (3, 4), (1, 3), (5, 40)])
+@pytest.mark.parametrize("segment,shards", [(256, 7), (5, 3)])
 def test_segments_and_shards_do_not_matter(spark, rows, segment, shards):
     turns = prefix_trie.encode(spark.createDataFrame(rows, SCHEMA))
     convs = turns.select("conv").distinct()

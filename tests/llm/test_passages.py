@@ -78,7 +78,7 @@ def test_describe_by_hand():
     assert of.tolist() == [1, 3]
     shapes = x[0, -passages._SHAPES:]
     assert shapes[1] == pytest.approx(9 / 4) and shapes[3] == pytest.approx(1 / 4)      # mean size, upper-case words
-    assert shapes[6] == pytest.approx(3 / 4) and shapes[7] == pytest.approx(1 / 4)      # distinct, neighbours alike: ab ab
+    assert shapes[6] == pytest.approx(3 / 4) and shapes[7] == 0 and shapes[8] == pytest.approx(1 / 4)      # distinct; ab ab, ab
     assert x[0, ord("a")] == pytest.approx(3 / 9)
     assert x[0, 129:129 + passages.HASHED].sum() == pytest.approx(1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.tables import table
 from . import (decontaminate, licences, line_templates, lm, mixing, oracles, passages, pii, prefix_trie, quality, simhash, substring_dedup,
-               token_output)
+               token_alignment, token_output)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "score", "n_passages", "focus").select(
         "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "focus")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return token_alignment.align(documents(spark, sf_dir))

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PASSAGE = 64
 PART = 1 << 20
@@ -271,5 +272,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{text}`").cast("string").alias("text"))
-    row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {row_type}, score double, n_passages long, focus long, focus_weight double")
+    shape = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType()),
+                          T.StructField("focus", T.LongType()), T.StructField("focus_weight", T.DoubleType())])
+    return rows.mapInArrow(run, shape)

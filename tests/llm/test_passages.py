@@ -51,7 +51,7 @@ def test_held_out_accuracy(spark, model):
 
 def test_scores_follow_the_definition(spark, model, monkeypatch):
     texts = [t for _, t, _ in corpus(12, 5)] + ["", None, "  \n", "é" * 500, "word " * 3000, "one"]
-    rows = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, `row` string, score double")
+    rows = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, `row` string, `a.b c` double")
     found = {r.row.doc_id: r for r in passages.score(rows.repartition(3), model).collect()}
     for i, t in enumerate(texts):
         assert found[i].score == pytest.approx(direct(model, t), abs=1e-5)

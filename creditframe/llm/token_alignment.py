@@ -47,13 +47,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import per_worker, tokenizer_file, written
 from .lm import _unz, _z
-from .pretokens import CACHE, Encoder, byte_letters
+from .pretokens import Encoder, byte_letters
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 1 << 16
-GROUP = 2 << 20
-PACK = 6 << 20
+GROUP = 1 << 20
+PACK = 2 << 20
 FAN = 64
+#: Pre-tokens and words whose ids a worker keeps, per tokenizer.
+CACHE = 1 << 18
 
 
 # ------------------------------------------------------------- the tokenizers
@@ -88,6 +90,8 @@ class ByteLevel:
         self.table = _Table(tokens)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.encoder.seen) > CACHE:
+            self.encoder._forget()
         return [x[:-1].astype(np.int64) for x in self.encoder.encode([t.decode() for t in texts])]
 
 
@@ -305,8 +309,9 @@ def _short_texts(rows: DataFrame, files: tuple[str, str]) -> DataFrame:
 
         for batch in batches:
             ids, texts, held = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids.append(i)
+            for i, t in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                t = t.as_py()
+                ids.append(i.as_py())
                 texts.append(b" " + t if t else b"")
                 held += len(texts[-1])
                 if held >= GROUP:

@@ -151,12 +151,12 @@ def _claims(nodes):
         (F.count_if(F.col("left") < 0) <= TREES.num_leaves).alias("leaves_in_limit"))
 
 
-STUMPS = B.Params(num_leaves=2, max_depth=1, learning_rate=0.5, n_estimators=8, min_child_samples=5, reg_lambda=1.0)
+STUMPS = B.Params(num_leaves=2, max_depth=1, learning_rate=0.5, n_estimators=6, min_child_samples=5, reg_lambda=1.0)
 PATIENCE = 3
 
 
 def _patience_sql() -> str:
-    """Eight rounds of stumps, their validation AUC, and the stopping rule."""
+    """Rounds of stumps, their validation AUC, and the stopping rule."""
     p = STUMPS
     ctes = [f"r AS MATERIALIZED ({_ROWS_SQL})", f"b AS MATERIALIZED ({_BINS_SQL})",
             "m0 AS MATERIALIZED (SELECT doc_id, y, doc_id % 4 = 0 AS held, (SELECT ln(avg(y) / (1 - avg(y))) FROM r "
@@ -170,14 +170,14 @@ def _patience_sql() -> str:
             f"LEFT JOIN b ON b.doc_id = m.doc_id AND b.f = s.f)",
             f"v{k} AS MATERIALIZED (SELECT side, {_value_sql(p)} AS value FROM z{k} JOIN d{k} USING (doc_id) GROUP BY side)",
             f"m{k} AS MATERIALIZED (SELECT m.doc_id, y, held, margin + value AS margin FROM m{k - 1} m JOIN d{k} USING (doc_id) JOIN v{k} USING (side))",
-            f"a{k} AS (SELECT {k} AS round, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT pos, neg, "
+            f"a{k} AS MATERIALIZED (SELECT {k} AS round, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT pos, neg, "
             f"coalesce(sum(neg) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT "
             f"round_even({B.AUC_STEPS} / (1 + exp(-margin)), 0) AS step, sum(y) AS pos, sum(1 - y) AS neg FROM m{k} WHERE held GROUP BY 1)))"]
     every = " UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(1, p.n_estimators + 1))
     ctes += [f"a AS MATERIALIZED ({every})",
-             "best AS (SELECT x.round, (SELECT min(y.round) FROM a y WHERE y.round <= x.round AND y.auc = "
+             "best AS MATERIALIZED (SELECT x.round, (SELECT min(y.round) FROM a y WHERE y.round <= x.round AND y.auc = "
              "(SELECT max(auc) FROM a w WHERE w.round <= x.round)) AS best FROM a x)",
-             f"stop AS (SELECT coalesce(min(round), {p.n_estimators}) AS last, coalesce(min(round), 0) > 0 AS stopped FROM best "
+             f"stop AS MATERIALIZED (SELECT coalesce(min(round), {p.n_estimators}) AS last, coalesce(min(round), 0) > 0 AS stopped FROM best "
              f"WHERE round - best >= {PATIENCE})"]
     return ("WITH " + ",\n".join(ctes) + "\nSELECT a.round::INTEGER AS round, round(auc, 6) AS auc, a.round = (SELECT best FROM best, stop "
             "WHERE round = last) AS is_best, stopped FROM a, stop WHERE a.round <= last")

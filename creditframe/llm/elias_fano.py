@@ -1,8 +1,10 @@
 """Elias-Fano sequences and a two-level n-gram trie on them, over arrays.
 
 A non-decreasing sequence of n numbers below u keeps its low bits packed and
-its high bits in unary: about 2 + log2(u / n) bits a number.  All lookups take
-arrays of queries.  Levels live in one (anonymous) memory map per trie.
+its high bits in unary: about 2 + log2(u / n) bits a number, and stays so in
+memory; a directory of 4 bytes for every 64 high bits finds a number's place.
+All lookups take arrays of queries.  Levels live in one memory map per trie,
+which is anonymous: a task has no folder of its own that it may count on.
 """
 
 from __future__ import annotations
@@ -28,15 +30,26 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A sequence in ``size`` numbers; ``low``, ``high`` are views of a map."""
+    """A sequence of ``size`` numbers; ``low``, ``high`` are views of a map."""
 
     def __init__(self, size: int, width: int, low: np.ndarray, high: np.ndarray):
         self.size, self.width, self.low, self.high = size, width, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little", count=None))[:size]
-        # number i with high part h stands at bit h + i
-        self._high = (ones - np.arange(len(ones))).astype(np.int64)
-        buckets = int(self._high[-1]) + 2 if size else 1
-        self._start = np.searchsorted(self._high, np.arange(buckets + 1))
+        ones = np.bitwise_count(high).astype(np.uint32)
+        self.before = np.cumsum(ones, dtype=np.uint32) - ones
+
+    def _place(self, i: np.ndarray) -> np.ndarray:
+        """Bit that stands for number ``i``: its word, then halves of the word."""
+        at = np.searchsorted(self.before, i.astype(np.uint32), "right") - 1
+        rest, word = i - self.before[at], self.high[at]
+        bit = at * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            side = word & _U((1 << half) - 1)
+            ones = np.bitwise_count(side)
+            up = rest >= ones
+            rest = rest - np.where(up, ones, 0)
+            word = np.where(up, word >> _U(half), side)
+            bit = bit + half * up
+        return bit
 
     @staticmethod
     def parts(values: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -45,28 +58,30 @@ class EliasFano:
         width = max(0, int(universe // max(n, 1)).bit_length() - 1)
         low = _pack(values & _U((1 << width) - 1), width)
         high = (values >> _U(width)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(high[-1]) if n else 0) // 8 + 1, np.uint8)
-        word = high >> 3
+        bits = np.zeros((int(high[-1]) if n else 0) // 64 + 1, _U)
+        word = high >> 6
         first = np.r_[0, np.flatnonzero(np.diff(word)) + 1] if n else np.zeros(0, np.int64)
         if n:
-            bits[word[first]] = np.bitwise_or.reduceat((1 << (high & 7)).astype(np.uint8), first)
+            bits[word[first]] = np.bitwise_or.reduceat(_U(1) << (high & 63).astype(_U), first)
         return width, low, bits
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Numbers at positions ``i``."""
+        i = i.astype(np.int64)
+        high = (self._place(i) - i).astype(_U)
         if not self.width:
-            return self._high[i].astype(_U)
-        at = i.astype(np.int64) * self.width
+            return high
+        at = i * self.width
         word, shift = at >> 6, (at & 63).astype(_U)
         low = self.low[word] >> shift
         over = (at & 63) + self.width > 64
         low = np.where(over, low | (self.low[word + 1] << ((_U(64) - shift) & _U(63))), low)
-        return (self._high[i].astype(_U) << _U(self.width)) | (low & _U((1 << self.width) - 1))
+        return (high << _U(self.width)) | (low & _U((1 << self.width) - 1))
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first number that is at least ``x`` (``size`` if none)."""
-        h = np.minimum((x >> _U(self.width)).astype(np.int64), len(self._start) - 2)
-        low, high = self._start[h].copy(), self._start[h + 1].copy()
+    def successor(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Position of the first number from ``low`` on that is at least ``x``
+        (``high`` if none before it is)."""
+        low, high = low.astype(np.int64), high.astype(np.int64)
         while True:
             go = np.flatnonzero(low < high)
             if not len(go):
@@ -107,8 +122,8 @@ class Trie:
             n_low, n_high = np.frombuffer(self.map, np.int64, 2, at)
             low = np.frombuffer(self.map, _U, int(n_low), at + 16)
             at += 16 + 8 * int(n_low)
-            high = np.frombuffer(self.map, np.uint8, int(n_high), at)
-            at += (int(n_high) + 7) // 8 * 8
+            high = np.frombuffer(self.map, _U, int(n_high), at)
+            at += 8 * int(n_high)
             self.levels.append(EliasFano(int(size), int(width), low, high))
         self.contexts, self.pointers, self.successors = self.levels
         self.codes = np.frombuffer(self.map, np.uint16, self.successors.size, at)
@@ -131,8 +146,7 @@ class Trie:
         for values, universe in levels:
             width, low, high = EliasFano.parts(values, universe)
             head += [len(values), width]
-            body += [np.array([len(low), len(high)], np.int64).tobytes(), low.tobytes(),
-                     high.tobytes().ljust((len(high) + 7) // 8 * 8, b"\0")]
+            body += [np.array([len(low), len(high)], np.int64).tobytes(), low.tobytes(), high.tobytes()]
         codes, weights = quantise(log10_p).tobytes(), quantise(backoff(contexts)).tobytes()
         return b"".join([np.array([*head, 0], np.int64).tobytes(), *body,
                          codes.ljust((len(codes) + 7) // 8 * 8, b"\0"), weights])
@@ -146,16 +160,24 @@ class Trie:
         weight, p = np.zeros(len(context)), np.zeros(len(context))
         if not n:
             return known, weight, hit, p
-        i = self.contexts.successor(context.astype(_U))
-        i_safe = np.minimum(i, n - 1)
-        known = (i < n) & (self.contexts.get(i_safe) == context.astype(_U))
-        weight[known] = restore(self.backoff[i_safe[known]])
+        # contexts repeat in runs: each is looked up once
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        asked = context[first].astype(_U)
+        i = self.contexts.successor(asked, np.zeros(len(first)), np.full(len(first), n))
+        i = np.minimum(i, n - 1)
+        there = self.contexts.get(i) == asked
+        # the successors of a context stand between two pointers
+        begin, end = self.pointers.get(i), self.pointers.get(i + 1)
+        of = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
+        known = there[of]
+        weight = np.where(known, restore(self.backoff[i])[of], 0.0)
         at = np.flatnonzero(known)
-        key = i_safe[at].astype(_U) * _U(self.words) + word[at].astype(_U)
-        j = self.successors.successor(key)
-        inside = j < self.pointers.get(i_safe[at] + 1).astype(np.int64)
-        j_safe = np.minimum(j, self.successors.size - 1)
-        inside &= self.successors.get(j_safe) == key
+        of = of[at]
+        key = i[of].astype(_U) * _U(self.words) + word[at].astype(_U)
+        j = self.successors.successor(key, begin[of], end[of])
+        inside = j < end[of].astype(np.int64)
+        j = np.minimum(j, self.successors.size - 1)
+        inside &= self.successors.get(j) == key
         hit[at[inside]] = True
-        p[at[inside]] = restore(self.codes[j_safe[inside]])
+        p[at[inside]] = restore(self.codes[j[inside]])
         return known, weight, hit, p

@@ -10,15 +10,17 @@ Nothing that grows with the corpus is broadcast or collected.  Rows are packed
 
 1. every pack sends its distinct words with training counts to word shards;
    a shard sums them and answers with the word's number and count;
-2. every pack sends its distinct (context, word, document) triples to the
-   shard of the context; a shard builds its part of the trie - contexts,
-   pointers, successors, quantised probabilities - looks every pair up in it
-   and returns sums per document.
+2. every pack sends its distinct (context, word) pairs with their training
+   counts to the shard of the context; a shard sums them, builds its part of
+   the trie - contexts, pointers, successors, quantised probabilities - and
+   answers every pack with the log probability of each of its pairs, 16 bits
+   a pair.  The pack adds them up per document.
 
+A pair crosses the shuffle once per pack, however many documents hold it.
 Contexts that hold more than a quarter of a shard (at most 4 a shard, with
 their counts the only thing broadcast) are dealt by (context, word) instead.
-A pair reaches its shard once per document, however often it repeats there.
-The number of shards follows the token count.
+The number of shards follows the token count.  A pack is cut between texts, so
+memory is that of about ``PACK`` tokens or of one longer text.
 
 Edge cases: null and blank texts consist of the end token; a null ``held``
 means training; repeated rows are scored and learnt one by one; without
@@ -33,6 +35,7 @@ from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ from .elias_fano import Trie, quantise, restore
 
 MU = 200.0
 PACK = 1 << 21
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Numbers of the two marks; words follow.
 END, START, WORDS = 0, 1, 2
@@ -231,77 +234,83 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
         inner = np.ones(len(word), bool)
         inner[ends] = False
         word[inner], counts[inner] = number[tokens], count[tokens]
+        known = counts > 0
         context = np.empty(len(word), np.int64)
         context[1:] = word[:-1]
         context[np.r_[0, ends[:-1] + 1]] = START
         base = np.log10((counts + 1) / whole)
-        info = {"ids": r["ids"], "held": r["held"], "n_tokens": (sizes + 1).tolist(),
-                "n_known": np.bincount(doc, weights=counts > 0, minlength=n_docs).astype(np.int64).tolist(),
-                "base": np.bincount(doc, weights=base, minlength=n_docs).tolist()}
-        yield_rows = [{"shard": int(_mix(np.array([hash_of(r["pack"].encode()) >> 1]))[0] % shards), "n": 0,
-                       "info": info}]
+        pair = context.astype(np.uint64) * np.uint64(universe) + word.astype(np.uint64)
+        del context, counts
+        distinct, index = np.unique(pair, return_inverse=True)
+        del pair
+        seen = np.bincount(index, weights=np.repeat(~np.array(r["held"], bool), sizes + 1), minlength=len(distinct))
+        code = np.zeros(len(distinct), np.uint16)
+        code[index] = quantise(base)
+        context = (distinct // np.uint64(universe)).astype(np.int64)
+        word = (distinct % np.uint64(universe)).astype(np.int64)
         to = _mix(context)
         if heavy:
             split = np.isin(context, np.array(list(heavy), np.int64))
             to = np.where(split, _mix(to ^ _mix(word)), to)
         to = (to % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((doc, word, context, to))
-        cols = [x[order] for x in (to, context, word, doc)]
-        code = quantise(base)[order]
-        fresh = np.r_[True, np.any([np.diff(c) != 0 for c in cols], axis=0)]
-        start = np.flatnonzero(fresh)
-        times = np.diff(np.r_[start, len(fresh)])
-        to, context, word, doc = (c[start] for c in cols)
-        code = code[start]
-        edges = np.searchsorted(to, np.arange(shards + 1))
+        order = np.argsort(to, kind="stable")       # pairs stay in order within a shard
+        sent = np.empty(len(order), np.uint32)
+        sent[order] = np.arange(len(order), dtype=np.uint32)
+        edges = np.searchsorted(to[order], np.arange(shards + 1))
+        info = {"ids": r["ids"], "held": r["held"], "n_tokens": (sizes + 1).tolist(),
+                "n_known": np.bincount(doc, weights=known, minlength=n_docs).astype(np.int64).tolist(),
+                "base": np.bincount(doc, weights=base, minlength=n_docs).tolist(),
+                "edges": edges.tolist(), "pairs": _z(sent[index])}
+        home = int(_mix(np.array([hash_of(r["pack"].encode()) >> 1]))[0] % shards)
+        out = [{"shard": home, "n": 0, "info": info}]
         for s in range(shards):
-            a, b = edges[s], edges[s + 1]
-            if a < b:
-                yield_rows.append({"shard": s, "n": int(b - a), "n_docs": n_docs,
-                                   "held_docs": _z(np.array(r["held"], np.uint8)),
-                                   "context": _z(np.diff(context[a:b], prepend=0).astype(np.uint32)),
-                                   "word": _z(word[a:b].astype(np.uint32)), "doc": _z(doc[a:b].astype(np.uint32)),
-                                   "times": _z(times[a:b].astype(np.uint32)), "code": _z(code[a:b])})
-        for x in yield_rows:
+            mine = order[edges[s]:edges[s + 1]]
+            if len(mine):
+                out.append({"shard": s, "n": len(mine), "context": _z(np.diff(context[mine], prepend=0).astype(np.uint32)),
+                            "word": _z(word[mine].astype(np.uint32)), "seen": _z(seen[mine].astype(np.uint32)),
+                            "code": _z(code[mine])})
+        for x in out:
             x["pack"] = r["pack"]
-        return pa.Table.from_pylist(yield_rows, asks)
+        return pa.Table.from_pylist(out, asks)
 
-    id_type = packed.schema["ids"].dataType.elementType.simpleString()
-    info_type = f"struct<ids:array<{id_type}>,held:array<boolean>,n_tokens:array<long>,n_known:array<long>,base:array<double>>"
     from pyspark.sql.pandas.types import to_arrow_type
+    id_type = packed.schema["ids"].dataType.elementType.simpleString()
+    info_type = (f"struct<ids:array<{id_type}>,held:array<boolean>,n_tokens:array<long>,n_known:array<long>,base:array<double>,"
+                 "edges:array<long>,pairs:binary>")
     info_arrow = pa.struct([("ids", to_arrow_type(packed.schema["ids"].dataType)), ("held", pa.list_(pa.bool_())),
                             ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())),
-                            ("base", pa.list_(pa.float64()))])
-    parts = ("held_docs", "context", "word", "doc", "times", "code")
-    asks = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("n_docs", pa.int64()),
+                            ("base", pa.list_(pa.float64())), ("edges", pa.list_(pa.int64())), ("pairs", pa.binary())])
+    parts = ("context", "word", "seen", "code")
+    asks = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()),
                       *[(p, pa.binary()) for p in parts], ("info", info_arrow)])
     asked = packed.groupBy("pack").cogroup(answers.filter("pack is not null").groupBy("pack")).applyInArrow(
-        ask, f"pack string, shard int, n long, n_docs long, {', '.join(p + ' binary' for p in parts)}, info {info_type}")
+        ask, f"pack string, shard int, n long, {', '.join(p + ' binary' for p in parts)}, info {info_type}")
+    replies = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("codes", pa.binary()),
+                         ("info", info_arrow)])
 
     def answer(key, table):
         _, heavy = shared.value
-        rows = table.to_pylist()
-        infos = [r for r in rows if r["info"] is not None]
-        rows = [r for r in rows if r["info"] is None]
-        context, word, times, code, learn, docs = [], [], [], [], [], []
+        infos = table.filter(pa.compute.is_valid(table.column("info")))
+        rows = table.filter(pa.compute.is_null(table.column("info"))).select(["pack", "n", *parts]).to_pylist()
+        shard = key[0].as_py()
+        pairs, seen, code = [], [], []
         for r in rows:
-            context.append(np.cumsum(_unz(r["context"], r["n"], np.uint32).astype(np.int64)))
-            word.append(_unz(r["word"], r["n"], np.uint32).astype(np.int64))
-            times.append(_unz(r["times"], r["n"], np.uint32).astype(np.int64))
+            context = np.cumsum(_unz(r["context"], r["n"], np.uint32).astype(np.uint64))
+            pairs.append(context * np.uint64(universe) + _unz(r["word"], r["n"], np.uint32))
+            seen.append(_unz(r["seen"], r["n"], np.uint32))
             code.append(_unz(r["code"], r["n"], np.uint16))
-            docs.append(_unz(r["doc"], r["n"], np.uint32))
-            learn.append(_unz(r["held_docs"], r["n_docs"], np.uint8)[docs[-1]] == 0)
-        out = {"pack": [r["pack"] for r in infos], "sums": [None] * len(infos), "info": [r["info"] for r in infos]}
-        blob = b""
+        blob, answered = b"", []
         if rows:
-            context, word, times, code, learn = map(np.concatenate, (context, word, times, code, learn))
-            pair = context.astype(np.uint64) * np.uint64(universe) + word.astype(np.uint64)
-            distinct, where = np.unique(pair, return_inverse=True)
+            pairs, seen, code = map(np.concatenate, (pairs, seen, code))
+            distinct, where = np.unique(pairs, return_inverse=True)
+            del pairs
             some = np.zeros(len(distinct), np.uint16)
             some[where] = code
-            seen = np.bincount(where, weights=times * learn, minlength=len(distinct))
-            kept = np.flatnonzero(seen)
-            v, w, c = (distinct[kept] // np.uint64(universe)).astype(np.int64), distinct[kept] % np.uint64(universe), seen[kept]
+            count = np.bincount(where, weights=seen, minlength=len(distinct))
+            del seen, code
+            context, word = (distinct // np.uint64(universe)).astype(np.int64), distinct % np.uint64(universe)
+            kept = np.flatnonzero(count)
+            v, w, c = context[kept], word[kept], count[kept]
             starts = np.flatnonzero(np.r_[True, np.diff(v) != 0]) if len(v) else np.zeros(0, np.int64)
             total = np.add.reduceat(c, starts) if len(v) else np.zeros(0)
             for i in np.flatnonzero(np.isin(v[starts], np.array(list(heavy), np.int64))):
@@ -310,35 +319,36 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
             p = np.log10((c + mu * 10 ** restore(some[kept])) / (each + mu))
             blob = Trie.build(v, w, p, lambda contexts: np.log10(mu / (total + mu)), universe)
             if not keep_tries:
-                trie = Trie(blob)
-                known, weight, hit, found = trie.look_up((distinct // np.uint64(universe)).astype(np.int64),
-                                                         distinct % np.uint64(universe))
-                # an unseen pair falls back on the word, a heavy context may lack all of its pairs here
-                q = distinct // np.uint64(universe)
-                lone = np.flatnonzero(~known & np.isin(q, np.array(list(heavy), np.uint64)))
-                weight[lone] = [log10(mu / (heavy[int(x)] + mu)) for x in q[lone]]
-                log_p = np.where(hit, found, weight + restore(some))
-                value = log_p[where] * times
+                known, weight, hit, found = Trie(blob).look_up(context, word)
+                # an unseen pair falls back on the word; a heavy context may lack all of its pairs here
+                lone = np.flatnonzero(~known & np.isin(context, np.array(list(heavy), np.int64)))
+                weight[lone] = [log10(mu / (heavy[int(x)] + mu)) for x in context[lone]]
+                codes = quantise(np.where(hit, found, weight + restore(some)))[where]
                 at = 0
-                for r, d in zip(rows, docs):
-                    sums = np.bincount(d, weights=value[at:at + r["n"]], minlength=r["n_docs"])
+                for r in rows:
+                    answered.append({"pack": r["pack"], "shard": shard, "n": r["n"], "codes": _z(codes[at:at + r["n"]])})
                     at += r["n"]
-                    out["pack"].append(r["pack"])
-                    out["sums"].append(sums.astype("<f8").tobytes())
-                    out["info"].append(None)
         if keep_tries:
-            return pa.Table.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "trie": [blob]})
-        return pa.Table.from_pydict(out, pa.schema([("pack", pa.string()), ("sums", pa.binary()), ("info", info_arrow)]))
+            return pa.Table.from_pydict({"shard": pa.array([shard], pa.int32()), "trie": [blob]})
+        passed = pa.Table.from_arrays([infos.column("pack"), infos.column("shard"), infos.column("n"),
+                                       pa.nulls(len(infos), pa.binary()), infos.column("info").cast(info_arrow)], schema=replies)
+        return pa.concat_tables([passed, pa.Table.from_pylist(answered, replies)])
 
     if keep_tries:
         return asked.groupBy("shard").applyInArrow(answer, "shard int, trie binary")
-    sums = asked.groupBy("shard").applyInArrow(answer, f"pack string, sums binary, info {info_type}")
+    sums = asked.groupBy("shard").applyInArrow(answer, f"pack string, shard int, n long, codes binary, info {info_type}")
 
     def finish(key, table):
         rows = table.to_pylist()
         info = next(r["info"] for r in rows if r["info"] is not None)
-        parts = [r["sums"] for r in rows if r["info"] is None]
-        total = np.sum([np.frombuffer(p, "<f8") for p in sorted(parts)], axis=0)
+        log_p = np.zeros(info["edges"][-1])
+        for r in rows:
+            if r["info"] is None:
+                at = info["edges"][r["shard"]]
+                log_p[at:at + r["n"]] = restore(_unz(r["codes"], r["n"], np.uint16))
+        sizes = np.array(info["n_tokens"], np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.bincount(doc, weights=log_p[_unz(info["pairs"], len(doc), np.uint32)], minlength=len(sizes))
         n = len(info["ids"])
         return pa.Table.from_arrays(
             [pa.array(info["ids"], info_arrow.field("ids").type.value_type), pa.array(info["held"], pa.bool_()),

@@ -159,7 +159,7 @@ def test_elias_fano_and_trie():
         ef = elias_fano.EliasFano(n, *elias_fano.EliasFano.parts(v, u))
         assert (ef.get(np.arange(n)) == v).all()
         q = np.r_[v, rng.integers(0, u, 50).astype(np.uint64)]
-        assert (ef.successor(q) == np.searchsorted(v, q)).all()
+        assert (ef.successor(q, np.zeros(len(q)), np.full(len(q), n)) == np.searchsorted(v, q)).all()
     pairs = np.unique(rng.integers(0, 60, (500, 2)), axis=0)
     p = -rng.random(len(pairs)) * 5
     trie = elias_fano.Trie(elias_fano.Trie.build(pairs[:, 0], pairs[:, 1], p, lambda c: -0.01 * c, 61))

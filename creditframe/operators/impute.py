@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .clean import with_scalars
 from .ordered import quantiles, running_totals
 
@@ -111,7 +112,8 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str], null_token: str | None =
     lead = F.rpad(F.hex(F.substring(F.col("value").cast("binary"), 1, 6)), 12, "0")
     dealt = distinct.withColumns({"__lead": F.conv(lead, 16, 10).cast("long"), "__one": F.lit(1)})
     placed = running_totals(dealt, "__lead", ["__one"], by=["feature"], tiebreak=["value"])
-    return placed.select("feature", "value", F.col("__one_before").cast("double").alias("code"))
+    # every column reads the dictionary, so it is written once
+    return materialize(placed.select("feature", "value", F.col("__one_before").cast("double").alias("code")), "label-codes")
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str],

@@ -2,8 +2,7 @@
 
 Splits are decided by a seeded hash of the key, never by a global shuffle or
 sort: the same row lands in the same split on any cluster, any partitioning.
-Exact per-stratum sizes come from ranks of that hash, computed with the
-bucketed running total (no single-partition window).
+Exact per-stratum sizes come from thresholds on that hash, found by counting.
 
 Models are Spark ML estimators; metrics are aggregates over per-score counts,
 so an exact AUC on billions of rows is a group-by plus a running sum.
@@ -11,56 +10,142 @@ so an exact AUC on billions of rows is a group-by plus a running sum.
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 from .clean import with_scalars
-from .ordered import running_totals
+from .ordered import join_null_safe, running_totals
 from .score import positive_probability
 
 
 # ------------------------------------------------------------------ splits
-def _unit_hash(key: str, seed: int):
-    """Seeded hash of the key mapped to [0, 1)."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53))
+_BITS, _STEP = 60, 12
+#: A boundary bucket of at most so many rows is ordered; a larger one is cut again.
+_BOUNDARY_ROWS = 20_000
+
+
+def _key_hash(key: str, seed: int) -> Column:
+    """60-bit seeded hash of the key: the first 15 hex digits of
+    ``md5(key:seed)``, which any engine can recompute."""
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, fractions: Sequence[float] = (0.8, 0.2), *,
                      seed: int = 42, exact: bool = True, out: str = "split") -> DataFrame:
     """K2: split index per row (0 = first fraction), stratified by label.
 
-    ``exact``: within each label the rows are ranked by the seeded hash and
-    cut at ``round(fraction * count)`` boundaries, so split sizes per stratum
-    are exact; otherwise the hash itself is thresholded (no ranking pass).
+    ``exact``: within each label the rows in the order of a seeded hash are
+    cut at ``round(fraction * count)``, so split sizes per stratum are exact;
+    otherwise the hash itself is
+    thresholded (no pass over the data).
     """
-    cuts = []
-    acc = 0.0
-    for f in fractions[:-1]:
-        acc += f
-        cuts.append(acc)
+    shares = [sum(fractions[:i + 1]) for i in range(len(fractions) - 1)]
     if not exact:
-        u = _unit_hash(key, seed)
-        expr = F.lit(len(cuts))
-        for i in reversed(range(len(cuts))):
-            expr = F.when(u < F.lit(cuts[i]), F.lit(i)).otherwise(expr)
-        return df.withColumn(out, expr)
-    ranked = _hash_rank(df, key, label, seed)
-    pos = F.col("__rank")
-    n = F.col("__n")
-    expr = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        expr = F.when(pos < F.round(n * F.lit(cuts[i])), F.lit(i)).otherwise(expr)
-    return ranked.withColumn(out, expr.cast("int")).drop("__rank", "__n", "__h")
+        u = _key_hash(key, seed) / float(1 << _BITS)
+        return df.withColumn(out, sum(((u >= F.lit(s)).cast("int") for s in shares), F.lit(0)))
+    return _cut_by_hash(df, key, label, lambda n: [math.floor(n * s + 0.5) for s in shares], seed, out)
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, *, seed: int = 42,
+                     out: str = "fold") -> DataFrame:
+    """K3: fold 0..k-1 per row; within each label the rows in the order of a
+    seeded hash are cut into k runs of equal length (+-1 row)."""
+    return _cut_by_hash(df, key, label, lambda n: [j * (n // k) + min(j, n % k) for j in range(1, k)], seed, out)
+
+
+def _cut_by_hash(df: DataFrame, key: str, label: str, cuts_of: Callable[[int], list[int]], seed: int, out: str) -> DataFrame:
+    """``out``: how many of the cuts of its label lie at or below the row.
+
+    No rank of all rows is taken.  A histogram over the leading bits of the
+    hash (4096 buckets a label) tells in which bucket each cut falls; only
+    those buckets are written and looked into, bit by bit until one holds few
+    rows, whose order gives the (hash, key) of the first row behind the cut.
+    Every row is then decided by a compare with the thresholds of its label.
+    The driver sees labels x 4096 counts and labels x cuts thresholds.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{label}`").alias("y"), _key_hash(key, seed).alias("h"), F.col(f"`{key}`").alias("k"))
+    shift = _BITS - _STEP
+    counts: dict = {}
+    for r in rows.groupBy("y", F.shiftright("h", shift).alias("b")).count().collect():
+        counts.setdefault(r.y, {})[r.b] = r["count"]
+    wanted = []         # (label, cut, leading bits, rows of that bucket before the cut)
+    for y, held in counts.items():
+        n = sum(held.values())
+        for j, c in enumerate(cuts_of(n)):
+            if c < n:
+                wanted.append((y, j, *_bucket_of(held, c)))
+    fields = {"y": rows.schema["y"].dataType, "cut": T.IntegerType(), "b": T.LongType(), "rest": T.LongType()}
+    shape = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+    def inside(rows, shift):
+        """(y, cut, b, rest, h, k) of the rows in the wanted buckets."""
+        near = spark.createDataFrame(wanted, shape)
+        return join_null_safe(rows.withColumn("b", F.shiftright("h", shift)), near, ["y", "b"])
+
+    near = materialize(_in_buckets(rows, shift, {(y, b) for y, _, b, _ in wanted}), "split-bounds") if wanted else rows
+    while wanted and shift:
+        sizes = inside(near, shift).groupBy("cut", "y").count().agg(F.max("count")).first()[0] or 0
+        if sizes <= _BOUNDARY_ROWS:
+            break
+        held = {}
+        for r in inside(near, shift).groupBy("y", "cut", "rest", F.shiftright("h", shift - _STEP).alias("b2")).count().collect():
+            held.setdefault((r.y, r.cut, r.rest), {})[r.b2] = r["count"]
+        wanted = [(y, cut, *_bucket_of(h, rest)) for (y, cut, rest), h in held.items()]
+        shift -= _STEP
+    at = []
+    if wanted:
+        order = Window.partitionBy("y", "cut").orderBy("h", "k")
+        found = inside(near, shift).withColumn("place", F.row_number().over(order) - 1).withColumn(
+            "run", F.min("place").over(Window.partitionBy("y", "cut", "h", "k"))).filter("place = rest")
+        at = [(r.y, (r.h, r.k, r.rest - r.run)) for r in found.select("y", "h", "k", "rest", "run").collect()]
+    by_label = [(y, [t for z, t in at if z == y]) for y in counts]
+    bounds = spark.createDataFrame(by_label, T.StructType([
+        T.StructField("__y", fields["y"]), T.StructField("__cuts", T.ArrayType(T.StructType([
+            T.StructField("h", T.LongType()), T.StructField("k", rows.schema["k"].dataType), T.StructField("into", T.LongType())])))]))
+    placed = df.withColumn("__h", _key_hash(key, seed))
+    joined = placed.join(bounds, placed[f"`{label}`"].eqNullSafe(bounds["__y"]))
+    k, h = F.col(f"`{key}`"), F.col("__h")
+    behind = F.filter("__cuts", lambda c: (c["h"] < h) | ((c["h"] == h) & (
+        F.coalesce(c["k"] < k, c["k"].isNull() & k.isNotNull()) | (c["k"].eqNullSafe(k) & (c["into"] == 0)))))
+    done, extra = joined.withColumn(out, F.size(behind)), ["__h", "__y", "__cuts"]
+    if not any(into for _, (_, _, into) in at):
+        return done.drop(*extra)
+    # a cut falls among rows that share a key: those rows alone are numbered
+    among = F.filter("__cuts", lambda c: (c["h"] == h) & c["k"].eqNullSafe(k) & (c["into"] > 0))
+    ties = done.filter(F.size(among) > 0).withColumn("__t", F.row_number().over(
+        Window.partitionBy(f"`{label}`", "__h", f"`{key}`").orderBy("__h")) - 1)
+    ties = ties.withColumn(out, F.col(out) + F.size(F.filter(among, lambda c: c["into"] <= F.col("__t")))).drop("__t")
+    return done.filter(F.size(among) == 0).unionByName(ties).drop(*extra)
+
+
+def _in_buckets(rows: DataFrame, shift: int, buckets: set) -> DataFrame:
+    """Rows whose (y, leading bits of h) is one of ``buckets`` (labels x cuts)."""
+    hit = F.lit(False)
+    for y, b in buckets:
+        hit = hit | (F.col("y").eqNullSafe(F.lit(y)) & (F.shiftright("h", shift) == b))
+    return rows.filter(hit)
+
+
+def _bucket_of(held: Mapping[int, int], c: int) -> tuple[int, int]:
+    """Bucket in which place ``c`` falls, and its place there."""
+    for b in sorted(held):
+        if c < held[b]:
+            return b, c
+        c -= held[b]
+    raise ValueError(c)
 
 
 def _hash_rank(df: DataFrame, key: str, label: str | None, seed: int) -> DataFrame:
@@ -71,14 +156,6 @@ def _hash_rank(df: DataFrame, key: str, label: str | None, seed: int) -> DataFra
     return rt.withColumnRenamed("__one_before", "__rank").withColumnRenamed("__one_total", "__n").drop("__one")
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, *, seed: int = 42,
-                     out: str = "fold") -> DataFrame:
-    """K3: fold 0..k-1 per row; within each label consecutive hash ranks go
-    round-robin to folds, so every fold has the same label mix (+-1 row)."""
-    ranked = _hash_rank(df, key, label, seed)
-    return ranked.withColumn(out, F.pmod(F.col("__rank"), F.lit(k)).cast("int")).drop("__rank", "__n", "__h")
-
-
 def class_weights(df: DataFrame, label: str, *, mode: str = "balanced", out: str = "weight") -> DataFrame:
     """K5: ``balanced`` gives n / (2 n_class) per class; ``pos_ratio`` gives
     positives the weight neg / pos and negatives 1 (``scale_pos_weight``)."""

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null meets null; key columns come from ``left``."""
@@ -49,13 +51,15 @@ def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
     ``df`` should hold one row per ``(by, order_col)``: pre-aggregate first,
     so a value repeated by a third of all rows is one row here; rows that
     still share a place are ordered by ``tiebreak``.  Null is a group of its
-    own.  There are as many buckets as shuffle partitions (64 at least), so
+    own.  The input is read three times (bounds, bucket totals, rows), so it is
+    written once first and what feeds it runs once.  There are as many buckets as shuffle partitions (64 at least), so
     parallelism follows the cluster's setting.  Bounds and offsets are small
     tables (groups x buckets); whether they are broadcast is left to their
     size.  Without ``by`` the bucket bounds arrive as a scalar subquery.
     """
     from .clean import with_scalars
     keys = list(by)
+    df = materialize(df, "ordered")
     if buckets is None:
         buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     o = F.col(order_col)

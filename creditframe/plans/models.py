@@ -112,13 +112,27 @@ def k5_weights(spark, sf_dir):
     return round_all(ml.class_weights(c, "target"), 6)
 
 
-@register("k2_split", None, "K2")
+#: The seeded hash of the splits, as DuckDB computes it.
+_HASHED_SQL = """(SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS target,
+    ('0x' || substr(md5(c_custkey::VARCHAR || ':42'), 1, 15))::BIGINT AS h FROM customer)"""
+_RANKED_SQL = f"""(SELECT c_custkey, target, row_number() OVER (PARTITION BY target ORDER BY h, c_custkey) - 1 AS place,
+    count(*) OVER (PARTITION BY target) AS n FROM {_HASHED_SQL})"""
+
+
+@register("k2_split", f"""
+SELECT c_custkey, target, (CASE WHEN place < floor(n * 0.6::DOUBLE + 0.5) THEN 0 WHEN place < floor(n * (0.6::DOUBLE + 0.2::DOUBLE) + 0.5)
+       THEN 1 ELSE 2 END)::INTEGER AS split
+FROM {_RANKED_SQL}
+""", "K2 (every row)")
 def k2_split(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("target"))
     return ml.stratified_split(c, "c_custkey", "target", (0.6, 0.2, 0.2), seed=42)
 
 
-@register("k3_folds", None, "K3")
+@register("k3_folds", f"""
+SELECT c_custkey, target, (SELECT count(*) FROM range(1, 5) r(j) WHERE place >= j * (n // 5) + least(j, n % 5))::INTEGER AS fold
+FROM {_RANKED_SQL}
+""", "K3 (every row)")
 def k3_folds(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("target"))
     return ml.stratified_folds(c, "c_custkey", "target", 5, seed=42)

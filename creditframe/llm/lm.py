@@ -62,6 +62,16 @@ def _unz(b: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
+def _joined(words: list[bytes]) -> tuple[bytes, int]:
+    """Compressed text of ``words`` (which hold no blanks) and its size."""
+    text = b" ".join(words)
+    return pa.compress(text, "zstd", asbytes=True), len(text)
+
+
+def _words(blob: bytes, size: int) -> list[bytes]:
+    return pa.decompress(blob, size, "zstd", asbytes=True).split(b" ") if size else []
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Well-spread 64-bit hash of integers."""
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,12 +90,16 @@ def packs(rows: DataFrame) -> DataFrame:
             words += w
             sizes.append(len(w))
         found = pa.array(words, pa.binary()).dictionary_encode()
-        tokens = found.indices.to_numpy().astype(np.uint32)
+        order = pa.compute.sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        tokens = rank[found.indices.to_numpy()]
+        known, size = _joined(found.dictionary.take(pa.array(order)).to_pylist())
         return pa.RecordBatch.from_pydict({
             "pack": [uuid.uuid4().hex], "ids": pa.array([ids], pa.list_(batch.schema.field(0).type)),
             "held": pa.array([held], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int32())),
             "n": pa.array([len(tokens)], pa.int64()), "tokens": [_z(tokens)],
-            "words": pa.array([found.dictionary.to_pylist()], pa.list_(pa.binary()))})
+            "n_words": pa.array([len(order)], pa.int64()), "words": [known], "size": pa.array([size], pa.int64())})
 
     def run(batches):
         for b in batches:
@@ -98,7 +112,7 @@ def packs(rows: DataFrame) -> DataFrame:
                     yield pack(b, texts[i:j], ids[i:j], [bool(h) for h in held[i:j]])
 
     return rows.mapInArrow(run, f"pack string, ids array<{id_type}>, held array<boolean>, sizes array<int>, n long, "
-                                "tokens binary, words array<binary>")
+                                "tokens binary, n_words long, words binary, size long")
 
 
 def _count_words(packed: DataFrame, shards: int) -> DataFrame:
@@ -109,24 +123,26 @@ def _count_words(packed: DataFrame, shards: int) -> DataFrame:
             for r in b.to_pylist():
                 tokens = _unz(r["tokens"], r["n"], np.uint32)
                 learn = np.repeat(~np.array(r["held"], bool), r["sizes"])
-                counts = np.bincount(tokens[learn], minlength=len(r["words"]))
-                words = pa.array(r["words"], pa.binary())
-                to = np.array([hash_of(w) for w in r["words"]], np.uint64) % np.uint64(shards)
+                counts = np.bincount(tokens[learn], minlength=r["n_words"])
+                words = _words(r["words"], r["size"])
+                to = np.array([hash_of(w) for w in words], np.uint64) % np.uint64(shards)
+                words = pa.array(words, pa.binary())
                 order = np.argsort(to, kind="stable")
                 edges = np.searchsorted(to[order], np.arange(shards + 1))
                 for s in range(shards):
                     mine = order[edges[s]:edges[s + 1]]
                     if len(mine):
+                        blob, size = _joined(words.take(pa.array(mine)).to_pylist())
                         yield pa.RecordBatch.from_pydict({
-                            "shard": pa.array([s], pa.int32()), "pack": [r["pack"]],
-                            "at": [_z(mine.astype(np.uint32))], "counts": [_z(counts[mine].astype(np.uint32))],
-                            "words": pa.array([words.take(pa.array(mine)).to_pylist()], pa.list_(pa.binary()))})
+                            "shard": pa.array([s], pa.int32()), "pack": [r["pack"]], "k": pa.array([len(mine)], pa.int64()),
+                            "at": [_z(np.diff(mine, prepend=0).astype(np.uint32))], "counts": [_z(counts[mine].astype(np.uint32))],
+                            "words": [blob], "size": pa.array([size], pa.int64())})
 
     def answer(key, table):
         rows = table.to_pylist()
-        found = pa.array([w for r in rows for w in r["words"]], pa.binary()).dictionary_encode()
+        found = pa.array([w for r in rows for w in _words(r["words"], r["size"])], pa.binary()).dictionary_encode()
         index = found.indices.to_numpy()
-        sizes = [len(r["words"]) for r in rows]
+        sizes = [r["k"] for r in rows]
         asked = np.concatenate([_unz(r["counts"], n, np.uint32) for r, n in zip(rows, sizes)]).astype(np.int64)
         total = np.bincount(index, weights=asked).astype(np.int64)
         # the known words are numbered by falling count
@@ -134,8 +150,9 @@ def _count_words(packed: DataFrame, shards: int) -> DataFrame:
         local = np.empty(len(total), np.int64)
         local[order] = np.arange(len(total))
         known = int((total > 0).sum())
-        out = {"pack": [None], "shard": [rows[0]["shard"]], "k": [known], "at": [b""], "local": [b""],
-               "counts": [_z(total[order][:known])]}
+        top = found.dictionary.take(pa.array(order[:min(known, 4 * shards)])).to_pylist()
+        out = {"pack": [None], "shard": [rows[0]["shard"]], "k": [known], "at": [b""],
+               "local": [np.array([hash_of(w) for w in top], "<u8").tobytes()], "counts": [_z(total[order][:known])]}
         ends = np.cumsum(sizes)
         for r, a, n in zip(rows, ends - sizes, sizes):
             mine = index[a:a + n]
@@ -144,13 +161,13 @@ def _count_words(packed: DataFrame, shards: int) -> DataFrame:
             out["k"].append(n)
             out["at"].append(r["at"])
             out["local"].append(_z(local[mine].astype(np.uint32)))
-            out["counts"].append(_z(total[mine]))
+            out["counts"].append(_z(total[mine].astype(np.int64)))
         return pa.Table.from_pydict(out, schema)
 
     schema = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("k", pa.int64()), ("at", pa.binary()),
                         ("local", pa.binary()), ("counts", pa.binary())])
-    asked = packed.select("pack", "held", "sizes", "n", "tokens", "words").mapInArrow(
-        ask, "shard int, pack string, at binary, counts binary, words array<binary>")
+    asked = packed.select("pack", "held", "sizes", "n", "tokens", "n_words", "words", "size").mapInArrow(
+        ask, "shard int, pack string, k long, at binary, counts binary, words binary, size long")
     return asked.groupBy("shard").applyInArrow(
         answer, "pack string, shard int, k long, at binary, local binary, counts binary")
 
@@ -160,8 +177,8 @@ def hash_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def _totals(answers: DataFrame, shards: int) -> tuple[int, list[int], dict[int, int]]:
-    """(tokens, first number of each shard, {number: count} of heavy words)."""
+def _totals(answers: DataFrame, shards: int) -> tuple[int, list[int], dict[int, tuple[int, int]]]:
+    """(tokens, first number of each shard, {number: (count, hash)} of heavy words)."""
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -169,10 +186,11 @@ def _totals(answers: DataFrame, shards: int) -> tuple[int, list[int], dict[int,
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([r["shard"]], pa.int32()), "k": pa.array([r["k"]], pa.int64()),
                     "n": pa.array([int(counts.sum())], pa.int64()),
-                    "top": pa.array([counts[:4 * shards].tolist()], pa.list_(pa.int64()))})
+                    "top": pa.array([counts[:4 * shards].tolist()], pa.list_(pa.int64())),
+                    "hash": pa.array([np.frombuffer(r["local"], "<i8").tolist()], pa.list_(pa.int64()))})
 
-    stats = written(answers.filter("pack is null").select("shard", "k", "counts").mapInArrow(
-        run, "shard int, k long, n long, top array<long>"), "lm-stats")
+    stats = written(answers.filter("pack is null").select("shard", "k", "counts", "local").mapInArrow(
+        run, "shard int, k long, n long, top array<long>, hash array<long>"), "lm-stats")
     sizes = {r.shard: (r.k, r.n) for r in stats.select("shard", "k", "n").collect()}
     first, at = [], WORDS
     for s in range(shards):
@@ -180,8 +198,43 @@ def _totals(answers: DataFrame, shards: int) -> tuple[int, list[int], dict[int,
         at += sizes.get(s, (0, 0))[0]
     total = sum(n for _, n in sizes.values())
     limit = max(1, total // (4 * shards))
-    heavy = stats.select("shard", F.posexplode("top").alias("i", "c")).filter(F.col("c") > limit).collect()
-    return total, [*first, at], {first[r.shard] + r.i: r.c for r in heavy}  # at most 4 a shard
+    heavy = stats.select("shard", F.posexplode(F.arrays_zip("top", "hash")).alias("i", "x")).filter(
+        F.col("x.top") > limit).collect()
+    return total, [*first, at], {first[r.shard] + r.i: (r.x.top, r.x.hash % (1 << 64)) for r in heavy}  # at most 4 a shard
+
+
+class _Pairs:
+    """Distinct (context, word) pairs of a pack in the order they are sent:
+    by shard, context and word, all known from the pack alone."""
+
+    def __init__(self, r: dict, shards: int, heavy: set[int]):
+        words = _words(r["words"], r["size"])
+        hashes = np.array([hash_of(w) for w in (b" end", b" start", *words)], np.uint64)
+        tokens = _unz(r["tokens"], r["n"], np.uint32)
+        self.sizes = np.array(r["sizes"], np.int64)
+        ends = np.cumsum(self.sizes + 1) - 1     # places of the end tokens
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        self.stream = np.full(len(self.doc), END, np.int64)
+        inner = np.ones(len(self.stream), bool)
+        inner[ends] = False
+        self.stream[inner] = tokens.astype(np.int64) + WORDS
+        before = np.empty(len(self.stream), np.int64)
+        before[1:] = self.stream[:-1]
+        before[np.r_[0, ends[:-1] + 1]] = START
+        distinct, index = np.unique(before * len(hashes) + self.stream, return_inverse=True)
+        context, word = np.divmod(distinct, len(hashes))
+        to = _mix(hashes[context])
+        if heavy:
+            split = np.isin(hashes, np.array(list(heavy), np.uint64))[context]
+            to = np.where(split, _mix(to ^ _mix(hashes[word])), to)
+        to = (to % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        self.edges = np.searchsorted(to[order], np.arange(shards + 1))
+        self.context, self.word = context[order], word[order]
+        sent = np.empty(len(order), np.int64)
+        sent[order] = np.arange(len(order))
+        #: which pair each token is the end of
+        self.of_token = sent[index]
 
 
 def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text", mu: float = MU,
@@ -210,76 +263,49 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
     vocabulary = first[-1] - WORDS + (learnt > 0)
     n_train = word_tokens + learnt
     whole = n_train + vocabulary + 1
-    shared = spark.sparkContext.broadcast((np.array(first, np.int64), heavy | {START: learnt}))
+    counts_of = {n: c for n, (c, _) in heavy.items()} | {START: learnt}
+    hashes = {h for _, h in heavy.values()} | {hash_of(b" start")}
+    shared = spark.sparkContext.broadcast((np.array(first, np.int64), counts_of, hashes))
     universe = first[-1] + 1  # the last number stands for all unknown words
 
     def ask(key, left, right):
-        first, heavy = shared.value
+        first, _, heavy = shared.value
         r = left.to_pylist()[0]
-        n_words = len(r["words"])
-        number = np.zeros(n_words, np.int64)
-        count = np.zeros(n_words, np.int64)
+        number = np.full(r["n_words"] + WORDS, universe - 1, np.int64)
+        count = np.zeros(r["n_words"] + WORDS, np.int64)
         for a in right.to_pylist():
-            at = _unz(a["at"], a["k"], np.uint32)
+            at = np.cumsum(_unz(a["at"], a["k"], np.uint32)) + WORDS
             count[at] = _unz(a["counts"], a["k"], np.int64)
             number[at] = first[a["shard"]] + _unz(a["local"], a["k"], np.uint32)
         number[count == 0] = universe - 1
-        tokens = _unz(r["tokens"], r["n"], np.uint32)
-        sizes = np.array(r["sizes"], np.int64)
-        n_docs = len(sizes)
-        ends = np.cumsum(sizes + 1) - 1     # places of the end tokens
-        doc = np.repeat(np.arange(n_docs), sizes + 1)
-        word = np.full(len(tokens) + n_docs, END, np.int64)
-        counts = np.full(len(word), learnt, np.int64)
-        inner = np.ones(len(word), bool)
-        inner[ends] = False
-        word[inner], counts[inner] = number[tokens], count[tokens]
-        known = counts > 0
-        context = np.empty(len(word), np.int64)
-        context[1:] = word[:-1]
-        context[np.r_[0, ends[:-1] + 1]] = START
-        base = np.log10((counts + 1) / whole)
-        pair = context.astype(np.uint64) * np.uint64(universe) + word.astype(np.uint64)
-        del context, counts
-        distinct, index = np.unique(pair, return_inverse=True)
-        del pair
-        seen = np.bincount(index, weights=np.repeat(~np.array(r["held"], bool), sizes + 1), minlength=len(distinct))
-        code = np.zeros(len(distinct), np.uint16)
-        code[index] = quantise(base)
-        context = (distinct // np.uint64(universe)).astype(np.int64)
-        word = (distinct % np.uint64(universe)).astype(np.int64)
-        to = _mix(context)
-        if heavy:
-            split = np.isin(context, np.array(list(heavy), np.int64))
-            to = np.where(split, _mix(to ^ _mix(word)), to)
-        to = (to % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(to, kind="stable")       # pairs stay in order within a shard
-        sent = np.empty(len(order), np.uint32)
-        sent[order] = np.arange(len(order), dtype=np.uint32)
-        edges = np.searchsorted(to[order], np.arange(shards + 1))
-        info = {"ids": r["ids"], "held": r["held"], "n_tokens": (sizes + 1).tolist(),
-                "n_known": np.bincount(doc, weights=known, minlength=n_docs).astype(np.int64).tolist(),
-                "base": np.bincount(doc, weights=base, minlength=n_docs).tolist(),
-                "edges": edges.tolist(), "pairs": _z(sent[index])}
+        number[END], number[START], count[END] = END, START, learnt
+        pairs = _Pairs(r, shards, heavy)
+        n_docs = len(pairs.sizes)
+        base = np.log10((count + 1) / whole)
+        by_doc = lambda x: np.bincount(pairs.doc, weights=x[pairs.stream], minlength=n_docs)
+        info = {"ids": r["ids"], "held": r["held"], "n_tokens": (pairs.sizes + 1).tolist(),
+                "n_known": by_doc(count > 0).astype(np.int64).tolist(), "base": by_doc(base).tolist()}
+        learn = np.repeat(~np.array(r["held"], bool), pairs.sizes + 1)
+        seen = np.bincount(pairs.of_token, weights=learn, minlength=len(pairs.word)).astype(np.uint32)
+        context, word, code = number[pairs.context], number[pairs.word], quantise(base)[pairs.word]
         home = int(_mix(np.array([hash_of(r["pack"].encode()) >> 1]))[0] % shards)
         out = [{"shard": home, "n": 0, "info": info}]
         for s in range(shards):
-            mine = order[edges[s]:edges[s + 1]]
-            if len(mine):
-                out.append({"shard": s, "n": len(mine), "context": _z(np.diff(context[mine], prepend=0).astype(np.uint32)),
-                            "word": _z(word[mine].astype(np.uint32)), "seen": _z(seen[mine].astype(np.uint32)),
-                            "code": _z(code[mine])})
+            mine = slice(pairs.edges[s], pairs.edges[s + 1])
+            n = int(mine.stop - mine.start)
+            if n:
+                out.append({"shard": s, "n": n, "context": _z(np.diff(context[mine], prepend=0).astype(np.int32).view(np.uint32)),
+                            "word": _z(word[mine].astype(np.uint32)), "seen": _z(seen[mine]), "code": _z(code[mine])})
         for x in out:
             x["pack"] = r["pack"]
         return pa.Table.from_pylist(out, asks)
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = packed.schema["ids"].dataType.elementType.simpleString()
-    info_type = (f"struct<ids:array<{id_type}>,held:array<boolean>,n_tokens:array<long>,n_known:array<long>,base:array<double>,"
-                 "edges:array<long>,pairs:binary>")
+    info_type = (f"struct<ids:array<{id_type}>,held:array<boolean>,n_tokens:array<long>,n_known:array<long>,base:array<double>>")
     info_arrow = pa.struct([("ids", to_arrow_type(packed.schema["ids"].dataType)), ("held", pa.list_(pa.bool_())),
                             ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())),
-                            ("base", pa.list_(pa.float64())), ("edges", pa.list_(pa.int64())), ("pairs", pa.binary())])
+                            ("base", pa.list_(pa.float64()))])
     parts = ("context", "word", "seen", "code")
     asks = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()),
                       *[(p, pa.binary()) for p in parts], ("info", info_arrow)])
@@ -289,13 +315,13 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
                          ("info", info_arrow)])
 
     def answer(key, table):
-        _, heavy = shared.value
+        _, heavy, _ = shared.value
         infos = table.filter(pa.compute.is_valid(table.column("info")))
         rows = table.filter(pa.compute.is_null(table.column("info"))).select(["pack", "n", *parts]).to_pylist()
         shard = key[0].as_py()
         pairs, seen, code = [], [], []
         for r in rows:
-            context = np.cumsum(_unz(r["context"], r["n"], np.uint32).astype(np.uint64))
+            context = np.cumsum(_unz(r["context"], r["n"], np.uint32).view(np.int32), dtype=np.int64).astype(np.uint64)
             pairs.append(context * np.uint64(universe) + _unz(r["word"], r["n"], np.uint32))
             seen.append(_unz(r["seen"], r["n"], np.uint32))
             code.append(_unz(r["code"], r["n"], np.uint16))
@@ -338,17 +364,16 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
         return asked.groupBy("shard").applyInArrow(answer, "shard int, trie binary")
     sums = asked.groupBy("shard").applyInArrow(answer, f"pack string, shard int, n long, codes binary, info {info_type}")
 
-    def finish(key, table):
-        rows = table.to_pylist()
+    def finish(key, left, right):
+        rows = right.to_pylist()
         info = next(r["info"] for r in rows if r["info"] is not None)
-        log_p = np.zeros(info["edges"][-1])
+        pairs = _Pairs(left.to_pylist()[0], shards, shared.value[2])
+        log_p = np.zeros(len(pairs.word))
         for r in rows:
             if r["info"] is None:
-                at = info["edges"][r["shard"]]
+                at = pairs.edges[r["shard"]]
                 log_p[at:at + r["n"]] = restore(_unz(r["codes"], r["n"], np.uint16))
-        sizes = np.array(info["n_tokens"], np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        total = np.bincount(doc, weights=log_p[_unz(info["pairs"], len(doc), np.uint32)], minlength=len(sizes))
+        total = np.bincount(pairs.doc, weights=log_p[pairs.of_token], minlength=len(pairs.sizes))
         n = len(info["ids"])
         return pa.Table.from_arrays(
             [pa.array(info["ids"], info_arrow.field("ids").type.value_type), pa.array(info["held"], pa.bool_()),
@@ -356,6 +381,7 @@ def _rounds(docs, held, id, text, mu, shards, keep_tries) -> DataFrame:
              pa.array([n_train] * n, pa.int64()), pa.array(info["base"], pa.float64()), pa.array(total, pa.float64())],
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return sums.groupBy("pack").applyInArrow(
+    # the packs are dealt as they were for ``ask``, so that shuffle is used again
+    return packed.groupBy("pack").cogroup(sums.groupBy("pack")).applyInArrow(
         finish, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                 "score double").withColumnRenamed("id", id)

@@ -24,18 +24,19 @@ def _broken(rule) -> str:
     r = _RATIOS[rule.metric]
     sides = [f"{r} < {rule.low}"] if rule.low is not None else []
     sides += [f"{r} > {rule.high}"] if rule.high is not None else []
-    return f"CASE WHEN n_words >= {rule.least_words} AND ({' OR '.join(sides)}) THEN '{rule.name}' END"
+    spoken = f" AND lang IN ({', '.join(repr(x) for x in rule.langs)})" if rule.langs else ""
+    return f"CASE WHEN n_words >= {rule.least_words} AND ({' OR '.join(sides)}){spoken} THEN '{rule.name}' END"
 
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w,
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{_WORD}') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
 g AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)),
 f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, sum(least(5, coalesce(following - i, 5))) AS n
       FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM f) GROUP BY doc_id),
-c AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+c AS (SELECT w.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
              len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stops,

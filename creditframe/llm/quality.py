@@ -5,10 +5,15 @@ against.  ``quality_columns`` turns the table into columns of built-in
 expressions (no user functions), so the whole operator is one narrow
 projection over the scan: no shuffle, nothing held beyond one row.
 
+A rule may name the languages it knows: the stop-word rule speaks only of
+texts whose ``lang`` column says that they are in one of its four languages.
+
 Edge cases: null and blank texts have no words (``base_failed``); ratios over
-nothing are 0; repeated rows are judged one by one; every input column is
-kept, and result columns that would clash get the result's value only in the
-digest (``judge``), not in ``keep``.
+nothing are 0; a text of any length is judged as a whole; without a ``lang``
+column, or where it is null, rules for certain languages do not apply; repeated
+rows are judged one by one; an empty table gives an empty result; every input
+column is kept, and result columns that would clash get the result's value only
+in the digest (``judge``), not in ``keep``.
 """
 
 from __future__ import annotations
@@ -36,18 +41,18 @@ class Rule:
     low: float | None = None
     high: float | None = None
     least_words: int = 0        # shorter texts are not judged by this rule
+    langs: tuple[str, ...] = () # texts in other languages are not judged by it; none listed: all are
 
 
 #: The production table.  Ratios are per word, character or line of the text.
 RULES = (
-    Rule("longest text", "n_words", high=1_000_000),
     Rule("word length", "mean_word_length", low=1.5, high=20.0),
     Rule("symbols per word", "symbol_ratio", high=0.1),
     Rule("repeated lines", "dup_line_ratio", high=0.5),
     Rule("bullet lines", "bullet_line_ratio", high=0.9, least_words=50),
     Rule("lines cut by dots", "ellipsis_line_ratio", high=0.3, least_words=50),
     Rule("words with a letter", "alpha_word_ratio", low=0.6, least_words=20),
-    Rule("stop words", "stop_word_ratio", low=0.005, least_words=100),
+    Rule("stop words", "stop_word_ratio", low=0.005, least_words=100, langs=("en", "fr", "de", "es")),
 )
 
 
@@ -129,29 +134,35 @@ def compile_rules(rules=RULES) -> dict[str, Column]:
         if r.high is not None:
             bad = bad | (ratio[r.metric] > r.high)
         out[r.name] = bad & (F.col("n_words") >= r.least_words)
+        if r.langs:
+            out[r.name] &= F.coalesce(F.col("__lang").isin(*r.langs), F.lit(False))
     return out
 
 
-def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", rules=RULES) -> DataFrame:
+def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", rules=RULES,
+          lang: str = "lang") -> DataFrame:
     """Counts, broken rules and verdict per row; ``keys`` are carried along."""
-    bound = docs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    bound = docs.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
+                        F.col(f"`{text}`").cast("string").alias("__text"), language.alias("__lang"))
     bound = bound.withColumn("__words", words_of(F.col("__text"))).withColumn(
         "__lines", F.filter(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    counted = bound.select(*[f"__k{i}" for i in range(len(keys))],
+    counted = bound.select(*[f"__k{i}" for i in range(len(keys))], "__lang",
                            *[v.alias(k) for k, v in metrics(F.col("__text"), F.col("__words"), F.col("__lines")).items()])
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     broken = compile_rules(rules)
     judged = counted.withColumn("base_failed", base).withColumn(
         "broken", F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in broken.items()]), lambda x: x.isNotNull()))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
-    return judged.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys)})
+    return judged.drop("__lang").withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys)})
 
 
-def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules=RULES, lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with all of their columns unchanged."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"),
+                         *([F.col(f"`{lang}`").alias("lang")] if lang in docs.columns else []))
     # a filter on the verdict would be pushed below the projections and carry
     # a copy of every metric along; a generator reads the verdict once
-    verdict = judge(packed, ("row",), "text", rules)
+    verdict = judge(packed, ("row",), "text", rules)  # its ``lang`` is that of ``packed``
     return verdict.select(F.explode(F.when(F.col("kept"), F.array("row")).otherwise(
         F.array().cast(verdict.select(F.array("row").alias("r")).schema["r"].dataType))).alias("row")).select("row.*")

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 @query("op2_quality_rules", oracles.QUALITY)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
-    return quality.judge(documents(spark, sf_dir)).select(
+    return quality.judge(documents(spark, sf_dir, "doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.concat_ws(",", "broken").alias("broken"))
 

@@ -48,6 +48,18 @@ def test_quality_threshold_table_is_data(spark):
     assert "symbols per word" in broken and quality.judge(df, rules=lax).first().broken == []
 
 
+def test_quality_of_other_languages_and_very_long_texts(spark):
+    russian = " ".join(f"слово{i} дом река" for i in range(100))
+    long = " ".join(f"the {i}th word of it" for i in range(210_000))
+    rows = [(1, russian, "ru"), (2, russian, "en"), (3, russian, None), (4, long, "en")]
+    df = spark.createDataFrame(rows, "`doc.id` long, `a text` string, lang string")
+    found = {r["doc.id"]: r for r in quality.judge(df, ("doc.id",), "a text").collect()}
+    assert [found[i].kept for i in (1, 2, 3, 4)] == [True, False, True, True] and found[4].n_words == 1_050_000
+    assert found[2].broken == ["stop words"]
+    assert sorted(r["doc.id"] for r in quality.keep(df, "a text").collect()) == [1, 3, 4]
+    assert quality.judge(df.drop("lang"), ("doc.id",), "a text").filter("kept").count() == 4
+
+
 def search_brute(texts, bench):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     wins = defaultdict(set)

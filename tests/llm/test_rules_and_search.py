@@ -57,7 +57,7 @@ def test_quality_of_other_languages_and_very_long_texts(spark):
     assert [found[i].kept for i in (1, 2, 3, 4)] == [True, False, True, True] and found[4].n_words == 1_050_000
     assert found[2].broken == ["stop words"]
     assert sorted(r["doc.id"] for r in quality.keep(df, "a text").collect()) == [1, 3, 4]
-    assert quality.judge(df.drop("lang"), ("doc.id",), "a text").filter("kept").count() == 4
+    assert all(r.kept for r in quality.judge(df.drop("lang").filter("`doc.id` < 4"), ("doc.id",), "a text").collect())
 
 
 def search_brute(texts, bench):

@@ -5,9 +5,10 @@ A line walks a tree of fixed depth: first its token count, then its first
 the leaf it meets all lines of its shape; a token is constant there if at
 least ``MIN_DOCS`` documents have it at that place, every other token is
 generalised to ``<*>``.  The template so formed stands for the line when at
-least ``SIMILAR`` of its tokens are constant; a line unlike its leaf is its
-own template.  Lines whose template occurs in ``MIN_DOCS`` documents or more
-are dropped from all of them.
+least ``SIMILAR`` of its tokens are constant or fields of digits and
+``MIN_CONSTANT`` or more are constant; a line unlike its leaf is its own
+template.  Lines whose template occurs in ``MIN_DOCS`` documents or more are
+dropped from all of them.
 
 The outcome depends on the set of documents only, not on their order.
 
@@ -27,14 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, written
+from . import common
+from .common import BLANKS
 
 DEPTH = 2
 MIN_DOCS = 2
-SIMILAR = 0.5
+SIMILAR = 0.8
+MIN_CONSTANT = 3
 FIELD = "<*>"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    return common.written(df, name, "zstd")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
@@ -48,7 +55,8 @@ def _masked(token: Column) -> Column:
 
 
 def _key(id: str, text: str) -> Column:
-    return F.struct(F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"))
+    """One number for what rows equal in id and text have in common."""
+    return F.xxhash64(F.struct(F.col(f"`{id}`")), F.col(f"`{text}`").cast("string"))
 
 
 def _leaf(line: Column) -> Column:
@@ -102,7 +110,7 @@ def _constants(lines: DataFrame, in_leaf: DataFrame, found: DataFrame, min_docs:
 
 
 def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
-              similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+              similar: float = SIMILAR, min_constant: int = MIN_CONSTANT) -> tuple[DataFrame, DataFrame]:
     """(key, line, t) of candidate lines, t standing for their template, and
     (t, template, documents) of the templates that recur."""
     lines = lines_of_busy_leaves(docs, id, text, min_docs)
@@ -122,14 +130,15 @@ def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs:
     fixed = _places(found, "h").join(constant.hint("merge"), "c").groupBy("h").agg(F.collect_list("place").alias("fixed"))
     formed = found.select("h", "t").join(fixed.hint("merge"), "h", "left").select(
         "h", _tokens(F.col("t")).alias("x"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
-    share = F.size("fixed") / F.size("x")
+    fields = F.size(F.filter("x", lambda w: w.rlike("[0-9]")))
+    like = ((F.size("fixed") + fields) / F.size("x") >= similar) & (F.size("fixed") >= min_constant)
     whole = F.concat_ws(" ", "x")
     free = F.array_except(F.sequence(F.lit(0), F.size("x") - 1), F.col("fixed"))
     filled = F.array_sort(F.concat(
         F.transform("fixed", lambda i: F.struct(i.alias("place"), F.get("x", i).alias("token"))),
         F.transform(free, lambda i: F.struct(i.alias("place"), F.lit(FIELD).alias("token")))))
     general = F.concat_ws(" ", F.transform(filled, lambda x: x["token"]))
-    of_text = written(formed.select("h", F.when(share >= similar, general).otherwise(whole).alias("template"))
+    of_text = written(formed.select("h", F.when(like, general).otherwise(whole).alias("template"))
                       .withColumn("t", F.xxhash64("template")), "template-of-text")
     documents = (distinct.select("key", "h").join(of_text.select("h", "t"), "h").select("key", "t").distinct()
                  .groupBy("t").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_docs))
@@ -147,11 +156,9 @@ def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``row`` (struct of all columns), ``kept`` text, ``n_lines`` with a
     token, ``n_dropped`` per row of ``docs``."""
-    gone = dropped(docs, id, text, **options).select(F.col("key.id").alias("gid"), F.col("key.h").alias("gh"), "lines")
+    gone = dropped(docs, id, text, **options).select(F.col("key").alias("gone"), "lines")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id, text).alias("key"))
-    # text null and text "" hash alike only by accident; both have no lines to drop
-    same = F.col("key.id").eqNullSafe(F.col("gid")) & (F.col("key.h") == F.col("gh"))
-    both = rows.join(gone.hint("merge"), same, "left").withColumn("all", _lines(F.col(f"row.`{text}`")))
+    both = rows.join(gone.hint("merge"), F.col("key") == F.col("gone"), "left").withColumn("all", _lines(F.col(f"row.`{text}`")))
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("lines", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(places, lambda i: F.get("all", i)), "\n")
     filled = F.size(F.filter("all", lambda t: t.rlike(r"[^\x20\x09-\x0D]"))).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_templates import MIN_DOCS, SIMILAR
+from .line_templates import MIN_CONSTANT, MIN_DOCS, SIMILAR
 from .quality import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -82,11 +82,12 @@ c AS (SELECT s.* FROM s JOIN b ON s.leaf = b.leaf),
 k AS (SELECT doc_id, line, leaf, unnest(w) AS token, unnest(range(len(w))) AS place FROM c),
 f AS (SELECT leaf, place, token FROM k WHERE NOT regexp_matches(token, '[0-9]')
       GROUP BY leaf, place, token HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-x AS (SELECT k.doc_id, k.line, sum(CASE WHEN f.token IS NULL THEN 0 ELSE 1 END) / count(*)::DOUBLE AS share,
+x AS (SELECT k.doc_id, k.line, sum(CASE WHEN f.token IS NULL AND NOT regexp_matches(k.token, '[0-9]') THEN 0 ELSE 1 END) / count(*)::DOUBLE AS share,
+             count(f.token) AS fixed,
              string_agg(k.token, ' ' ORDER BY k.place) AS whole,
              string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY k.place) AS general
       FROM k LEFT JOIN f ON k.leaf = f.leaf AND k.place = f.place AND k.token = f.token GROUP BY k.doc_id, k.line),
-t AS (SELECT doc_id, line, CASE WHEN share >= {SIMILAR} THEN general ELSE whole END AS template FROM x),
+t AS (SELECT doc_id, line, CASE WHEN share >= {SIMILAR} AND fixed >= {MIN_CONSTANT} THEN general ELSE whole END AS template FROM x),
 r AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 g AS (SELECT t.doc_id, t.line FROM t JOIN r ON t.template = r.template),
 o AS (SELECT l.doc_id, count(g.line) AS n_dropped, coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept,

@@ -167,7 +167,8 @@ def templates_brute(rows, least):
     for i, k, leaf, w in lines:
         if len(leaf_docs[leaf]) >= least:
             const = [len(at[leaf, p, x]) >= least if (leaf, p, x) in at else False for p, x in enumerate(w)]
-            of[i, k] = " ".join(x if c else "<*>" for x, c in zip(w, const)) if sum(const) >= 0.5 * len(w) else " ".join(w)
+            like = sum(c or any(z.isdigit() for z in x) for x, c in zip(w, const)) >= 0.8 * len(w) and sum(const) >= 3
+            of[i, k] = " ".join(x if c else "<*>" for x, c in zip(w, const)) if like else " ".join(w)
             docs_of[of[i, k]].add(i)
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if len(docs_of.get(of.get((i, k)), ())) < least)
             for i, t in rows if t is not None}
@@ -202,6 +203,15 @@ def test_line_templates_recur_from_two_documents(spark):
     assert got == {1: ("alpha own line", 1), 2: ("beta gamma", 1), 3: ("one more text here", 0)}
 
 
+def test_unlike_sentences_stay(spark):
+    rows = [(1, "And reornd atou of. Thntstsh, the.\nA | and."), (2, "And reornd atou of. Lyeror onrewh.\nA | thndre."),
+            (3, "one of the ten words here is not the same red"), (4, "one of the ten words here is not the same blue"),
+            (5, "request 17 took 250 ms"), (6, "request 18 took 1 ms")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: r.kept for r in line_templates.dedupe(df).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: "", 5: "", 6: ""}
+
+
 @pytest.fixture(scope="module")
 def licence_model(docs):
     return licences.train(docs)

@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,10 +164,12 @@ def publish(df: DataFrame, view: FeatureView, table_path: str, *, verify: bool =
     recreated = live is None or shape(spark.read.parquet(live).schema) != shape(out.schema)
     version = f"version={dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
     target = f"{table_path.rstrip('/')}/{version}"
-    out.write.mode("errorifexists").parquet(target)
+    # rows are counted by the write itself, so the source runs once
+    sent_rows = Observation()
+    out.observe(sent_rows, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(target)
     result = {"recreated": recreated, "path": target}
     if verify:
-        sent, result["rows"] = df.count(), spark.read.parquet(target).count()
+        sent, result["rows"] = sent_rows.get["n"], spark.read.parquet(target).count()
         if result["rows"] != sent or not (sent or allow_empty):
             raise RuntimeError(f"{target} holds {result['rows']} rows of {sent}; not committed")
     _write_pointer(spark, table_path, version)

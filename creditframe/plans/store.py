@@ -59,25 +59,27 @@ D4_SQL = REGISTRY["d4_latest_per_key"].sql
 
 def d4_stream_latest(spark, sf_dir):
     """D4 through Structured Streaming: the offline folder receives the
-    events in two deliveries (up to the first run, then up to now); each
-    delivery is merged by an ``availableNow`` run.  Files and stream state
-    live under the shared checkpoint folder."""
+    events in three deliveries up to now; each is a run of the buckets it
+    touches in a bucketed snapshot, merged by an ``availableNow`` run.  Files
+    and stream state live under the shared checkpoint folder."""
     from ..session import scratch_path
-    from ..streaming.materialize import run_available_now
-    from ..operators.store import current_path, ts_literal
+    from ..streaming.buckets import read_snapshot, run_bucketed
+    from ..operators.store import ts_literal
     src = _source(spark, sf_dir)
     root = scratch_path(spark, "d4-stream")
     offline, snap, ck = f"{root}/offline", f"{root}/snapshot", f"{root}/state"
     dtype = src.schema["ts"].dataType
-    first = src.where(F.col("ts") <= ts_literal(FIRST_RUN, dtype))
-    second = src.where((F.col("ts") > ts_literal(FIRST_RUN, dtype)) & (F.col("ts") <= ts_literal(NOW, dtype)))
-    first.write.mode("append").parquet(offline)
-    run_available_now(spark, LONG_TTL, offline, snap, schema=src.schema, tiebreak=["event_id"], checkpoint=ck)
-    second.write.mode("append").parquet(offline)
-    run_available_now(spark, LONG_TTL, offline, snap, schema=src.schema, tiebreak=["event_id"], checkpoint=ck)
-    out = spark.read.parquet(current_path(spark, snap))
+    begin = None
+    for end in (FIRST_RUN, FIRST_RUN + dt.timedelta(days=5), NOW):
+        part = src.where(F.col("ts") <= ts_literal(end, dtype))
+        if begin is not None:
+            part = part.where(F.col("ts") > ts_literal(begin, dtype))
+        part.write.mode("append").parquet(offline)
+        run_bucketed(spark, LONG_TTL, offline, snap, schema=src.schema, tiebreak=["event_id"], checkpoint=ck, buckets=16, max_runs=2)
+        begin = end
+    out = read_snapshot(spark, snap, LONG_TTL, src.schema, ["event_id"])
     return out.select("user_id", "event_id", "event_type", "value",
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-register("d4_stream_latest", D4_SQL, "D4 (Structured Streaming, availableNow + foreachBatch)")(d4_stream_latest)
+register("d4_stream_latest", D4_SQL, "D4 (Structured Streaming, availableNow, bucketed snapshot)")(d4_stream_latest)

@@ -65,3 +65,27 @@ def test_stream_available_now(spark):
     run_available_now(spark, VIEW, offline, snap, schema=schema, checkpoint=ck)
     got = rows(spark.read.parquet(current_path(spark, snap)), "k", "x")
     assert got == [(1, 2.0), (2, 4.0)]
+
+
+def test_bucketed_snapshot_writes_what_a_delivery_touches(spark):
+    from creditframe.operators.store import latest_per_key
+    from creditframe.streaming import buckets as B
+    offline, snap, ck = (tempfile.mkdtemp(prefix=p) for p in ("cf-off-", "cf-buckets-", "cf-ck-"))
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("ts", T.TimestampType())])
+    t = dt.datetime
+    deliveries = [[(k, float(k), t(2024, 1, 2)) for k in range(200)], [(1, 9.0, t(2024, 1, 9)), (1, 8.0, t(2024, 1, 8)), (None, 1.0, t(2024, 1, 9))],
+                  [(2, 7.0, t(2024, 1, 1)), (3, 5.0, None)], [], [(1, 6.0, t(2024, 1, 10))], [(1, 5.0, t(2024, 1, 11)), (500, 0.0, t(2020, 1, 1))]]
+    sent, runs = [], []
+    for d in deliveries:
+        sent += d
+        spark.createDataFrame(d, schema).coalesce(1).write.mode("append").parquet(offline)
+        B.run_bucketed(spark, VIEW, offline, snap, schema=schema, checkpoint=ck, buckets=16, max_runs=2)
+        runs.append({(b, run) for b, run, _ in B._manifest(spark, snap)})
+    assert [len(b - a) for a, b in zip(runs, runs[1:])] == [2, 1, 0, 1, 1]      # new runs: buckets of the delivery
+    assert len(runs[0]) == 16 and max(sum(b == c for c, _ in runs[-1]) for b in range(16)) <= 2
+    whole = spark.createDataFrame([r for r in sent if r[2] and r[2].year == 2024], schema)
+    want = latest_per_key(whole, ["k"], "ts").collect()
+    got = B.read_snapshot(spark, snap, VIEW, schema).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    from creditframe.operators.store import _pointers
+    assert len(_pointers(spark, snap)) == 3

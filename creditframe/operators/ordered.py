@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: Rows around a quantile that may be ordered by value.
+BRACKET_ROWS = 100_000
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null meets null; key columns come from ``left``."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -167,7 +171,9 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], b
     A sketch gives, on either side of each quantile, a value that is off by
     at most ``1 / accuracy`` of the rows, so the wanted ranks lie between.
     Groups of at most ``accuracy`` rows keep all their values.  All other
-    values meet in a few gap rows before the shuffle.
+    values meet in a few gap rows before the shuffle.  Without groups a bracket
+    that would hold more than ``BRACKET_ROWS`` rows is narrowed first, so what
+    is ordered does not grow with the table.
     """
     margin = 2.0 / accuracy
     probs = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
@@ -176,7 +182,7 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], b
         F.count(x[c]).alias(f"__n{i}"), F.percentile_approx(x[c], probs, accuracy).alias(f"__p{i}"))]
     wide = df.select(*by, *[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
     # without groups the brackets are one row, read once and used as constants
-    row = None if by else df.agg(*stats).first()
+    row = None if by else _narrowed(wide, df.agg(*stats).first().asDict(), qs, accuracy)
     near = join_null_safe(wide, df.groupBy(*by).agg(*stats), by) if by else wide
 
     def placed(i: int) -> Column:
@@ -203,6 +209,41 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], b
         F.count(F.lit(1)).alias("cnt"))
 
 
+def _narrowed(wide: DataFrame, row: dict, qs: Sequence[float], accuracy: int) -> dict:
+    """``row`` (n, brackets of every column) with brackets of at most
+    ``BRACKET_ROWS`` rows or of one value: the rows of a bracket are counted,
+    and a sketch of those rows alone gives the next, closer one.  Two scans a
+    round, all columns and quantiles at once; each round keeps about
+    6 / ``accuracy`` of a bracket."""
+    m = len(qs)
+    columns = [int(k[3:]) for k in row if k.startswith("__n")]
+    open_ = [(i, j) for i in columns for j in range(m)
+             if row[f"__n{i}"] > max(accuracy, BRACKET_ROWS * accuracy // 6) and row[f"__p{i}"][j] < row[f"__p{i}"][m + j]]
+    while open_:
+        edges = {(i, j): (row[f"__p{i}"][j], row[f"__p{i}"][m + j]) for i, j in open_}
+        inside = {(i, j): F.col(f"__x{i}").between(lo, hi) for (i, j), (lo, hi) in edges.items()}
+        held = wide.agg(*[c for (i, j), (lo, _) in edges.items() for c in (
+            F.count_if(F.col(f"__x{i}") < lo).alias(f"b{i}_{j}"), F.count_if(inside[i, j]).alias(f"c{i}_{j}"))]).first()
+        open_ = [(i, j) for i, j in open_ if held[f"c{i}_{j}"] > BRACKET_ROWS]
+        sketches = []
+        for i, j in open_:
+            at, rows = (row[f"__n{i}"] - 1) * qs[j] - held[f"b{i}_{j}"], held[f"c{i}_{j}"]
+            p, margin = at / rows, 2.0 / accuracy + 1.0 / rows
+            sketches.append(F.percentile_approx(F.when(inside[i, j], F.col(f"__x{i}")),
+                                                [min(1.0, max(0.0, p - margin)), min(1.0, max(0.0, p + margin))],
+                                                accuracy).alias(f"s{i}_{j}"))
+        if open_:
+            closer = wide.agg(*sketches).first()
+            still = []
+            for i, j in open_:
+                lo, hi = closer[f"s{i}_{j}"]
+                if lo < hi and (lo, hi) != edges[i, j]:
+                    still.append((i, j))
+                row[f"__p{i}"][j], row[f"__p{i}"][m + j] = lo, hi
+            open_ = still
+    return row
+
+
 def percent_rank_le(df: DataFrame, col: str, *, by: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:
     """A21 for every row: ``100 * count(x <= v) / count(x)`` (null for null v).
 

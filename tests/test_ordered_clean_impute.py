@@ -91,3 +91,27 @@ def test_median_mode_encode(spark):
     assert enc == {9: -1.0, 10: 2.0}
     const = I.fill_constant(spark.createDataFrame([(float("nan"),), (None,)], "x double"), -999.0)
     assert [r[0] for r in const.collect()] == [-999.0, -999.0]
+
+
+def test_brackets_are_narrowed_until_few_rows_are_left(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from creditframe.operators import ordered
+    rng = random.Random(5)
+    rows = [(rng.lognormvariate(0, 3), float(rng.choice([1, 1, 1, 2, 3])), None if i % 9 else float(i), -1e12 if i == 0 else float(i % 7919))
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", 20)
+    qs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    seen = []
+    narrowed = ordered._narrowed
+    monkeypatch.setattr(ordered, "_narrowed", lambda *a: seen.append(narrowed(*a)) or seen[-1])
+    got = {r.feature: r for r in ordered.quantiles(df, ["a", "b", "c", "d"], qs, accuracy=100).collect()}
+    for j, name in enumerate("abcd"):
+        x = np.array([r[j] for r in rows if r[j] is not None])
+        want = np.quantile(x, qs)
+        assert [got[name][f"q{int(round(q * 100)):02d}"] for q in qs] == pytest.approx(want.tolist())
+        for k, q in enumerate(qs):
+            lo, hi = seen[0][f"__p{j}"][k], seen[0][f"__p{j}"][len(qs) + k]
+            assert lo == hi or ((x >= lo) & (x <= hi)).sum() <= 20

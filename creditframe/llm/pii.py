@@ -2,10 +2,12 @@
 
 1. One narrow pass finds the base spans (fixed patterns and checks) and wider
    candidates that no base pattern accepts: numbers grouped like cards or
-   phone numbers, dotted quads, addresses whose domain has no dot.  Labelers
-   vote on every span: pattern, check sum or range, gazetteer (top-level
-   domains, card issuers, country codes, special address blocks), context
-   words before it, and its surroundings.
+   phone numbers (also several in one run), dotted quads, addresses whose
+   domain has no dot, and keys or tokens of letters and digits (kind
+   ``secret``, which has no base pattern).  Labelers vote on every span:
+   pattern, check sum, range or variety, gazetteer (top-level domains, card
+   issuers, country codes, special address blocks, known key prefixes),
+   context words before it, and its surroundings.
 2. Spans are counted per vote pattern (at most kinds x 3^labelers rows);
    expectation-maximisation over the counts estimates each labeler's
    reliability by kind and the probability of each pattern.
@@ -35,7 +37,8 @@ from pyspark.sql import types as T
 
 from .common import written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 ADD = 0.8
 
 # The base patterns.
@@ -48,19 +51,24 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[A-Za-z0-9-]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMBER = re.compile(r"\(?(?<![0-9])[0-9][0-9().\x20-]{5,38}[0-9](?![0-9])")
-_GROUPED_CARD = re.compile(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19}")
-_GROUPED_PHONE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+_GROUPED_CARD = re.compile(r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9])")
+_GROUPED_PHONE = re.compile(r"\(?(?<![0-9])[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])")
+_HEX = re.compile(r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})")
+_ASSIGNED = re.compile(r"[=:]\s{0,2}[\"']?$")
 
 # Gazetteers.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io de fr es uk eu ch at nl it us ca au".split())
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 "
                           "65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "pk_", "sk_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-")
 CUES = {
     "email": frozenset("email e-mail mail contact write adresse correo courriel".split()),
     "ip": frozenset("ip host server address addr ping client".split()),
     "card": frozenset("card visa mastercard amex credit debit karte carte tarjeta cc".split()),
     "phone": frozenset("phone tel telephone call mobile fax cell telefon téléphone teléfono".split()),
+    "secret": frozenset("token secret password passwd pwd key apikey api bearer credential auth".split()),
 }
 NOT_CUES = frozenset("version id order total serial isbn commit hash token key build item page no number ref sku".split())
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
@@ -117,12 +125,13 @@ def wider(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     """Candidates that touch no base span and not each other."""
     found = [(0, a, b) for a, b, ok in emails(text) if not ok]
     found += [(1, *m.span()) for m in _IP.finditer(text)]
-    for m in _NUMBER.finditer(text):
+    for run in _NUMBER.finditer(text):
+        found += [(2, *m.span()) for m in _GROUPED_CARD.finditer(text, *run.span()) if 13 <= len(_digits(m[0])) <= 19]
+        found += [(3, *m.span()) for m in _GROUPED_PHONE.finditer(text, *run.span()) if 7 <= len(_digits(m[0])) <= 12]
+    for m in _SECRET.finditer(text):
         n = len(_digits(m[0]))
-        if 13 <= n <= 19 and _GROUPED_CARD.fullmatch(m[0]):
-            found.append((2, *m.span()))
-        elif 7 <= n <= 12 and _GROUPED_PHONE.fullmatch(m[0]):
-            found.append((3, *m.span()))
+        if n >= 3 and sum(c.isalpha() for c in m[0]) >= 3:
+            found.append((4, *m.span()))
     out, taken, b = [], sorted((s, e) for _, s, e in base), 0
     end = -1
     for k, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
@@ -153,16 +162,24 @@ def votes(text: str, kind: int, start: int, end: int) -> list[int]:
         pattern = 1 if _GROUPED_CARD.fullmatch(s) else 0
         check = 1 if luhn(d) else -1
         gazetteer = 1 if d.startswith(ISSUERS) else -1
+    elif kind == 4:
+        pattern = 1 if _HEX.fullmatch(s) or s.startswith(KEY_PREFIXES) else 0
+        # random keys change between letters and digits often, part names do not
+        mixed = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:])) >= 0.2 * len(s)
+        check = 1 if mixed and len(set(s)) >= 10 or s.startswith(KEY_PREFIXES) else -1
+        gazetteer = 1 if s.startswith(KEY_PREFIXES) else 0
     else:
         pattern = 1 if s[0] == "+" else 0
         check = 1 if 9 <= len(d) <= 15 else -1
         gazetteer = 1 if s[0] == "+" and any(d.startswith(c) for c in COUNTRY_CODES) else 0
     context = 1 if CUES[KINDS[kind]] & {*before} else -1 if NOT_CUES & {*before} else 0
+    if kind == 4:
+        return [pattern, check, gazetteer, context, 1 if _ASSIGNED.search(text, max(0, start - 8), start) else 0]
     around = -1 if left.isalnum() or right.isalnum() or left in "._/" and left else 1
     return [pattern, check, gazetteer, context, around]
 
 
-N_FEATURES = 44
+N_FEATURES = 47
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -172,7 +189,9 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     digits = sum(c.isdigit() for c in s)
     left, right = text[start - 1:start], text[end:end + 1]
     out = [0.0] * N_FEATURES
-    out[kind] = 1.0
+    out[kind if kind < 4 else 44] = 1.0
+    out[45] = float(kind == 4 and bool(_ASSIGNED.search(text, max(0, start - 8), start)))
+    out[46] = float(kind == 4 and bool(_HEX.fullmatch(s)))
     out[4] = min(n, 40) / 40
     out[5] = digits / n
     out[6] = min(sum(not c.isalnum() for c in s), 8) / 8

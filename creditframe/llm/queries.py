@@ -83,13 +83,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
             ":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s["base"])
+    listed_kinds = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS))
+    secrets = F.filter("spans", lambda s: s["kind"] == pii.KINDS.index("secret"))
 
     def count(i: int):
         return F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long").alias(f"n_{pii.KINDS[i]}")
 
-    counts = [count(i) for i in range(len(pii.KINDS))]
-    return found.select("row.doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"),
-                        listed(F.col("spans")).alias("spans"))
+    counts = [count(i) for i in range(len(pii.BASE_KINDS))]
+    return found.select("row.doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(listed_kinds).alias("spans"),
+                        F.size(secrets).cast("long").alias("n_secret"), listed(secrets).alias("secrets"))
 
 
 @query("op5_licence_scan")

@@ -591,4 +591,4 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", first: str |
     total = of_long.groupBy("key").agg(*[F.sum(c).alias(c) for c in sums])
     long = keys.join(total, "key", "left").join(_long_digests(of_long), "key", "left").select(
         "id", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
-    return short.unionByName(long).withColumnRenamed("id", id)
+    return written(short.unionByName(long), "alignment").withColumnRenamed("id", id)

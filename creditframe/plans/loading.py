@@ -84,6 +84,18 @@ def s11_ad_hoc_sql(spark, sf_dir):
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey""")
 
 
+@register("s12_result_summary", """
+SELECT count(*) AS row_count, 6::BIGINT AS column_count,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns, 5::BIGINT AS n_preview
+FROM orders
+""", "S12, S13")
+def s12_result_summary(spark, sf_dir):
+    found = io.result_summary(table(spark, sf_dir, "orders"))
+    names = ",".join(io.feature_name_list(table(spark, sf_dir, "orders")))
+    row = (found["row_count"], found["column_count"], names, len(found["preview"]))
+    return spark.createDataFrame([row], "row_count long, column_count long, columns string, n_preview long")
+
+
 # --- cleaning ---------------------------------------------------------------
 @register("p2_age", "SELECT c_custkey, round((7300 + c_custkey % 18000) / 365.0::DOUBLE, 6) AS AGE_YEARS FROM customer", "P2")
 def p2_age(spark, sf_dir):

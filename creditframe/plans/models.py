@@ -333,3 +333,34 @@ def m10_overfit(spark, sf_dir):
     best = ml.best_model(auc, model="split")
     return check.select(F.round("auc_gap", 6).alias("auc_gap"), "overfit",
                         best.select("split").scalar().alias("best"))
+
+
+@register("b2_score_by_id", """
+WITH i AS (SELECT c_custkey FROM customer UNION ALL SELECT -c_custkey - 1 FROM customer WHERE c_custkey % 10 = 0)
+SELECT c_custkey, CASE WHEN c_custkey > 0 AND c_custkey % 3 <> 0 THEN 'ok' ELSE 'not_found' END AS status,
+       c_custkey > 0 AND c_custkey % 3 <> 0 AS scored, true AS class_follows
+FROM i
+""", "B2, D6, J6 (errors stay with their row)")
+def b2_score_by_id(spark, sf_dir):
+    """Scores by key from the online snapshot: a third of the customers have
+    expired rows, some requested keys were never there."""
+    import datetime as dt
+
+    from ..operators.score import score_by_id
+    from ..operators.store import Entity, FeatureView
+    from pyspark.sql import types as T
+    d = _training_frame(spark, sf_dir)
+    model = ml.logistic(MODEL_FEATURES, "target", weight="weight", max_iter=50).fit(d.where("split = 0"))
+    view = FeatureView("history", Entity("customer", ("c_custkey",)),
+                       T.StructType([T.StructField(f, T.DoubleType()) for f in MODEL_FEATURES]), ts="ts", ttl=dt.timedelta(days=7))
+    now = dt.datetime(2024, 1, 20)
+    at = F.when(F.col("c_custkey") % 3 == 0, F.lit(dt.datetime(2024, 1, 1))).otherwise(F.lit(dt.datetime(2024, 1, 19)))
+    snapshot = applicant_history(spark, sf_dir).select(
+        "c_custkey", *[F.col(f).cast("double").alias(f) for f in MODEL_FEATURES], at.alias("ts"))
+    known = table(spark, sf_dir, "customer").select("c_custkey")
+    ids = known.unionByName(known.where("c_custkey % 10 = 0").select((-F.col("c_custkey") - 1).alias("c_custkey")))
+    out = score_by_id(model, snapshot, ids, view, now=now)
+    p = F.col("probability")
+    return out.select("c_custkey", "status", p.isNotNull().alias("scored"), F.coalesce(
+        (F.col("prediction") == risk_class("probability", 0.5)) & (F.col("risk_category") == risk_band4("probability"))
+        & p.between(0, 1), p.isNull() & F.col("prediction").isNull()).alias("class_follows"))

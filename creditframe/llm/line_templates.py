@@ -28,8 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import BLANKS
+from .common import BLANKS, written
 
 DEPTH = 2
 MIN_DOCS = 2
@@ -38,10 +37,6 @@ MIN_CONSTANT = 3
 FIELD = "<*>"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    return common.written(df, name, "zstd")
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
@@ -130,8 +125,10 @@ def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs:
     fixed = _places(found, "h").join(constant.hint("merge"), "c").groupBy("h").agg(F.collect_list("place").alias("fixed"))
     formed = found.select("h", "t").join(fixed.hint("merge"), "h", "left").select(
         "h", _tokens(F.col("t")).alias("x"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
+    # digits are looked for only where they can decide
     fields = F.size(F.filter("x", lambda w: w.rlike("[0-9]")))
-    like = ((F.size("fixed") + fields) / F.size("x") >= similar) & (F.size("fixed") >= min_constant)
+    enough = F.size("fixed") >= F.size("x") * similar
+    like = (F.size("fixed") >= min_constant) & (enough | (F.size("fixed") + fields >= F.size("x") * similar))
     whole = F.concat_ws(" ", "x")
     free = F.array_except(F.sequence(F.lit(0), F.size("x") - 1), F.col("fixed"))
     filled = F.array_sort(F.concat(

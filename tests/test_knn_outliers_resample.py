@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditframe.operators.knn import knn_neighbours, knn_target_mean
-from creditframe.operators.outliers import isolation_forest
+from creditframe.operators.outliers import average_path, forest_table, isolation_forest
 from creditframe.operators.resample import smote
 
 
@@ -68,6 +68,51 @@ def test_isolation_forest_planted(spark):
     assert np.allclose(out.sort_values("id")["outlier_score"].values, again.sort_values("id")["outlier_score"].values)
 
 
+def test_forest_table_holds_every_row_of_the_samples(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(700, 2)), columns=["a", "x.y"]).round(1)
+    pdf["id"] = [f"k{i}" for i in range(len(pdf))]
+    df = spark.createDataFrame(pdf)
+    nodes = forest_table(df, "id", ["a", "x.y"], trees=7, sample_size=64).toPandas()
+    again = forest_table(df.repartition(5), "id", ["a", "x.y"], trees=7, sample_size=64).toPandas()
+    order = ["tree", "node"]
+    pd.testing.assert_frame_equal(nodes.sort_values(order).reset_index(drop=True),
+                                  again.sort_values(order).reset_index(drop=True))
+    size = {(r.tree, r.node): r.size_ for r in nodes.rename(columns={"size": "size_"}).itertuples()}
+    assert all(size[t, 1] == 64 for t in range(7))
+    for r in nodes.itertuples():
+        assert r.node < 2 ** 7
+        if r.feature >= 0:
+            left, right = size[r.tree, 2 * r.node], size[r.tree, 2 * r.node + 1]
+            assert left > 0 and right > 0 and left + right == size[r.tree, r.node]
+        else:
+            assert (r.tree, 2 * r.node) not in size
+    # the scores are the mean path lengths over that table
+    cuts = {(r.tree, r.node): (r.feature, r.threshold) for r in nodes.itertuples()}
+    want = {}
+    for row in pdf.itertuples(index=False):
+        total = 0.0
+        for t in range(7):
+            node = 1
+            while cuts[t, node][0] >= 0:
+                f, cut = cuts[t, node]
+                node = 2 * node + (row[f] >= cut)
+                total += 1
+            total += average_path([size[t, node]])[0]
+        want[row.id] = -2.0 ** (-total / 7 / average_path([64])[0])
+    got = isolation_forest(df, "id", ["a", "x.y"], trees=7, sample_size=64).toPandas().set_index("id")["outlier_score"]
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and len(got) == len(want)
+
+
+def test_forest_of_few_equal_or_no_rows(spark):
+    one = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id int, a double")
+    nodes = forest_table(one, "id", ["a"], trees=3).collect()
+    assert sorted((r.tree, r.node, r.feature, r["size"]) for r in nodes) == [(t, 1, -1, 2) for t in range(3)]
+    assert {r.outlier_label for r in isolation_forest(one, "id", ["a"], trees=3).collect()} == {1}
+    assert forest_table(one.limit(0), "id", ["a"], trees=3).count() == 0
+    assert isolation_forest(one.limit(0), "id", ["a"], trees=3).count() == 0
+
+
 def test_smote_balances_and_interpolates(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"id": np.arange(120), "a": rng.normal(size=120), "b": rng.normal(size=120),

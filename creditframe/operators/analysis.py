@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import (bin_label, clip, corr_direction, corr_strength, feature_category, safe_div,
-                                     skew_label)
+from ..functions.expressions import (bin_label, clip, corr_direction, corr_strength, feature_category, risk_band4,
+                                     risk_class, safe_div, skew_label)
 from .clean import with_scalars
-from .ordered import quantiles, running_totals
+from .explain import contributions, explain, explanation_text
+from .ordered import percent_rank_le, quantiles, running_totals
 from .profile import _long, describe
 
 
@@ -222,6 +223,51 @@ def report_vs_population(df: DataFrame, key: str, ids: DataFrame, cols: Sequence
         F.when(pct > 100, "above").when(pct.isNotNull(), "below").alias("position"))
 
 
+# --- fixed values: report types and the charts they recommend --------------
+REPORT_TYPES = ("summary", "detailed", "risk_focused")
+REPORT_CHARTS = ("gauge", "feature_importance", "radar")
+
+
+def applicant_report(df: DataFrame, key: str, ids: DataFrame, cols: Sequence[str], *, report_type: str = "summary",
+                     model=None, features: Sequence[str] | None = None, top_n: int = 5) -> DataFrame:
+    """One row per applicant in ``ids`` that ``df`` holds: ``comparison``
+    (array of feature, value, population mean, % of it, above / below, in
+    the order of ``cols``) and the recommended charts.  ``detailed`` and
+    ``risk_focused`` add the model's probability, class and band, the
+    ``top_n`` contributions (M11) and their sentence; a linear model is
+    compared with the means of all of ``df``.
+
+    The population costs one aggregate; applicants are a semi-join, so one id
+    and all ids are the same plan.  Rows that repeat a key give a row each.
+    A null value is neither above nor below.
+    """
+    if report_type not in REPORT_TYPES:
+        raise ValueError(f"unknown report type {report_type!r}; one of {REPORT_TYPES}")
+    if report_type != "summary" and model is None:
+        raise ValueError(f"a {report_type} report needs a model")
+    feats = list(features or cols) if report_type != "summary" else []
+    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
+    mine = df.join(ids.select(key).distinct(), key, "left_semi")
+
+    def compared(i, c):
+        value, mean = F.col(f"`{c}`").cast("double"), F.col(f"__m{i}")
+        pct = F.round(safe_div(value, mean) * 100, 1)
+        return F.struct(F.lit(c).alias("feature"), value.alias("value"), mean.alias("pop_mean"), pct.alias("pct_of_avg"),
+                        F.when(pct > 100, "above").when(pct.isNotNull(), "below").alias("position"))
+
+    out = with_scalars(mine, means).select(
+        key, F.array(*[compared(i, c) for i, c in enumerate(cols)]).alias("comparison"),
+        F.array(*[F.lit(c) for c in REPORT_CHARTS]).alias("recommended_charts"), *feats)
+    if report_type == "summary":
+        return out
+    head = [key, "comparison", "recommended_charts"]
+    background = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats]).first()
+    told = explanation_text(explain(contributions(model, out, feats, keep=head, means={f: background[f] or 0.0 for f in feats}),
+                                    feats, keep=head, top_n=top_n), top_n)
+    return told.select(*head, "base_probability", "probability", risk_class("probability").alias("prediction"),
+                       risk_band4("probability").alias("risk_category"), "top_contributions", "explanation")
+
+
 def importance_by_category(importance: DataFrame, feature: str = "feature",
                            value: str = "importance") -> DataFrame:
     """Summed importance and share per name-derived category."""
@@ -324,11 +370,26 @@ def correlation_insight(r: Column) -> Column:
     return F.format_string("%.3f (%s %s)", r, corr_strength(r), corr_direction(r))
 
 
-# --- fixed values: analysis types and the chart each is drawn as -----------
-ANALYSIS_TYPES = ("distribution", "comparison", "correlation", "trend", "composition",
-                  "risk_breakdown", "population_comparison")
-CHART_TYPES = {"distribution": "histogram", "comparison": "bar", "correlation": "heatmap", "trend": "line",
-               "composition": "pie", "risk_breakdown": "bar", "population_comparison": "bar"}
+# --- fixed values: analysis types and the charts that fit each, first choice first
+CHARTS = {"distribution": ("histogram", "box_plot", "violin"), "comparison": ("bar", "grouped_bar", "radar"),
+          "correlation": ("scatter", "heatmap"), "trend": ("line", "area"),
+          "composition": ("pie", "stacked_bar", "waterfall"),
+          "risk_breakdown": ("gauge", "waterfall", "feature_importance"),
+          "percentile": ("bullet", "bar_with_marker"), "population_comparison": ("bar",)}
+ANALYSIS_TYPES = tuple(CHARTS)
+
+
+def chart_choice(analysis_type: str, n_features: int, *, grouped: bool = False) -> dict[str, str | list[str]]:
+    """The chart an analysis is drawn as and the alternatives beside it."""
+    kinds = CHARTS[analysis_type]
+    chosen = kinds[0]
+    if analysis_type == "comparison" and (grouped or n_features > 1):
+        chosen = "grouped_bar"
+    elif analysis_type == "correlation" and n_features > 2:
+        chosen = "heatmap"
+    elif analysis_type == "risk_breakdown":
+        chosen = "feature_importance"
+    return {"chart_type": chosen, "alternatives": [k for k in kinds if k != chosen]}
 
 
 def per_feature(parts: dict[str, DataFrame]) -> DataFrame:
@@ -341,11 +402,21 @@ def per_feature(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label: str = "TARGET",
-            compare_groups: str | None = None, ts: str | None = None) -> dict[str, DataFrame]:
+            compare_groups: str | None = None, ts: str | None = None, key: str | None = None,
+            applicants: DataFrame | None = None, model=None) -> dict[str, DataFrame]:
     """Analysis dispatch: a type picks the statistics (all features in one
-    aggregate) and the chart data.  Every requested feature is analysed; the
-    chart of a type is ``CHART_TYPES[type]``."""
+    aggregate) and the chart data; :func:`chart_choice` names the chart.
+
+    Every requested feature is analysed.  ``correlation`` needs two features
+    or more; of exactly two it also draws a repeatable sample of 200 points
+    (with ``key``).  ``risk_breakdown`` explains the rows of ``applicants`` (a
+    frame with ``key``) by ``model``; its chart has one row per applicant and
+    factor, strongest first.  ``percentile`` places every value of the
+    applicants among all non-null values.  An id that ``df`` lacks has no row.
+    """
     feats = list(features)
+    if analysis_type in ("risk_breakdown", "percentile") and (key is None or applicants is None):
+        raise ValueError(f"{analysis_type} needs applicants and their key")
     if analysis_type == "distribution":
         if compare_groups:
             stats = group_stats(df, feats, compare_groups)
@@ -355,14 +426,37 @@ def analyze(analysis_type: str, df: DataFrame, features: Sequence[str], *, label
     if analysis_type == "comparison":
         return {"statistics": group_stats(df, feats, compare_groups or label)}
     if analysis_type == "correlation":
-        return {"statistics": correlation_matrix(df, feats).withColumn("insight", correlation_insight(F.col("corr")))}
+        if len(feats) < 2:
+            raise ValueError("correlation needs two features or more")
+        matrix = correlation_matrix(df, feats).withColumn("insight", correlation_insight(F.col("corr")))
+        if len(feats) > 2 or key is None:
+            return {"statistics": matrix}
+        x, y = (F.col(f"`{f}`") for f in feats)
+        points = repeatable_sample(df.where(x.isNotNull() & y.isNotNull()), key)
+        return {"statistics": matrix, "chart_data": points.select(key, x.alias("x"), y.alias("y"))}
     if analysis_type == "trend":
         return {"chart_data": per_feature({f: trend(df, ts, f, series=compare_groups).withColumnRenamed(f, "value")
                                            for f in feats})}
     if analysis_type == "composition":
         return {"chart_data": per_feature({f: composition(df.withColumn(f, F.col(f).cast("string")), f)
                                            .withColumnRenamed(f, "category") for f in feats})}
-    if analysis_type in ("risk_breakdown", "population_comparison"):
+    if analysis_type == "risk_breakdown":
+        if model is None:
+            raise ValueError("risk_breakdown needs a model")
+        rows = df.join(applicants.select(key).distinct(), key, "left_semi")
+        means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats]).first()
+        told = explanation_text(explain(contributions(
+            model, rows, feats, keep=[key], means={f: means[f] or 0.0 for f in feats}), feats, keep=[key], top_n=len(feats)))
+        factors = told.select(key, F.posexplode("top_contributions").alias("place", "c"))
+        return {"statistics": told, "chart_data": factors.select(
+            key, (F.col("place") + 1).alias("rank"), "c.feature", "c.value", "c.impact", "c.impact_logodds",
+            F.when(F.col("c.impact") > 0, "increases risk").otherwise("decreases risk").alias("direction"))}
+    if analysis_type == "percentile":
+        wide = df.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
+        long = _long(wide, feats, [key]).where("value is not null")
+        ranked = percent_rank_le(long, "value", by=["feature"], out="percentile")
+        return {"statistics": ranked.join(applicants.select(key).distinct(), key, "left_semi")}
+    if analysis_type == "population_comparison":
         return {"statistics": correlation_with_label(df, feats, label)}
     raise ValueError(f"unknown analysis type {analysis_type!r}; one of {ANALYSIS_TYPES}")
 

@@ -44,6 +44,16 @@ def linear_contributions(model, df: DataFrame, features: Sequence[str], *, keep:
     return out.withColumn("margin", margin)
 
 
+def contributions(model, df: DataFrame, features: Sequence[str], *, keep: Sequence[str] = (),
+                  means: dict[str, float] | None = None) -> DataFrame:
+    """M11 for whichever model: :func:`linear_contributions` for one with
+    coefficients (``means`` is its background), else :func:`tree_contributions`."""
+    fitted = model.stages[-1] if hasattr(model, "stages") else model
+    if hasattr(fitted, "coefficients"):
+        return linear_contributions(model, df, features, keep=keep, means=means)
+    return tree_contributions(model, df, features, keep=keep)
+
+
 def explain(contribs: DataFrame, features: Sequence[str], *, keep: Sequence[str] = (), top_n: int = 20,
             top_side: int = 5) -> DataFrame:
     """Per row: base probability, probability, the top-n features by

@@ -184,6 +184,39 @@ def logistic(features: Sequence[str], label: str, *, weight: str | None = None,
     return _pipeline(features, clf)
 
 
+def optimality(model, df: DataFrame, features: Sequence[str], label: str, *, weight: str | None = None,
+               reg: float = 0.0, tolerance: float = 1e-3) -> DataFrame:
+    """M1: certificate of a fitted logistic model: per term its coefficient,
+    the gradient of the weighted loss (mean over the weights, features in units of
+    their standard deviation, ridge ``reg`` as the solver scales it) and whether it is within ``tolerance``.
+
+    The loss is convex, so a gradient of zero is the optimum.  One aggregate
+    for the deviations and one for the gradient, whatever the number of rows;
+    a constant feature has no gradient.  Rows with a null label are left out.
+    """
+    lr = model.stages[-1] if hasattr(model, "stages") else model
+    coef = [float(c) for c in lr.coefficients]
+    rows = df.where(F.col(f"`{label}`").isNotNull()).select(
+        F.col(f"`{label}`").cast("double").alias("y"), (F.col(f"`{weight}`") if weight else F.lit(1.0)).cast("double").alias("w"),
+        *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    margin = F.lit(float(lr.intercept))
+    for i, c in enumerate(coef):
+        margin = margin + F.lit(c) * F.col(f"x{i}")
+    off = F.col("w") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("y"))
+    total, n = F.sum("w"), range(len(coef))
+    # deviations over the weighted rows, as the solver standardizes
+    spread = rows.agg(*[F.try_divide(F.sum(F.col("w") * F.col(f"x{i}")), total).alias(f"m{i}") for i in n])
+    sums = with_scalars(rows, spread).agg(
+        F.try_divide(F.sum(off), total).alias("g"),
+        *[F.try_divide(F.sum(off * (F.col(f"x{i}") - F.col(f"m{i}"))), total).alias(f"g{i}") for i in n],
+        *[F.sqrt(F.try_divide(F.sum(F.col("w") * (F.col(f"x{i}") - F.col(f"m{i}")) ** 2), total)).alias(f"s{i}") for i in n])
+    terms = [F.struct(F.lit("(intercept)").alias("term"), F.lit(float(lr.intercept)).alias("coefficient"), F.col("g").alias("gradient"))]
+    terms += [F.struct(F.lit(f).alias("term"), F.lit(c).alias("coefficient"), F.coalesce(
+        F.try_divide(F.col(f"g{i}"), F.col(f"s{i}")) + F.lit(reg * c) * F.col(f"s{i}"), F.lit(0.0)).alias("gradient"))
+        for i, (f, c) in enumerate(zip(features, coef))]
+    return sums.select(F.inline(F.array(*terms))).withColumn("optimal", F.abs("gradient") <= F.lit(tolerance))
+
+
 def random_forest(features: Sequence[str], label: str, *, weight: str | None = None, trees: int = 100,
                   depth: int = 10, seed: int = 42) -> Pipeline:
     """M2: random forest (100 trees, depth 10)."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import risk_band3, risk_band4, risk_class, stub_score
+from .explain import contributions, explain, explanation_text
 from .store import FeatureView, lookup
 
 
@@ -103,11 +104,18 @@ def score_by_id(model, snapshot: DataFrame, ids: DataFrame, view: FeatureView, *
 
 def what_if(model, scenarios: DataFrame, names: Sequence[str], *, medians: Mapping[str, float] | None = None,
             features_col: str = "features_map", name_col: str = "name",
-            median_flag: str = "fill_missing_with_median") -> DataFrame:
+            median_flag: str = "fill_missing_with_median", explained: bool = False, top_n: int = 5,
+            means: Mapping[str, float] | None = None) -> DataFrame:
     """Score scenario rows given as maps; absent features are 0.0, or the
     population median when the row's flag asks for it (the source accepted
     the flag but ignored it; here it is honoured).  Reports how many values
-    were given and how many were filled."""
+    were given and how many were filled.
+
+    ``explained`` adds the scenario's own explanation (M11, M12): the ``top_n``
+    contributions as rank, feature, filled-in value and impact, the base
+    probability and a sentence, over the values that were scored.  A linear
+    model is compared with ``means`` (default: the scenarios' own).  Names need not be unique.
+    """
     medians = dict(medians or {})
     given = F.size(F.map_keys(F.col(features_col)))
     n_required = len(names)
@@ -123,10 +131,16 @@ def what_if(model, scenarios: DataFrame, names: Sequence[str], *, medians: Mappi
                          (F.lit(n_required) - provided_known).alias("n_filled"), *exprs)
     scored = model.transform(_model_input(model, x, names))
     p = positive_probability()
-    return scored.select(name_col, "n_provided", "n_filled", p.alias("probability")).withColumns({
-        "prediction": F.when(F.col("probability") > 0.5, "High Risk").otherwise("Low Risk"),
-        "risk_level": risk_band3("probability"),
-    })
+    out = ["probability", "prediction", "risk_level"]
+    classes = {"probability": p, "prediction": F.when(p > 0.5, "High Risk").otherwise("Low Risk"), "risk_level": risk_band3(p)}
+    if not explained:
+        return scored.select(name_col, "n_provided", "n_filled", *[classes[c].alias(c) for c in out])
+    # the scores ride along through the explanation: no join by name
+    head = [name_col, "n_provided", "n_filled", *out]
+    rows = scored.select(name_col, "n_provided", "n_filled", *[classes[c].alias(c) for c in out], *names)
+    parts = explanation_text(explain(contributions(model, rows, names, keep=head, means=means and dict(means)), names,
+                                     keep=[c for c in head if c != "probability"], top_n=top_n))
+    return parts.select(*head, "base_probability", "top_contributions", "explanation")
 
 
 def human_scenario(df: DataFrame, *, income="income", credit_amount="credit_amount", age="age",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    applicant_matrix, boosting, children, cleaning, loading, models, neighbours, presets, profiling, rows, store)
+    applicant_matrix, boosting, children, cleaning, loading, models, neighbours, presets, profiling, reports, rows, store)
 from .registry import REGISTRY, Query
 
 

@@ -301,11 +301,14 @@ def _li_paid(spark, sf_dir):
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
 
 
-@register("a25_corr_matrix", "\nUNION ALL\n".join(
+a25_sql = "\nUNION ALL\n".join(
     [f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, "
      f"round(coalesce({_sql_corr(a, b)}, 0.0), 3) + 0.0 AS corr FROM {LI_PAID}"  # -0.0 -> 0.0
      for a in MATRIX_COLS for b in MATRIX_COLS if a != b]
-    + [f"SELECT '{a}', '{a}', 1.0::DOUBLE" for a in MATRIX_COLS]), "A25")
+    + [f"SELECT '{a}', '{a}', 1.0::DOUBLE" for a in MATRIX_COLS])
+
+
+@register("a25_corr_matrix", a25_sql, "A25")
 def a25_corr_matrix(spark, sf_dir):
     return an.correlation_matrix(_li_paid(spark, sf_dir), MATRIX_COLS, digits=3)
 

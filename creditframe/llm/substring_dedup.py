@@ -14,16 +14,25 @@ windows (strings of ``SPAN`` bytes) are first brought together by content:
   of every anchor, made by linear grouping (``suffix_groups``), bring equal
   windows side by side; the earliest of a run stays, the others are reported
   as ranges of their document;
-* an anchor with too many contexts for one string is halved by the place of
-  the anchor in the window and regrouped by the bytes that such windows share,
-  as often as needed: no group grows with the corpus.
+* packs tell the shards how many contexts an anchor has.  The contexts of a
+  *hot* anchor (more than ``HOT``, as of a line that many documents share)
+  never meet in one task: every pack halves them by the place of the anchor in
+  the window, and the halves go on under the hash of the bytes that all such
+  windows share, which is another shard for each text around the anchor.  A
+  half that is hot again is halved again in another round over the packs that
+  hold hot ones, until a unit is one window (six rounds at most); without hot
+  anchors there is no such round.  Units of one window are equal texts, of which
+  a pack sends one;
+* what one task holds of an anchor is halved in the same way in memory where
+  it is too much for one string.
 
 Ranges return to the packs, which cut the texts.
 
-Order is that of (id, start); rows that share an id are ordered by pack.
+Order is that of (id, start); rows that share an id are ordered by their place
+in a pack, packs by a hash of their ids and texts.  Ids are integers.
 Edge cases: null text is empty; texts below ``SPAN`` bytes keep everything;
 null ids come first; of equal rows one keeps its text; an empty table gives an
-empty result; other columns are carried by ``dedupe`` only if named in ``keys``.
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +44,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +62,10 @@ STRING = 4096
 #: Symbols of strings that are sorted side by side.
 BATCH = 2 << 20
 SHARD_BYTES = 48 << 20
+#: Contexts of one anchor in all packs together beyond which they are halved before they are sent.
+HOT = 50_000
+#: Halvings after which a unit is one window.
+ROUNDS = (SPAN - GRAM).bit_length()
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -225,6 +239,11 @@ def _settle(groups, out: np.ndarray) -> None:
             out[t:t + u[1]] = owner[b:b + u[1]]
 
 
+def _pack_name(ids: list, data: bytes) -> str:
+    """Packs sort by what they hold; equal packs stay apart."""
+    return hashlib.md5(repr(ids).encode() + data).hexdigest() + uuid.uuid4().hex
+
+
 def _pack_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -237,7 +256,7 @@ def _pack_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
                 if i < j:
                     data = b"".join(t or b"" for t in texts[i:j])
                     yield pa.RecordBatch.from_pydict({
-                        "pack": [uuid.uuid4().hex], "ids": pa.array([ids[i:j]], pa.list_(pa.int64())),
+                        "pack": [_pack_name(ids[i:j], data)], "ids": pa.array([ids[i:j]], pa.list_(pa.int64())),
                         "sizes": pa.array([[len(t or b"") for t in texts[i:j]]], pa.list_(pa.int64())),
                         "n": pa.array([len(data)], pa.int64()),
                         "data": [pa.compress(data, "zstd", asbytes=True)]})
@@ -255,62 +274,124 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(anchor) % _U(shards)).astype(np.int64)
 
 
-def _repeated(packed: DataFrame, shards: int) -> DataFrame:
-    """(pack, shard, n, hits): of the pack's distinct anchors in the shard, in
-    order, which occur in another pack."""
-    def ask(batches):
+def _followed(r: dict, replies: list[dict], shards: int):
+    """(data, starts, ends, key, first window, windows, anchor place, level,
+    meets) of the pack's contexts after the rounds it had replies in: hot
+    ones are replaced by their halves, of the next level; ``meets`` tells which occur
+    more than once.
+
+    The place of the anchor in the windows of a unit lies within low .. high; the
+    key of a half is the hash of the bytes that all windows with such places share."""
+    data, starts, ends = _open(r)
+    key, first, windows, place = contexts(np.frombuffer(data, np.uint8), starts, ends)
+    low, high = np.zeros(len(key), np.int64), np.full(len(key), SPAN - GRAM, np.int64)
+    level, meets = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    for now in range(ROUNDS + 1):
+        told = [a for a in replies if a["level"] == now]
+        if not told:
+            break
+        new = level == now
+        dealt = _dealt(np.unique(key[new]), shards)
+        is_hit, is_hot = (np.concatenate([dealt[a["shard"]][np.unpackbits(np.frombuffer(a[name], np.uint8))[:a["n"]] == 1]
+                                          for a in told]) for name in ("hits", "hot"))
+        meets |= new & np.isin(key, is_hit)
+        split = new & np.isin(key, is_hot) & (high > low) if len(is_hot) else np.zeros(len(key), bool)
+        x = np.flatnonzero(split)
+        if not len(x):
+            break
+        middle = (low[x] + high[x]) // 2
+        parts = [[v[~split] for v in (key, first, windows, place, low, high, level, meets)]]
+        for lo, hi in ((low[x], middle), (middle + 1, high[x])):
+            # the windows w with lo <= place - w <= hi
+            w0, w1 = np.maximum(first[x], place[x] - hi), np.minimum(first[x] + windows[x] - 1, place[x] - lo)
+            some = w0 <= w1
+            w0, n, at, lo, hi = w0[some], (w1 - w0 + 1)[some], place[x][some], lo[some], hi[some]
+            hashed = [xxhash.xxh64_intdigest(data[a:b], seed) for a, b, seed in zip(
+                (at - lo).tolist(), (at - hi + SPAN).tolist(), (lo * SPAN + hi).tolist())]
+            parts.append([np.array(hashed, _U), w0, n, at, lo, hi, np.full(len(at), now + 1), np.zeros(len(at), bool)])
+        key, first, windows, place, low, high, level, meets = map(np.concatenate, zip(*parts))
+    return data, starts, ends, key, first, windows, place, level, meets
+
+
+def _dealt(keys: np.ndarray, shards: int) -> dict[int, np.ndarray]:
+    """Sorted distinct keys by shard."""
+    to = _shard(keys, shards)
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(shards + 1))
+    return {s: keys[order[edges[s]:edges[s + 1]]] for s in range(shards) if edges[s] < edges[s + 1]}
+
+
+def _replies(packed: DataFrame, shards: int, hot: int) -> DataFrame:
+    """(pack, shard, level, n, hits, hot, n_hot): of the pack's distinct keys of a
+    level in the shard, in order, which occur more than once, and which are hot."""
+    def questions(r, level, key):
+        keys, times = np.unique(key, return_counts=True)
+        for s, mine in _dealt(keys, shards).items():
+            yield {"shard": s, "level": level, "pack": r["pack"], "n": len(mine), "keys": _z(np.diff(mine, prepend=_U(0))),
+                   "times": _z(times[np.searchsorted(keys, mine)].astype(np.uint32))}
+
+    asks = pa.schema([("shard", pa.int32()), ("level", pa.int32()), ("pack", pa.string()), ("n", pa.int64()),
+                      ("keys", pa.binary()), ("times", pa.binary())])
+    shape = "shard int, level int, pack string, n long, keys binary, times binary"
+
+    def first(batches):
         for b in batches:
             for r in b.to_pylist():
                 data, starts, ends = _open(r)
-                anchors = np.unique(contexts(np.frombuffer(data, np.uint8), starts, ends)[0])
-                to = _shard(anchors, shards)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(shards + 1))
-                for s in range(shards):
-                    mine = anchors[order[edges[s]:edges[s + 1]]]
-                    if len(mine):
-                        yield pa.RecordBatch.from_pydict({
-                            "shard": pa.array([s], pa.int32()), "pack": [r["pack"]], "n": pa.array([len(mine)], pa.int64()),
-                            "anchors": [_z(np.diff(mine, prepend=_U(0)))]})
+                for q in questions(r, 0, contexts(np.frombuffer(data, np.uint8), starts, ends)[0]):
+                    yield pa.RecordBatch.from_pylist([q], asks)
+
+    def again(key, left, right):
+        r, told = left.to_pylist(), right.to_pylist()
+        if not told:
+            return asks.empty_table()
+        level = 1 + max(a["level"] for a in told)
+        _, _, _, keys, _, _, _, at, _ = _followed(r[0], told, shards)
+        return pa.Table.from_pylist(list(questions(r[0], level, keys[at == level])), asks)
 
     def answer(key, table):
         rows = table.to_pylist()
-        each = [np.cumsum(_unz(r["anchors"], r["n"], _U)) for r in rows]
-        _, where, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        hits = np.split(times[where] > 1, np.cumsum([len(x) for x in each])[:-1])
+        each = [np.cumsum(_unz(r["keys"], r["n"], _U)) for r in rows]
+        times = [_unz(r["times"], r["n"], np.uint32).astype(np.int64) for r in rows]
+        _, where = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(where, np.concatenate(times))[where]
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        many = np.split(total > hot, cuts)
         return pa.Table.from_pydict({
             "pack": [r["pack"] for r in rows], "shard": pa.array([r["shard"] for r in rows], pa.int32()),
-            "n": pa.array([r["n"] for r in rows], pa.int64()), "hits": [np.packbits(h).tobytes() for h in hits]})
-
-    asked = packed.select("pack", "sizes", "n", "data").mapInArrow(ask, "shard int, pack string, n long, anchors binary")
-    return asked.groupBy("shard").applyInArrow(answer, "pack string, shard int, n long, hits binary")
+            "level": pa.array([r["level"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()),
+            "hits": [np.packbits(h).tobytes() for h in np.split(total > 1, cuts)],
+            "hot": [np.packbits(h).tobytes() for h in many], "n_hot": pa.array([int(h.sum()) for h in many], pa.int64())})
+
+    answers = "pack string, shard int, level int, n long, hits binary, hot binary, n_hot long"
+    read = packed.select("pack", "sizes", "n", "data")
+    replies = asked = None
+    for level in range(ROUNDS + 1):
+        if level:
+            hot_packs = asked.where("n_hot > 0").select("pack").distinct()
+            if hot_packs.isEmpty():
+                break
+            questions_again = read.join(hot_packs, "pack", "left_semi").groupBy("pack").cogroup(
+                replies.join(hot_packs, "pack", "left_semi").groupBy("pack")).applyInArrow(again, shape)
+        asked = (questions_again if level else read.mapInArrow(first, shape)).groupBy("shard").applyInArrow(answer, answers)
+        asked = written(asked, "substring-anchors")
+        replies = asked if replies is None else replies.unionByName(asked)
+    return replies
 
 
 _PARTS = ("anchor", "size", "text", "place", "id", "doc", "start")
 
 
-def ranges(packed: DataFrame, shards: int) -> DataFrame:
+def ranges(packed: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
     """(pack, n, doc, start, windows): windows that also start earlier."""
-    replies = written(_repeated(packed, shards), "substring-anchors")
+    replies = _replies(packed, shards, hot)
 
     def ask(key, left, right):
         r = left.to_pylist()[0]
-        data, starts, ends = _open(r)
-        anchor, first, windows, place = contexts(np.frombuffer(data, np.uint8), starts, ends)
+        data, starts, ends, anchor, first, windows, place, _, meets = _followed(r, right.to_pylist(), shards)
         out = []
         if len(anchor):
-            distinct = np.unique(anchor)
-            to = _shard(distinct, shards)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(shards + 1))
-            wanted = np.zeros(len(distinct), bool)
-            for a in right.to_pylist():
-                s = a["shard"]
-                wanted[order[edges[s]:edges[s + 1]]] = np.unpackbits(np.frombuffer(a["hits"], np.uint8))[:a["n"]] == 1
-            where = np.searchsorted(distinct, anchor)
-            # an anchor seen twice in the pack needs its contexts as well
-            wanted |= np.bincount(where, minlength=len(distinct)) > 1
-            keep = np.flatnonzero(wanted[where])
+            keep = np.flatnonzero(meets)
             doc = np.searchsorted(ends, first[keep], side="right")
             ids = np.array([np.iinfo(np.int64).min if i is None else i for i in r["ids"]], np.int64)
             # equal contexts of the pack meet; the earliest goes on
@@ -417,14 +498,15 @@ def ranges(packed: DataFrame, shards: int) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int | None = None,
-           with_text: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) per row."""
+           with_text: bool = True, hot: int = HOT) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) per row.
+    ``hot``: contexts of one anchor beyond which they are halved before they are sent."""
     spark = docs.sparkSession
     packed = written(_pack_rows(docs, id, text), "substring-packs")
     if shards is None:
         total = packed.agg(F.sum("n")).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / SHARD_BYTES))
-    found = written(ranges(packed, shards), "substring-ranges")
+    found = written(ranges(packed, shards, hot), "substring-ranges")
 
     def cut(key, left, right):
         r = left.to_pylist()[0]

@@ -141,6 +141,37 @@ def test_substrings(spark, monkeypatch, limits):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: tuple(r)[1:5] for r in substring_dedup.dedupe(df, with_text=False, shards=3).collect()}
     assert got == substrings_brute(rows)
+    for hot in (2, 9):
+        again = substring_dedup.dedupe(df, with_text=False, shards=3, hot=hot).collect()
+        assert {r.doc_id: tuple(r)[1:5] for r in again} == got
+
+
+@pytest.mark.parametrize("n_line", [45, 60, 99])
+def test_a_line_of_every_document_meets_in_many_groups(spark, monkeypatch, n_line):
+    monkeypatch.setattr(substring_dedup, "PACK", 6000)
+    rng = random.Random(n_line)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line, tails = word(n_line), [word(70) for _ in range(6)]
+    rows = [(i, word(90) + line + (word(90) if i % 3 else rng.choice(tails))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:5] for r in substring_dedup.dedupe(df, with_text=False, shards=4, hot=10).collect()}
+    assert got == substrings_brute(rows)
+    assert sum(r[1] > 0 for r in got.values()) > 50
+    # what the shards would hold of one key
+    packed = substring_dedup.written(substring_dedup._pack_rows(df, "doc_id", "text"), "test-packs")
+    largest = {}
+    for hot in (10**9, 10):
+        told = {}
+        for a in substring_dedup._replies(packed, 4, hot).collect():
+            told.setdefault(a.pack, []).append(a.asDict())
+        held = {}
+        for r in packed.collect():
+            data, _, _, key, first, windows, _, _, meets = substring_dedup._followed(r.asDict(), told[r.pack], 4)
+            for k, a, n in set(zip(key[meets].tolist(), first[meets].tolist(), windows[meets].tolist())):
+                held.setdefault(k, set()).add((r.pack, data[a:a + n + substring_dedup.SPAN - 1]))
+        largest[hot] = max(map(len, held.values()))
+    # at most that many, or the one text of a window from every pack
+    assert largest[10] <= max(10, packed.count()) and largest[10**9] > (15 if n_line < 60 else 60)
 
 
 def test_substring_spans_and_edges(spark, docs, odd):
@@ -150,6 +181,15 @@ def test_substring_spans_and_edges(spark, docs, odd):
     assert got == [(0, 0, 0, b""), (0, 300, 299, b"a"), (1, 300, 300, b""), (1, 300, 300, b""), (2, 0, 0, b"")]
     assert substring_dedup.dedupe(odd).count() == odd.count()
     assert substring_dedup.dedupe(docs.limit(0)).count() == 0
+    names = spark.createDataFrame([(1, "a" * 150, 1, 2, 3)], "doc_id long, text string, pack int, `a.b` int, n int")
+    assert [r.n_removed for r in substring_dedup.dedupe(names).collect()] == [149]
+
+
+def test_rows_that_share_an_id_keep_their_order(spark):
+    rows = [(7, "a" * 120), (7, "b" * 50 + "a" * 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "text")
+    runs = [sorted((r.n_bytes, r.n_removed) for r in substring_dedup.dedupe(df).collect()) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
 
 
 def test_elias_fano_and_trie():

@@ -14,15 +14,14 @@ windows (strings of ``SPAN`` bytes) are first brought together by content:
   of every anchor, made by linear grouping (``suffix_groups``), bring equal
   windows side by side; the earliest of a run stays, the others are reported
   as ranges of their document;
-* packs tell the shards how many contexts an anchor has.  The contexts of a
-  *hot* anchor (more than ``HOT``, as of a line that many documents share)
-  never meet in one task: every pack halves them by the place of the anchor in
-  the window, and the halves go on under the hash of the bytes that all such
-  windows share, which is another shard for each text around the anchor.  A
-  half that is hot again is halved again in another round over the packs that
-  hold hot ones, until a unit is one window (six rounds at most); without hot
-  anchors there is no such round.  Units of one window are equal texts, of which
-  a pack sends one;
+* packs tell the shards how many different contexts an anchor has.  Those of
+  a *hot* anchor (more than ``HOT``, as of a line that many documents share)
+  never meet in one task: they are written as a table of units, which is halved by
+  the place of the anchor in the window; the halves go on under the hash of the bytes
+  that all such windows share, which is another shard for each text around the
+  anchor.  What is still hot is halved again until a unit is one window (``ROUNDS``
+  at most).  Equal units of a pack collapse each time, so units of one window are one
+  row a pack.  Without hot anchors there is no such table;
 * what one task holds of an anchor is halved in the same way in memory where
   it is too much for one string.
 
@@ -39,13 +38,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 from itertools import groupby
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_worker, written
@@ -62,8 +62,8 @@ STRING = 4096
 #: Symbols of strings that are sorted side by side.
 BATCH = 2 << 20
 SHARD_BYTES = 48 << 20
-#: Contexts of one anchor in all packs together beyond which they are halved before they are sent.
-HOT = 50_000
+#: Different contexts of one anchor, summed over packs, beyond which they are halved before they are sent.
+HOT = 200_000
 #: Halvings after which a unit is one window.
 ROUNDS = (SPAN - GRAM).bit_length()
 
@@ -87,8 +87,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, windows, anchor place) of every context of
-    the documents ``data[starts:ends]``; places are positions in ``data``."""
+    """(anchor hash, first window, windows, anchor place, hash of the bytes) of every
+    context of the documents ``data[starts:ends]``; places are positions in ``data``."""
     parts = []
     for a, b, docs in _stretches(starts, ends):
         piece = data[a:b]
@@ -115,9 +115,11 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         anchor = (least[window] & places).astype(np.int64)
         e = _edges(anchor, owner)
         first = window[e]
-        parts.append((h[anchor[e]], first + a, np.diff(np.append(e, len(window))), anchor[e] + a))
+        windows = np.diff(np.append(e, len(window)))
+        held = (total[first + windows + SPAN - 1] - total[first]) * inverse[first]
+        parts.append((h[anchor[e]], first + a, windows, anchor[e] + a, held))
     if not parts:
-        return np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
+        return np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3, np.zeros(0, _U)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -274,45 +276,6 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(anchor) % _U(shards)).astype(np.int64)
 
 
-def _followed(r: dict, replies: list[dict], shards: int):
-    """(data, starts, ends, key, first window, windows, anchor place, level,
-    meets) of the pack's contexts after the rounds it had replies in: hot
-    ones are replaced by their halves, of the next level; ``meets`` tells which occur
-    more than once.
-
-    The place of the anchor in the windows of a unit lies within low .. high; the
-    key of a half is the hash of the bytes that all windows with such places share."""
-    data, starts, ends = _open(r)
-    key, first, windows, place = contexts(np.frombuffer(data, np.uint8), starts, ends)
-    low, high = np.zeros(len(key), np.int64), np.full(len(key), SPAN - GRAM, np.int64)
-    level, meets = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    for now in range(ROUNDS + 1):
-        told = [a for a in replies if a["level"] == now]
-        if not told:
-            break
-        new = level == now
-        dealt = _dealt(np.unique(key[new]), shards)
-        is_hit, is_hot = (np.concatenate([dealt[a["shard"]][np.unpackbits(np.frombuffer(a[name], np.uint8))[:a["n"]] == 1]
-                                          for a in told]) for name in ("hits", "hot"))
-        meets |= new & np.isin(key, is_hit)
-        split = new & np.isin(key, is_hot) & (high > low) if len(is_hot) else np.zeros(len(key), bool)
-        x = np.flatnonzero(split)
-        if not len(x):
-            break
-        middle = (low[x] + high[x]) // 2
-        parts = [[v[~split] for v in (key, first, windows, place, low, high, level, meets)]]
-        for lo, hi in ((low[x], middle), (middle + 1, high[x])):
-            # the windows w with lo <= place - w <= hi
-            w0, w1 = np.maximum(first[x], place[x] - hi), np.minimum(first[x] + windows[x] - 1, place[x] - lo)
-            some = w0 <= w1
-            w0, n, at, lo, hi = w0[some], (w1 - w0 + 1)[some], place[x][some], lo[some], hi[some]
-            hashed = [xxhash.xxh64_intdigest(data[a:b], seed) for a, b, seed in zip(
-                (at - lo).tolist(), (at - hi + SPAN).tolist(), (lo * SPAN + hi).tolist())]
-            parts.append([np.array(hashed, _U), w0, n, at, lo, hi, np.full(len(at), now + 1), np.zeros(len(at), bool)])
-        key, first, windows, place, low, high, level, meets = map(np.concatenate, zip(*parts))
-    return data, starts, ends, key, first, windows, place, level, meets
-
-
 def _dealt(keys: np.ndarray, shards: int) -> dict[int, np.ndarray]:
     """Sorted distinct keys by shard."""
     to = _shard(keys, shards)
@@ -322,61 +285,146 @@ def _dealt(keys: np.ndarray, shards: int) -> dict[int, np.ndarray]:
 
 
 def _replies(packed: DataFrame, shards: int, hot: int) -> DataFrame:
-    """(pack, shard, level, n, hits, hot, n_hot): of the pack's distinct keys of a
-    level in the shard, in order, which occur more than once, and which are hot."""
-    def questions(r, level, key):
-        keys, times = np.unique(key, return_counts=True)
-        for s, mine in _dealt(keys, shards).items():
-            yield {"shard": s, "level": level, "pack": r["pack"], "n": len(mine), "keys": _z(np.diff(mine, prepend=_U(0))),
-                   "times": _z(times[np.searchsorted(keys, mine)].astype(np.uint32))}
-
-    asks = pa.schema([("shard", pa.int32()), ("level", pa.int32()), ("pack", pa.string()), ("n", pa.int64()),
-                      ("keys", pa.binary()), ("times", pa.binary())])
-    shape = "shard int, level int, pack string, n long, keys binary, times binary"
-
-    def first(batches):
+    """(pack, shard, n, hits, hot, n_hot): of the pack's distinct anchors in the
+    shard, in order, which occur in another pack, and which are hot."""
+    asks = pa.schema([("shard", pa.int32()), ("pack", pa.string()), ("n", pa.int64()), ("anchors", pa.binary()),
+                      ("times", pa.binary())])
+
+    def ask(batches):
         for b in batches:
             for r in b.to_pylist():
                 data, starts, ends = _open(r)
-                for q in questions(r, 0, contexts(np.frombuffer(data, np.uint8), starts, ends)[0]):
-                    yield pa.RecordBatch.from_pylist([q], asks)
-
-    def again(key, left, right):
-        r, told = left.to_pylist(), right.to_pylist()
-        if not told:
-            return asks.empty_table()
-        level = 1 + max(a["level"] for a in told)
-        _, _, _, keys, _, _, _, at, _ = _followed(r[0], told, shards)
-        return pa.Table.from_pylist(list(questions(r[0], level, keys[at == level])), asks)
+                anchor, _, _, _, held = contexts(np.frombuffer(data, np.uint8), starts, ends)
+                by = np.lexsort((held, anchor))
+                anchor = anchor[by][_edges(anchor[by], held[by])] if len(by) else anchor
+                anchors, times = np.unique(anchor, return_counts=True)
+                for s, mine in _dealt(anchors, shards).items():
+                    yield pa.RecordBatch.from_pylist([{
+                        "shard": s, "pack": r["pack"], "n": len(mine), "anchors": _z(np.diff(mine, prepend=_U(0))),
+                        "times": _z(times[np.searchsorted(anchors, mine)].astype(np.uint32))}], asks)
 
     def answer(key, table):
         rows = table.to_pylist()
-        each = [np.cumsum(_unz(r["keys"], r["n"], _U)) for r in rows]
-        times = [_unz(r["times"], r["n"], np.uint32).astype(np.int64) for r in rows]
-        _, where = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(where, np.concatenate(times))[where]
+        each = [np.cumsum(_unz(r["anchors"], r["n"], _U)) for r in rows]
+        times = np.concatenate([_unz(r["times"], r["n"], np.uint32) for r in rows])
+        _, where, packs = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
         cuts = np.cumsum([len(x) for x in each])[:-1]
-        many = np.split(total > hot, cuts)
+        many = np.split((np.bincount(where, times) > hot)[where], cuts)
         return pa.Table.from_pydict({
             "pack": [r["pack"] for r in rows], "shard": pa.array([r["shard"] for r in rows], pa.int32()),
-            "level": pa.array([r["level"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()),
-            "hits": [np.packbits(h).tobytes() for h in np.split(total > 1, cuts)],
+            "n": pa.array([r["n"] for r in rows], pa.int64()),
+            "hits": [np.packbits(h).tobytes() for h in np.split(packs[where] > 1, cuts)],
             "hot": [np.packbits(h).tobytes() for h in many], "n_hot": pa.array([int(h.sum()) for h in many], pa.int64())})
 
-    answers = "pack string, shard int, level int, n long, hits binary, hot binary, n_hot long"
-    read = packed.select("pack", "sizes", "n", "data")
-    replies = asked = None
-    for level in range(ROUNDS + 1):
-        if level:
-            hot_packs = asked.where("n_hot > 0").select("pack").distinct()
-            if hot_packs.isEmpty():
-                break
-            questions_again = read.join(hot_packs, "pack", "left_semi").groupBy("pack").cogroup(
-                replies.join(hot_packs, "pack", "left_semi").groupBy("pack")).applyInArrow(again, shape)
-        asked = (questions_again if level else read.mapInArrow(first, shape)).groupBy("shard").applyInArrow(answer, answers)
-        asked = written(asked, "substring-anchors")
-        replies = asked if replies is None else replies.unionByName(asked)
-    return replies
+    asked = packed.select("pack", "sizes", "n", "data").mapInArrow(
+        ask, "shard int, pack string, n long, anchors binary, times binary")
+    return asked.groupBy("shard").applyInArrow(answer, "pack string, shard int, n long, hits binary, hot binary, n_hot long")
+
+
+def _collapsed(r: dict, replies: list[dict], shards: int):
+    """The contexts of a pack that others may share, in order of (anchor, id, place):
+    (anchor, start in the document, windows, anchor place in the context,
+    document, id, hot, sent, again, texts of sent): ``sent`` numbers the earliest of equal
+    ones, ``again`` the others."""
+    data, starts, ends = _open(r)
+    anchor, first, windows, place, _ = contexts(np.frombuffer(data, np.uint8), starts, ends)
+    distinct = np.unique(anchor)
+    dealt = _dealt(distinct, shards)
+    wanted, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    for a in replies:
+        at = np.searchsorted(distinct, dealt[a["shard"]])
+        for flags, name in ((wanted, "hits"), (hot, "hot")):
+            flags[at] = np.unpackbits(np.frombuffer(a[name], np.uint8))[:a["n"]] == 1
+    where = np.searchsorted(distinct, anchor)
+    # an anchor seen twice in the pack needs its contexts as well
+    wanted |= np.bincount(where, minlength=len(distinct)) > 1
+    keep = np.flatnonzero(wanted[where])
+    doc = np.searchsorted(ends, first[keep], side="right")
+    ids = np.array([np.iinfo(np.int64).min if i is None else i for i in r["ids"]], np.int64)
+    # equal contexts of the pack meet; the earliest goes on
+    by = keep[np.lexsort((place[keep], doc, ids[doc], anchor[keep]))]
+    first, windows, place, anchor, hot = first[by], windows[by], place[by], anchor[by], hot[where[by]]
+    doc = np.searchsorted(ends, first, side="right")
+    view = memoryview(data)
+    known: dict[tuple, int] = {}
+    sent, again, texts = [], [], []
+    for i, (h, f, n) in enumerate(zip(anchor.tolist(), first.tolist(), (windows + SPAN - 1).tolist())):
+        t = bytes(view[f:f + n])
+        if known.setdefault((h, t), i) == i:
+            sent.append(i)
+            texts.append(t)
+        else:
+            again.append(i)
+    start = first - starts[doc]
+    return (anchor, start, windows, place - first, doc, ids[doc], hot,
+            np.array(sent, np.int64), np.array(again, np.int64), texts)
+
+
+_UNIT = ("key long, low int, high int, pack string, id long, doc long, start long, windows int, place int, text binary")
+
+
+def _hot_units(packed: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
+    """(``_UNIT``) the contexts of hot anchors, one row each."""
+    shape = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("pack", pa.string()),
+                       ("id", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
+                       ("place", pa.int32()), ("text", pa.binary())])
+
+    def run(key, left, right):
+        r = left.to_pylist()[0]
+        anchor, start, windows, place, doc, ids, hot, sent, _, texts = _collapsed(r, right.to_pylist(), shards)
+        mine = np.flatnonzero(hot[sent])
+        x = sent[mine]
+        return pa.Table.from_pydict({
+            "key": anchor[x].view(np.int64), "low": np.zeros(len(x), np.int32), "high": np.full(len(x), SPAN - GRAM, np.int32),
+            "pack": [r["pack"]] * len(x), "id": ids[x], "doc": doc[x], "start": start[x], "windows": windows[x].astype(np.int32),
+            "place": place[x].astype(np.int32), "text": [texts[k] for k in mine.tolist()]}, shape)
+
+    # a pack with a hot anchor takes all its replies along
+    some = replies.where("n_hot > 0").select("pack").distinct()
+    return packed.join(some, "pack", "left_semi").groupBy("pack").cogroup(
+        replies.join(some, "pack", "left_semi").groupBy("pack")).applyInArrow(run, _UNIT)
+
+
+def _halved(units: DataFrame) -> DataFrame:
+    """Both halves of every unit, by the place of the anchor in the window."""
+    names = [f.split()[0] for f in _UNIT.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for u in b.to_pylist():
+                middle, place = (u["low"] + u["high"]) // 2, u["place"]
+                for low, high in ((u["low"], middle), (middle + 1, u["high"])):
+                    # the windows w with low <= place - w <= high
+                    w0, w1 = max(0, place - high), min(u["windows"] - 1, place - low)
+                    if low <= high and w0 <= w1:
+                        # all windows of such places hold these bytes
+                        core = xxhash.xxh64_intdigest(u["text"][place - low:place - high + SPAN], low * SPAN + high)
+                        out.append(u | {"key": core - (1 << 64) * (core >> 63), "low": low, "high": high, "place": place - w0,
+                                        "start": u["start"] + w0, "windows": w1 - w0 + 1, "text": u["text"][w0:w1 + SPAN]})
+            yield pa.RecordBatch.from_pylist(out, b.schema)
+
+    return units.select(*names).mapInArrow(run, _UNIT)
+
+
+def _spread(units: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(units, repeats): halves until no key has more than ``hot`` units or a unit
+    is one window; of equal units of a pack the earliest stays, the others are
+    repeats.  Keys that are hot are at most one in ``hot`` units."""
+    settled, repeats = [], []
+    for _ in range(ROUNDS):
+        keys = written(units.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"),
+                       "substring-hot")
+        if keys.isEmpty():
+            break
+        settled.append(units.join(keys, "key", "left_anti"))
+        same = Window.partitionBy("key", "pack", "text").orderBy("id", "doc", "start")
+        halves = written(_halved(units.join(keys, "key", "left_semi")).withColumn("nth", F.row_number().over(same)),
+                         "substring-halves")
+        repeats.append(halves.where("nth > 1").drop("nth"))
+        units = halves.where("nth = 1").drop("nth")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union([*settled, units]), union(repeats) if repeats else units.limit(0)
 
 
 _PARTS = ("anchor", "size", "text", "place", "id", "doc", "start")
@@ -384,57 +432,58 @@ _PARTS = ("anchor", "size", "text", "place", "id", "doc", "start")
 
 def ranges(packed: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
     """(pack, n, doc, start, windows): windows that also start earlier."""
-    replies = _replies(packed, shards, hot)
+    replies = written(_replies(packed, shards, hot), "substring-anchors")
+    packed = packed.select("pack", "ids", "sizes", "n", "data")
+    asks = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("repeat", pa.bool_()),
+                      *[(p, pa.binary()) for p in _PARTS]])
+
+    def repeated(pack, doc, start, windows):
+        shard = int(_mix(np.array([int(pack[:15], 16)]))[0] % _U(shards))
+        return {"pack": pack, "shard": shard, "n": len(doc), "repeat": True, "doc": _z(doc.astype(np.uint32)),
+                "start": _z(start.astype(np.uint32)), "size": _z(windows.astype(np.uint32))}
+
+    def sent_to(pack, shard, key, windows, texts, place, ids, doc, start):
+        return {"pack": pack, "shard": shard, "n": len(key), "repeat": False, "anchor": _z(np.diff(key, prepend=_U(0))),
+                "size": _z(windows.astype(np.uint32)), "text": pa.compress(b"".join(texts), "zstd", asbytes=True),
+                "place": _z(place.astype(np.uint32)), "id": _z(ids), "doc": _z(doc.astype(np.uint32)),
+                "start": _z(start.astype(np.uint32))}
 
     def ask(key, left, right):
         r = left.to_pylist()[0]
-        data, starts, ends, anchor, first, windows, place, _, meets = _followed(r, right.to_pylist(), shards)
-        out = []
-        if len(anchor):
-            keep = np.flatnonzero(meets)
-            doc = np.searchsorted(ends, first[keep], side="right")
-            ids = np.array([np.iinfo(np.int64).min if i is None else i for i in r["ids"]], np.int64)
-            # equal contexts of the pack meet; the earliest goes on
-            by = keep[np.lexsort((place[keep], doc, ids[doc], anchor[keep]))]
-            doc = np.searchsorted(ends, first[by], side="right")
-            length = windows[by] + SPAN - 1
-            view = memoryview(data)
-            known: dict[tuple, int] = {}
-            sent, again = [], []
-            texts = []
-            for i, (h, f, n) in enumerate(zip(anchor[by].tolist(), first[by].tolist(), length.tolist())):
-                t = bytes(view[f:f + n])
-                if known.setdefault((h, t), i) == i:
-                    sent.append(i)
-                    texts.append(t)
-                else:
-                    again.append(i)
-            if again:
-                x = np.array(again)
-                out.append({"shard": int(_mix(np.array([int(r["pack"][:15], 16)]))[0] % _U(shards)), "n": len(x),
-                            "repeat": True, "doc": _z(doc[x].astype(np.uint32)),
-                            "start": _z((first[by[x]] - starts[doc[x]]).astype(np.uint32)),
-                            "size": _z(windows[by[x]].astype(np.uint32))})
-            x = np.array(sent, np.int64)
-            to = _shard(anchor[by[x]], shards)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(shards + 1))
-            for s in range(shards):
-                y = order[edges[s]:edges[s + 1]]
-                if len(y):
-                    z = by[x[y]]
-                    d = doc[x[y]]
-                    out.append({"shard": s, "n": len(y), "repeat": False, "anchor": _z(np.diff(anchor[z], prepend=_U(0))),
-                                "size": _z(windows[z].astype(np.uint32)),
-                                "text": pa.compress(b"".join(texts[k] for k in y.tolist()), "zstd", asbytes=True),
-                                "place": _z((place[z] - first[z]).astype(np.uint32)), "id": _z(ids[d]),
-                                "doc": _z(d.astype(np.uint32)), "start": _z((first[z] - starts[d]).astype(np.uint32))})
-        return pa.Table.from_pylist([{"pack": r["pack"], **o} for o in out], asks)
-
-    asks = pa.schema([("pack", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("repeat", pa.bool_()),
-                      *[(p, pa.binary()) for p in _PARTS]])
-    asked = packed.select("pack", "ids", "sizes", "n", "data").groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
-        ask, f"pack string, shard int, n long, repeat boolean, {', '.join(p + ' binary' for p in _PARTS)}")
+        anchor, start, windows, place, doc, ids, is_hot, sent, again, texts = _collapsed(r, right.to_pylist(), shards)
+        out = [repeated(r["pack"], doc[again], start[again], windows[again])] if len(again) else []
+        cold = np.flatnonzero(~is_hot[sent])
+        to = _shard(anchor[sent[cold]], shards)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(shards + 1))
+        for s in range(shards):
+            y = cold[order[edges[s]:edges[s + 1]]]
+            if len(y):
+                z = sent[y]
+                out.append(sent_to(r["pack"], s, anchor[z], windows[z], [texts[k] for k in y.tolist()], place[z], ids[z],
+                                   doc[z], start[z]))
+        return pa.Table.from_pylist(out, asks)
+
+    def bundle(batches, again):
+        for b in batches:
+            rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "doc", "start", "windows", "place")}
+            keys, packs, texts = rows["key"].view(_U), b.column("pack").to_pylist(), b.column("text").to_pylist()
+            groups: dict[tuple, list] = {}
+            for i, k in enumerate(zip(packs, [0] * len(packs) if again else _shard(keys, shards).tolist())):
+                groups.setdefault(k, []).append(i)
+            out = []
+            for (pack, s), i in groups.items():
+                id, doc, start, windows, place = (rows[c][i] for c in ("id", "doc", "start", "windows", "place"))
+                out.append(repeated(pack, doc, start, windows) if again else sent_to(
+                    pack, s, keys[i], windows, [texts[k] for k in i], place, id, doc, start))
+            yield pa.RecordBatch.from_pylist(out, asks)
+
+    shape = f"pack string, shard int, n long, repeat boolean, {', '.join(p + ' binary' for p in _PARTS)}"
+    asked = packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(ask, shape)
+    if not replies.where("n_hot > 0").isEmpty():
+        units, repeats = _spread(written(_hot_units(packed, replies, shards), "substring-units"), hot)
+        asked = asked.unionByName(units.mapInArrow(lambda batches: bundle(batches, False), shape)).unionByName(
+            repeats.mapInArrow(lambda batches: bundle(batches, True), shape))
     answers = pa.schema([("pack", pa.string()), ("n", pa.int64()), ("doc", pa.binary()), ("start", pa.binary()),
                          ("windows", pa.binary())])
 
@@ -455,7 +504,9 @@ def ranges(packed: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
             text = pa.Array.from_buffers(pa.large_binary(), len(length), [
                 None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(data)])
             code = text.dictionary_encode().indices.to_numpy()
-            pack = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+            names = sorted({r["pack"] for r in rows})
+            number_of = {p: k for k, p in enumerate(names)}
+            pack = np.repeat([number_of[r["pack"]] for r in rows], [r["n"] for r in rows])
             # contexts of an anchor in order of occurrence; equal ones collapse
             by = np.lexsort((cols["start"] + place, cols["doc"], pack, cols["id"], anchor))
             same = np.lexsort((np.arange(len(by)), code[by], anchor[by]))
@@ -485,12 +536,12 @@ def ranges(packed: DataFrame, shards: int, hot: int = HOT) -> DataFrame:
                 src = by[row[e]]
                 to = pack[src]
                 o = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[o], np.arange(len(rows) + 1))
+                edges = np.searchsorted(to[o], np.arange(len(names) + 1))
                 doc, start = cols["doc"][src], cols["start"][src] + w[e]
-                for k, r in enumerate(rows):
+                for k, name in enumerate(names):
                     y = o[edges[k]:edges[k + 1]]
                     if len(y):
-                        out.append({"pack": r["pack"], "n": len(y), "doc": _z(doc[y].astype(np.uint32)),
+                        out.append({"pack": name, "n": len(y), "doc": _z(doc[y].astype(np.uint32)),
                                     "start": _z(start[y].astype(np.uint32)), "windows": _z(n[y].astype(np.uint32))})
         return pa.Table.from_pylist(out, answers)
 

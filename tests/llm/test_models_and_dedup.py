@@ -161,15 +161,13 @@ def test_a_line_of_every_document_meets_in_many_groups(spark, monkeypatch, n_lin
     packed = substring_dedup.written(substring_dedup._pack_rows(df, "doc_id", "text"), "test-packs")
     largest = {}
     for hot in (10**9, 10):
-        told = {}
-        for a in substring_dedup._replies(packed, 4, hot).collect():
-            told.setdefault(a.pack, []).append(a.asDict())
-        held = {}
-        for r in packed.collect():
-            data, _, _, key, first, windows, _, _, meets = substring_dedup._followed(r.asDict(), told[r.pack], 4)
-            for k, a, n in set(zip(key[meets].tolist(), first[meets].tolist(), windows[meets].tolist())):
-                held.setdefault(k, set()).add((r.pack, data[a:a + n + substring_dedup.SPAN - 1]))
-        largest[hot] = max(map(len, held.values()))
+        told = substring_dedup.written(substring_dedup._replies(packed, 4, 0), "test-replies")
+        units, repeats = substring_dedup._spread(substring_dedup.written(
+            substring_dedup._hot_units(packed, told, 4), "test-units"), hot)
+        largest[hot] = max(r["count"] for r in units.groupBy("key").count().collect())
+        # every window of the units is in one half
+        total = [u.agg({"windows": "sum"}).first()[0] or 0 for u in (units, repeats)]
+        assert sum(total) == largest.setdefault("windows", sum(total))
     # at most that many, or the one text of a window from every pack
     assert largest[10] <= max(10, packed.count()) and largest[10**9] > (15 if n_line < 60 else 60)
 

@@ -171,9 +171,25 @@ def class_weights(df: DataFrame, label: str, *, mode: str = "balanced", out: str
 
 
 # ------------------------------------------------------------------ models
+class _Pipeline(Pipeline):
+    """A pipeline whose models carry no training summary.
+
+    The summary of a logistic model or a forest holds the session, and is
+    shipped with every scoring task; a session in which an ``Observation`` was
+    used (``store.publish``) cannot be shipped.
+    """
+
+    def _fit(self, dataset: DataFrame):
+        model = super()._fit(dataset)
+        for stage in model.stages:
+            if getattr(stage, "hasSummary", False):
+                stage._java_obj.setSummary(dataset.sparkSession._jvm.scala.Option.empty())
+        return model
+
+
 def _pipeline(features: Sequence[str], clf) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
-                                            handleInvalid="keep"), clf])
+    return _Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
+                                             handleInvalid="keep"), clf])
 
 
 def logistic(features: Sequence[str], label: str, *, weight: str | None = None, max_iter: int = 2000,

@@ -113,3 +113,16 @@ def test_tree_shap_forest_sums_to_probability(spark, labelled):
     p = ml.predictions(model, labelled, "id", "y").select("id", F.col("probability").alias("p2"))
     got = explain(c, ["x1", "x2"], keep=["id"]).join(p, "id").select("probability", "p2").collect()
     assert all(abs(a - b) < 1e-6 for a, b in got)
+
+
+def test_models_score_in_a_session_that_observed(spark, labelled):
+    from pyspark.sql import Observation
+    from creditframe.operators.score import positive_probability
+    seen = Observation()
+    labelled.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 600
+    for pipeline in (ml.logistic(["x1", "x2"], "y", max_iter=5), ml.random_forest(["x1", "x2"], "y", trees=2, depth=2)):
+        # copies, as a search over parameters makes them, are no different
+        for fitted in (pipeline.fit(labelled), pipeline.copy().fit(labelled)):
+            p = [r.p for r in fitted.transform(labelled).select(positive_probability().alias("p")).collect()]
+            assert len(p) == 600 and all(0 <= v <= 1 for v in p)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, materialize
+from ..session import cut_lineage, materialize, spread
 from .clean import with_scalars
 from .ordered import join_null_safe, running_totals
 from .score import positive_probability
@@ -116,7 +116,9 @@ def _cut_by_hash(df: DataFrame, key: str, label: str, cuts_of: Callable[[int], l
         T.StructField("__y", fields["y"]), T.StructField("__cuts", T.ArrayType(T.StructType([
             T.StructField("h", T.LongType()), T.StructField("k", rows.schema["k"].dataType), T.StructField("into", T.LongType())])))]))
     placed = df.withColumn("__h", _key_hash(key, seed))
-    joined = placed.join(bounds, placed[f"`{label}`"].eqNullSafe(bounds["__y"]))
+    # the thresholds come from the driver and are sent to the rows: dealt by
+    # label, the rows of a label would meet in one task
+    joined = placed.join(F.broadcast(bounds), placed[f"`{label}`"].eqNullSafe(bounds["__y"]))
     k, h = F.col(f"`{key}`"), F.col("__h")
     behind = F.filter("__cuts", lambda c: (c["h"] < h) | ((c["h"] == h) & (
         F.coalesce(c["k"] < k, c["k"].isNull() & k.isNotNull()) | (c["k"].eqNullSafe(k) & (c["into"] == 0)))))
@@ -376,7 +378,8 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
     text = [f for f in features if both.schema[f].dataType.simpleString() == "string"]
     both = label_encode(both, text, null_token="nan") if text else both
     both = fill_constant(both, -999.0, list(features))
-    both = cut_lineage(stratified_split(both, key, "is_train", (0.7, 0.3), seed=seed))
+    both = materialize(both, "adversarial")
+    both = cut_lineage(spread(stratified_split(both, key, "is_train", (0.7, 0.3), seed=seed), both.count()))
     model = random_forest(features, "is_train", trees=trees, depth=6, seed=seed).fit(both.where("split = 0"))
     held = model.transform(both.where("split = 1")).withColumn("p", positive_probability())
     auc = auc_ap(held, "p", "is_train").select("auc")

@@ -71,7 +71,8 @@ def running_totals(df: DataFrame, order_col: str, weights: Sequence[str], *,
     probs = [i / buckets for i in range(1, buckets)]
     bounds_agg = F.percentile_approx(ordered, probs, max(accuracy, 20 * buckets)).alias("__bounds")
     if keys:
-        b = join_null_safe(df, df.groupBy(*keys).agg(bounds_agg), keys)
+        # written, so that the bounds of a few groups are known to be small
+        b = join_null_safe(df, materialize(df.groupBy(*keys).agg(bounds_agg), "bounds"), keys)
     else:
         b = with_scalars(df, df.agg(bounds_agg))
     place = F.coalesce(_n_below(F.col("__bounds"), ordered, buckets), F.lit(0))
@@ -183,7 +184,9 @@ def _bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float], b
     wide = df.select(*by, *[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
     # without groups the brackets are one row, read once and used as constants
     row = None if by else _narrowed(wide, df.agg(*stats).first().asDict(), qs, accuracy)
-    near = join_null_safe(wide, df.groupBy(*by).agg(*stats), by) if by else wide
+    # written, the brackets of a few groups are known to be small and meet the
+    # rows where they are; dealt by group, the rows of a group would meet in one task
+    near = join_null_safe(wide, materialize(df.groupBy(*by).agg(*stats), "brackets"), by) if by else wide
 
     def placed(i: int) -> Column:
         v = F.col(f"__x{i}")

@@ -95,3 +95,19 @@ def test_report_vs_population(spark):
     df = spark.createDataFrame([(1, 100.0), (2, 300.0)], "id long, inc double")
     r = A.report_vs_population(df, "id", spark.createDataFrame([(2,)], "id long"), ["inc"]).first()
     assert r["pct_of_avg"] == 150.0 and r["position"] == "above"
+
+
+def test_quantiles_of_few_groups_leave_rows_where_they_are(spark):
+    import io
+    from contextlib import redirect_stdout
+    from pyspark.sql import functions as F
+    from creditframe.operators.ordered import quantiles
+    df = spark.range(40_000, numPartitions=4).select(
+        F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("g"), (F.col("id") % 1000).cast("double").alias("v"))
+    out = quantiles(df, ["v"], [0.5], by=["g"])
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        out.explain()
+    # the rows meet the brackets of their group without being dealt by group
+    assert "SortMergeJoin" not in buf.getvalue() and "BroadcastHashJoin" in buf.getvalue()
+    assert {(r.g, r.q50) for r in out.collect()} == {(None, 500.0), (0, 498.0), (2, 500.0)}

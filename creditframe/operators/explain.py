@@ -11,7 +11,7 @@ step per leaf and batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import factorial, log
 
 import numpy as np
@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import impact_direction, impact_strength, logistic, pretty_name
+from ..session import materialize, spread
+
+#: Longest path (distinct features) of which every pattern is solved at once.
+TABLE_BITS = 8
 
 
 def linear_contributions(model, df: DataFrame, features: Sequence[str], *, keep: Sequence[str] = (),
@@ -173,6 +177,25 @@ def _path_shap(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
+def _solved(value: float, asked: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Attributions of a leaf of ``value``, one array a feature of its path, by
+    the numbers of patterns (bit i: interval i holds the row).  Short paths
+    have few patterns, all solved once; of longer ones those that occur are."""
+    m, share = len(asked), asked[:, 2]
+
+    def solve(patterns: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(value * _path_shap((patterns[:, None] >> np.arange(m) & 1).astype(float), share).T)
+
+    if m <= TABLE_BITS:
+        table = solve(np.arange(1 << m))
+        return lambda pattern: np.take(table, pattern, axis=1)
+
+    def met(pattern: np.ndarray) -> np.ndarray:
+        patterns, inverse = np.unique(pattern, return_inverse=True)
+        return solve(patterns)[:, inverse]
+    return met
+
+
 def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: Sequence[str] = ()) -> DataFrame:
     """M11 for tree ensembles: per-row path-dependent TreeSHAP, in the same
     column layout as :func:`linear_contributions` (``contrib__<f>``,
@@ -181,37 +204,41 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
     GBT attributions are in log-odds (exact: base + sum = the model's
     log-odds).  Forest attributions are in probability; they are mapped to
     log-odds space around the base for ranking and text.  The leaves' paths
-    are shipped with the function (bounded by the model); rows stream through
-    ``mapInPandas`` in Arrow batches, all rows of a batch per leaf at once.
+    are shipped with the function (bounded by the model); rows are written,
+    dealt evenly by their number, and stream through ``mapInPandas`` in Arrow
+    batches, all rows of a batch per leaf at once.
     """
     tables, weights, kind = forest_arrays(model)
-    leaves = [(w * v, f, b) for t, w in zip(tables, weights) for v, f, b in _leaf_paths(t) if f]
+    leaves = [(f, b, _solved(w * v, b)) for t, w in zip(tables, weights) for v, f, b in _leaf_paths(t) if f]
     feats = list(features)
     scale = 2.0 if kind == "logodds" else 1.0
     base = sum(w * float((t["value"] * t["cover"])[t["left"] < 0].sum() / t["cover"][0]) for t, w in zip(tables, weights))
 
     def run(batches):
         for pdf in batches:
-            x = pdf[feats].to_numpy(dtype="float64")
-            out = np.zeros((x.shape[0], len(feats)))
-            for value, features_of, asked in leaves:
-                low, high, share = asked.T
-                at = x[:, features_of]
-                # a missing value goes right at every split
-                inside = ~(at <= low) & ((at <= high) | np.isinf(high))
-                patterns, inverse = np.unique(inside, axis=0, return_inverse=True)
-                solved = value * _path_shap(patterns.astype(float), share)
-                out[:, features_of] += solved[inverse.reshape(-1)]
+            x = [pdf[f].to_numpy(dtype="float64") for f in feats]
+            out = np.zeros((len(feats), len(pdf)))
+            for features_of, asked, solved in leaves:
+                # which intervals of the path hold a row, as the bits of a
+                # number; a missing value goes right at every split
+                pattern = np.zeros(len(pdf), dtype=np.int64)
+                for i, (f, (low, high, _)) in enumerate(zip(features_of, asked)):
+                    inside = ~(x[f] <= low)
+                    if high < np.inf:
+                        inside &= x[f] <= high
+                    pattern |= inside.astype(np.int64) << i
+                for f, part in zip(features_of, solved(pattern)):
+                    out[f] += part
             res = pdf[list(keep)].copy() if keep else pd.DataFrame(index=pdf.index)
             for i, f in enumerate(feats):
                 res[f] = pdf[f].astype("float64")
-                res[f"contrib__{f}"] = out[:, i] * scale
+                res[f"contrib__{f}"] = out[i] * scale
             yield res
 
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
                        + [f"`{f}` double" for f in feats] + [f"`contrib__{f}` double" for f in feats])
-    src = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats])
-    out = src.mapInPandas(run, schema)
+    src = materialize(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]), "explained")
+    out = spread(src, src.count()).mapInPandas(run, schema)
     if kind == "logodds":
         base_col = F.lit(base * scale)
         margin = base_col

@@ -126,3 +126,40 @@ def test_models_score_in_a_session_that_observed(spark, labelled):
         for fitted in (pipeline.fit(labelled), pipeline.copy().fit(labelled)):
             p = [r.p for r in fitted.transform(labelled).select(positive_probability().alias("p")).collect()]
             assert len(p) == 600 and all(0 <= v <= 1 for v in p)
+
+
+def test_split_rows_are_not_dealt_by_label(spark):
+    rows_ = spark.range(20_000, numPartitions=6).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = ml.stratified_split(rows_, "id", "y", (0.7, 0.3))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 4000
+    counts = {(r.y, r.split): r["count"] for r in out.groupBy("y", "split").count().collect()}
+    assert counts == {(0, 0): 9333, (0, 1): 4000, (1, 0): 4667, (1, 1): 2000}
+
+
+def test_spread_deals_by_number_of_rows(spark, monkeypatch):
+    from creditframe import session
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(1000, numPartitions=1)
+    assert session.spread(df, 1000).rdd.getNumPartitions() == n
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    dealt = session.spread(df, 1000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 75
+
+
+def test_tree_contributions_of_long_paths_are_the_same(spark, labelled, monkeypatch):
+    from creditframe.operators import explain as X
+    model = ml.boosted_trees(["x1", "x2"], "y", rounds=3, depth=4).fit(labelled)
+    gaps = labelled.withColumn("x2", F.when(F.col("id") % 5 > 0, F.col("x2")))
+    names = ["contrib__x1", "contrib__x2", "margin"]
+    table = rows(X.tree_contributions(model, gaps, ["x1", "x2"], keep=["id"]), "id", *names)
+    monkeypatch.setattr(X, "TABLE_BITS", 0)
+    met = rows(X.tree_contributions(model, gaps, ["x1", "x2"], keep=["id"]), "id", *names)
+    assert table == met and len(met) == 600
+    monkeypatch.undo()
+    # no pattern is sought among the rows of a batch where all were solved before
+    monkeypatch.setattr(X.np, "unique", None)
+    solved = X._solved(2.0, np.array([[0.0, np.inf, 0.25], [-np.inf, 1.0, 0.5]]))
+    got = solved(np.array([3, 0, 3]))
+    assert got.shape == (2, 3) and np.allclose(got.sum(axis=0), [2 - 0.25, -0.25, 2 - 0.25])

@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .clean import with_scalars
-from .ordered import _n_below, running_totals
+from .ordered import running_totals
 
 CELL = 64
 FAN = 8
@@ -46,16 +45,21 @@ def _curve(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     bits = max(1, min(10, 40 // len(dims)))
     cuts = (1 << bits) - 1
     probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    out = with_scalars(points, points.agg(*[F.percentile_approx(d, probs, 20 * (cuts + 1)).alias(f"__b{i}")
-                                            for i, d in enumerate(dims)]))
-    out = out.withColumns({f"__r{i}": F.coalesce(_n_below(F.col(f"__b{i}"), F.col(d), cuts), F.lit(0)).cast("long")
-                           for i, d in enumerate(dims)})
-    z = F.lit(0).cast("long")
-    for b in range(bits):
-        for i in range(len(dims)):
-            bit = F.shiftright(F.col(f"__r{i}"), b).bitwiseAND(F.lit(1).cast("long"))
-            z = z + F.shiftleft(bit, b * len(dims) + i)
-    return out.withColumn("__z", z).drop(*[f"__{c}{i}" for c in "br" for i in range(len(dims))])
+    # 4 x 1023 numbers at most; the ranks of a block of rows are one search
+    row = points.agg(*[F.percentile_approx(d, probs, 20 * (cuts + 1)).alias(f"b{i}") for i, d in enumerate(dims)]).first()
+    bounds = [np.array(b or [], dtype=float) for b in row]
+
+    @F.pandas_udf("long")
+    def place(xs: pd.DataFrame) -> pd.Series:
+        z = np.zeros(len(xs), dtype=np.int64)
+        for i, b in enumerate(bounds):
+            x = xs.iloc[:, i].to_numpy(dtype=float)
+            rank = np.searchsorted(b, x, side="left").astype(np.int64)
+            for bit in range(bits):
+                z |= (rank >> bit & 1) << (bit * len(bounds) + i)
+        return pd.Series(z)
+
+    return points.withColumn("__z", place(F.struct(*[F.col(d) for d in dims])))
 
 
 def _tree(points: DataFrame, dims: Sequence[str], tiebreak: Sequence[str], weight: Column, size: int

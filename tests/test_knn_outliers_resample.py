@@ -137,3 +137,13 @@ def test_knn_refines_jointly_dense_cells(spark):
     got = knn_target_mean(spark.createDataFrame(pdf), "id", ["a", "b"], "y", 6, out="m").toPandas()
     exp = brute_knn_mean(pdf, ["a", "b"], "y", 6, False)
     assert np.allclose(got.set_index("id")["m"].sort_index().values, exp.sort_index().values)
+
+
+def test_places_on_the_curve_are_found_by_blocks_of_rows(spark):
+    from creditframe.operators.knn import _curve
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(2000)], "a double, b double")
+    out = _curve(df, ["a", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    z = {r.a: r["__z"] for r in out.collect()}
+    assert len(z) == 2000 and z[0.0] == 0 and max(z.values()) < 1 << 20

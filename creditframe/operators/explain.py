@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import impact_direction, impact_strength, logistic, pretty_name
-from ..session import materialize, spread
+from ..session import cut_lineage, spread
 
 #: Longest path (distinct features) of which every pattern is solved at once.
 TABLE_BITS = 8
@@ -237,7 +237,7 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], *, keep: S
 
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
                        + [f"`{f}` double" for f in feats] + [f"`contrib__{f}` double" for f in feats])
-    src = materialize(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]), "explained")
+    src = cut_lineage(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]))
     out = spread(src, src.count()).mapInPandas(run, schema)
     if kind == "logodds":
         base_col = F.lit(base * scale)

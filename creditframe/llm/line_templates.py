@@ -14,9 +14,10 @@ The outcome depends on the set of documents only, not on their order.
 
 Scale: all counts are partial aggregates over hashes, one row per document
 and leaf, token place or template, so a line that a third of all documents
-share crosses a shuffle once per document, as a 64-bit hash.  Only lines of
-leaves that enough documents reach are taken apart, each text once.  A leaf is never gathered in one
-task: its tokens are counted by place and token.
+share crosses a shuffle once per document, as a 64-bit hash.  A text that
+``MIN_DOCS`` documents have is settled: all its tokens are constant.  Only
+leaves with a text that is not are taken apart, each text once.  A leaf is
+never gathered in one task: its tokens are counted by place and token.
 
 Edge cases: lines without a token are kept; null text has no lines; rows
 equal in id and text are one document; an empty table gives an empty result;
@@ -42,11 +43,14 @@ def _lines(text: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS), lambda w: w != "")
+    return F.array_remove(F.split(line, BLANKS), "")
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
+def _masked(tokens: Column) -> Column:
+    """``tokens``, a string joined by blanks, with fields for those with a digit."""
+    # begun at a token's first character only: linear in a token of any length
+    field = F.regexp_replace(tokens, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    return F.when(tokens.rlike("[0-9]"), field).otherwise(tokens)
 
 
 def _key(id: str, text: str) -> Column:
@@ -57,17 +61,16 @@ def _key(id: str, text: str) -> Column:
 def _leaf(line: Column) -> Column:
     """Hash of the tree path; null for a line without tokens."""
     def path(n: Column, lead: Column) -> Column:
-        return F.xxhash64(n, F.transform(lead, _masked))
+        return F.xxhash64(n, _masked(lead))
 
     # most lines have single blanks only: counting them needs no array
     plain = (line != "") & ~line.startswith(" ") & ~line.endswith(" ")
     for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
         plain = plain & ~F.contains(line, F.lit(blank))
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    lead = F.slice(F.split(line, " ", DEPTH + 1), 1, DEPTH)
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
     tokens = _tokens(line)
-    return F.when(plain, path(n, lead)).when(
-        line.rlike(r"[^\x20\x09-\x0D]"), path(F.size(tokens), F.slice(tokens, 1, DEPTH)))
+    return F.when(plain, path(n, F.substring_index(line, " ", DEPTH))).when(
+        line.rlike(r"[^\x20\x09-\x0D]"), path(F.size(tokens), F.array_join(F.slice(tokens, 1, DEPTH), " ")))
 
 
 def lines_of_busy_leaves(docs: DataFrame, id: str, text: str, min_docs: int) -> DataFrame:
@@ -87,8 +90,13 @@ def lines_of_busy_leaves(docs: DataFrame, id: str, text: str, min_docs: int) ->
 def _places(texts: DataFrame, *cols: str) -> DataFrame:
     """(``cols``, place, c) per token of ``texts`` without a digit; c stands for
     leaf, place and token."""
-    tokens = texts.select(*cols, "leaf", F.posexplode(_tokens(F.col("t"))).alias("place", "token"))
-    return tokens.filter(~F.col("token").rlike("[0-9]")).select(*cols, "place", F.xxhash64("leaf", "place", "token").alias("c"))
+    # most lines have no digit at all: their tokens are not searched again.  That
+    # is found before the line is taken apart, not once a token
+    lines = texts.select(*cols, "leaf", F.col("t").rlike("[0-9]").alias("digits"), _tokens(F.col("t")).alias("x"))
+    # every line here has a token; not outer, Spark takes it apart twice to see that
+    tokens = lines.select(*cols, "leaf", "digits", F.posexplode_outer("x").alias("place", "token"))
+    plain = tokens.filter(~F.col("digits") | ~F.col("token").rlike("[0-9]"))
+    return plain.select(*cols, "place", F.xxhash64("leaf", "place", "token").alias("c"))
 
 
 def _constants(lines: DataFrame, in_leaf: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
@@ -111,31 +119,41 @@ def templates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs:
     lines = lines_of_busy_leaves(docs, id, text, min_docs)
     distinct = written(lines.select("key", "h", "leaf").distinct(), "template-distinct")
     in_leaf = distinct.groupBy("key", "leaf").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    of_docs = distinct.groupBy("h", "leaf").agg(F.count("*").alias("docs"))
+    # in other leaves every text is settled
+    opened = of_docs.filter(F.col("docs") < min_docs).select("leaf").distinct().withColumn("open", F.lit(True))
     # a document with one line in the leaf counts wherever that line does
     alone = in_leaf.filter("n = 1").groupBy("h").agg(F.count("*").alias("n"))
-    wanted = written(distinct.select("h", "leaf").distinct().join(alone.hint("merge"), "h", "left")
-                     .select("h", "leaf", F.coalesce("n", F.lit(0)).alias("n")), "template-texts-wanted")
+    wanted = written(of_docs.join(alone.hint("merge"), "h", "left").join(opened.hint("merge"), "leaf", "left")
+                     .select("h", "leaf", (F.col("docs") >= min_docs).alias("settled"), F.coalesce("open", F.lit(False)).alias("open"),
+                             F.coalesce("n", F.lit(0)).alias("n")), "template-texts-wanted")
     lines_of = docs.select(F.explode(_lines(F.col(f"`{text}`"))).alias("t")).select(F.xxhash64("t").alias("h"), "t")
     # a line that many documents share leaves each task once
     texts = lines_of.groupBy("h").agg(F.first("t").alias("t"))
     # what is wanted grows with the corpus, so it is joined by key at every size
-    found = written(texts.join(wanted.hint("merge"), "h").select("h", "leaf", "t", "n"), "template-texts")
-    constant = written(_constants(distinct, in_leaf, found, min_docs), "template-constants")
-    # only the places found constant go back to their text
-    fixed = _places(found, "h").join(constant.hint("merge"), "c").groupBy("h").agg(F.collect_list("place").alias("fixed"))
-    formed = found.select("h", "t").join(fixed.hint("merge"), "h", "left").select(
-        "h", _tokens(F.col("t")).alias("x"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
+    found = written(texts.join(wanted.hint("merge"), "h").select("h", "leaf", "t", "n", "settled", "open"), "template-texts")
+    constant = written(_constants(distinct, in_leaf, found.filter("open"), min_docs), "template-constants")
+    whole = F.array_join("x", " ")
+    taken = ["h", F.col("t").rlike("[0-9]").alias("digits"), _tokens(F.col("t")).alias("x")]
     # digits are looked for only where they can decide
-    fields = F.size(F.filter("x", lambda w: w.rlike("[0-9]")))
+    fields = F.when(F.col("digits"), F.size(F.filter("x", lambda w: w.rlike("[0-9]")))).otherwise(0)
+    # in a settled text only fields of digits are not constant
+    like = (F.size("x") - fields >= min_constant) & (F.size("x") >= F.size("x") * similar)
+    settled = found.filter("settled").select(*taken).select(
+        "h", F.when(F.col("digits") & like, _masked(whole)).otherwise(whole).alias("template"))
+    # only the places found constant go back to their text
+    unsettled = found.filter("not settled")
+    fixed = _places(unsettled, "h").join(constant.hint("merge"), "c").groupBy("h").agg(F.collect_list("place").alias("fixed"))
+    formed = unsettled.select("h", "t").join(fixed.hint("merge"), "h", "left").select(
+        *taken, F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
     enough = F.size("fixed") >= F.size("x") * similar
     like = (F.size("fixed") >= min_constant) & (enough | (F.size("fixed") + fields >= F.size("x") * similar))
-    whole = F.concat_ws(" ", "x")
     free = F.array_except(F.sequence(F.lit(0), F.size("x") - 1), F.col("fixed"))
     filled = F.array_sort(F.concat(
         F.transform("fixed", lambda i: F.struct(i.alias("place"), F.get("x", i).alias("token"))),
         F.transform(free, lambda i: F.struct(i.alias("place"), F.lit(FIELD).alias("token")))))
-    general = F.concat_ws(" ", F.transform(filled, lambda x: x["token"]))
-    of_text = written(formed.select("h", F.when(like, general).otherwise(whole).alias("template"))
+    general = F.array_join(F.transform(filled, lambda x: x["token"]), " ")
+    of_text = written(formed.select("h", F.when(like, general).otherwise(whole).alias("template")).unionByName(settled)
                       .withColumn("t", F.xxhash64("template")), "template-of-text")
     documents = (distinct.select("key", "h").join(of_text.select("h", "t"), "h").select("key", "t").distinct()
                  .groupBy("t").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_docs))
@@ -157,7 +175,8 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id, text).alias("key"))
     both = rows.join(gone.hint("merge"), F.col("key") == F.col("gone"), "left").withColumn("all", _lines(F.col(f"row.`{text}`")))
     places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("lines", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(places, lambda i: F.get("all", i)), "\n")
+    rest = F.array_join(F.transform(places, lambda i: F.get("all", i)), "\n")
+    kept = F.when(F.col("lines").isNull(), F.col(f"row.`{text}`").cast("string")).otherwise(rest)
     filled = F.size(F.filter("all", lambda t: t.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return both.select("row", F.when(F.col(f"row.`{text}`").isNotNull(), kept).alias("kept"), filled.alias("n_lines"),
                        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"))

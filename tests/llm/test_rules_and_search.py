@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_fixtures import docs, odd, texts  # noqa: F401
-from creditframe.llm import decontaminate, licences, line_templates, mixing, quality
+from creditframe.llm import common, decontaminate, licences, line_templates, mixing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -212,6 +212,39 @@ def test_unlike_sentences_stay(spark):
     assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: "", 5: "", 6: ""}
 
 
+def test_settled_texts_are_not_taken_apart(spark, monkeypatch):
+    """Only leaves with a text of too few documents cross a shuffle by token."""
+    sizes = {}
+
+    def written(df, name):
+        out = common.written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_templates, "written", written)
+    shared = "the same notice stands in both texts\nand so does this line of 7 words"
+    rows = [(1, shared), (2, shared + "\nalpha own line")]
+    got = {r.row.doc_id: r.kept for r in line_templates.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "alpha own line"}
+    assert sizes["template-constants"] == 0
+    # a third text of the leaf has to be compared with the two
+    rows.append((3, "the same notice stands in both books"))
+    got = {r.row.doc_id: r.kept for r in line_templates.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "alpha own line", 3: "the same notice stands in both books"}
+    assert sizes["template-constants"] == 7
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_settled_and_other_texts_share_templates(spark, least):
+    heads = ["job a1", "job  b2", "<*> c", "\u00e9t\u00e9 x9$1", "no digit", " no\tdigit"]
+    tails = ["is done in time", "is done in 5 s", "is done\rin time", "is <*> in 5 s", "was left as it stood", "was 17 $0 as \\1"]
+    # lines of one to all documents, the same but for blanks, digits or a token
+    rows = [(i, "\n".join(f"{h} {t}" for j, h in enumerate(heads) for k, t in enumerate(tails) if (7 * i + 3 * j + 5 * k) % (2 + (j + k) % 5) == 0))
+            for i in range(7)]
+    got = {r.row.doc_id: r.kept for r in line_templates.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=least).collect()}
+    assert got == templates_brute(rows, least)
+
+
 @pytest.fixture(scope="module")
 def licence_model(docs):
     return licences.train(docs)
